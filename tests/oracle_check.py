@@ -1,0 +1,96 @@
+"""Run registered queries in Spark and their SQL twins in DuckDB on the same
+parquet tables; compare row count, column names and the sorted rows."""
+
+from __future__ import annotations
+
+import datetime as dt
+import decimal
+import math
+import os
+import sys
+
+import duckdb
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from hitlens.sources.tables import TABLE_NAMES  # noqa: E402
+
+
+def duck(sf_dir: str):
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for t in TABLE_NAMES:
+        p = os.path.join(sf_dir, f"{t}.parquet")
+        if os.path.exists(p):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{p}')")
+    return con
+
+
+def _norm(v):
+    if isinstance(v, float):
+        return None if math.isnan(v) else round(v, 6)
+    if isinstance(v, decimal.Decimal):
+        return round(float(v), 6)
+    if isinstance(v, dt.datetime):
+        return v.replace(tzinfo=None)
+    if isinstance(v, (list, tuple)):
+        return tuple(_norm(x) for x in v)
+    if isinstance(v, dict):
+        return tuple(sorted((k, _norm(x)) for k, x in v.items()))
+    return v
+
+
+def _key(row):
+    return tuple((x is None, str(type(x)), x if x is not None else 0) for x in row)
+
+
+def compare(spark, con, name, fn, sql, sf_dir):
+    sdf = fn(spark, sf_dir)
+    scols = sdf.columns
+    srows = [tuple(_norm(r[c]) for c in sorted(scols)) for r in sdf.collect()]
+    res = con.execute(sql)
+    dcols = [d[0] for d in res.description]
+    drows_raw = res.fetchall()
+    idx = sorted(range(len(dcols)), key=lambda i: dcols[i])
+    drows = [tuple(_norm(r[i]) for i in idx) for r in drows_raw]
+    problems = []
+    if sorted(scols) != sorted(dcols):
+        problems.append(f"columns spark={sorted(scols)} duck={sorted(dcols)}")
+    if len(srows) != len(drows):
+        problems.append(f"rows spark={len(srows)} duck={len(drows)}")
+    if not problems:
+        a, b = sorted(srows, key=_key), sorted(drows, key=_key)
+        diff = [(x, y) for x, y in zip(a, b) if x != y]
+        if diff:
+            problems.append(f"{len(diff)} rows differ, first: spark={diff[0][0]} duck={diff[0][1]}")
+    return len(srows), problems
+
+
+def main(argv):
+    sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
+    only = set(argv[2:])
+    from hitlens.session import get_session
+    import __spark_entry__ as entry
+    spark = get_session("local[8]", 8)
+    con = duck(sf_dir)
+    qs, sqls = entry.queries(), entry.oracle_sql()
+    bad = 0
+    for name in sorted(qs):
+        if only and name not in only:
+            continue
+        if name not in sqls:
+            n = qs[name](spark, sf_dir).count()
+            print(f"{name:32s} rows-only {n}")
+            continue
+        try:
+            n, problems = compare(spark, con, name, qs[name], sqls[name], sf_dir)
+        except Exception as e:  # noqa: BLE001
+            n, problems = -1, [f"error: {type(e).__name__}: {str(e)[:400]}"]
+        print(f"{name:32s} {'OK ' if not problems else 'BAD'} {n} {'; '.join(problems)}")
+        bad += bool(problems)
+    print("mismatches:", bad)
+    return bad
+
+
+if __name__ == "__main__":
+    sys.exit(1 if main(sys.argv) else 0)
