@@ -117,3 +117,189 @@ def q_stats_due_windows(spark, sf_dir):
     due = st.due_windows(logs, ONE_DAY)
     ledger = st.stats_reference(logs, ONE_DAY, due).where(F.dayofmonth("stat_time") % 2 == 0)
     return st.pending_windows(due, ledger)
+
+
+# ---------------------------------------------------------------- ingestion
+
+from ..functions import status as _status  # noqa: E402
+from ..functions.dates import date_text, parse_date_text  # noqa: E402
+from ..functions.timeid import is_uuid, time_of_uuid, time_uuid  # noqa: E402
+from ..operators import ingest as ing  # noqa: E402
+from ..operators import loadstats as ls  # noqa: E402
+from ..operators import registry as reg  # noqa: E402
+
+
+@query("ingest_decode")
+def q_ingest_decode(spark, sf_dir):
+    return ing.good_hits(ing.decode_hits(model.raw_hits(spark, sf_dir)))
+
+
+@query("ingest_quarantine")
+def q_ingest_quarantine(spark, sf_dir):
+    q = ing.quarantine(ing.decode_hits(model.raw_hits(spark, sf_dir)))
+    return q.select("hit_id", "tracking_id", "reason", "status")
+
+
+@query("ingest_outcomes")
+def q_ingest_outcomes(spark, sf_dir):
+    out = ing.ingest(model.raw_hits(spark, sf_dir), model.sites_by_tracking(spark, sf_dir))
+    return ing.outcome_counts(out)
+
+
+def _resolved(spark, sf_dir):
+    hits = ing.good_hits(ing.decode_hits(model.raw_hits(spark, sf_dir)))
+    return ing.resolve_hits(hits, model.sites_by_tracking(spark, sf_dir))
+
+
+@query("resolve_hits")
+def q_resolve_hits(spark, sf_dir):
+    r = _resolved(spark, sf_dir)
+    return r.where(F.col("status") == _status.ACCEPTED).select(
+        "hit_id", "site_id", "log_time", "url", "ip_address", "user_agent", "status")
+
+
+@query("unresolved_hits")
+def q_unresolved_hits(spark, sf_dir):
+    r = _resolved(spark, sf_dir)
+    return r.where(F.col("status") != _status.ACCEPTED).select("hit_id", "tracking_id", "status")
+
+
+@query("dedupe_hits")
+def q_dedupe_hits(spark, sf_dir):
+    return ing.dedupe(model.redelivered_logs(spark, sf_dir), ["log_id"])
+
+
+# ---------------------------------------------------------------- ids, dates
+
+@query("uuid_check")
+def q_uuid_check(spark, sf_dir):
+    ids = model.id_checks(spark, sf_dir)
+    valid = is_uuid(F.col("id"))
+    return ids.select("request_id", "id", valid.alias("valid"),
+                      F.when(valid, F.lit(_status.OK)).otherwise(F.lit(_status.BAD_REQUEST))
+                      .alias("status"))
+
+
+@query("timeuuid_time")
+def q_timeuuid_time(spark, sf_dir):
+    lg = model.logs(spark, sf_dir)
+    tid = time_uuid(F.col("log_time"), F.col("log_id").cast("bigint"))
+    return lg.select("log_id", tid.alias("time_id")).withColumn(
+        "created_at", time_of_uuid(F.col("time_id")))
+
+
+@query("date_text")
+def q_date_text(spark, sf_dir):
+    lg = model.logs(spark, sf_dir)
+    return lg.select("log_id", date_text(F.col("log_time")).alias("date_text")).withColumn(
+        "parsed", parse_date_text(F.col("date_text")))
+
+
+# ---------------------------------------------------------------- registry
+
+@query("validate_users")
+def q_validate_users(spark, sf_dir):
+    return reg.validate_users(model.user_requests(spark, sf_dir))
+
+
+def _created_users(spark, sf_dir):
+    registry = reg.users_by_credentials(model.users(spark, sf_dir))
+    return reg.create_users(model.user_requests(spark, sf_dir), registry, model.new_user_id())
+
+
+@query("user_create_accepted")
+def q_user_create_accepted(spark, sf_dir):
+    return _created_users(spark, sf_dir)[0]
+
+
+@query("user_create_rejected")
+def q_user_create_rejected(spark, sf_dir):
+    return _created_users(spark, sf_dir)[1]
+
+
+@query("user_update")
+def q_user_update(spark, sf_dir):
+    after, _ = reg.apply_updates(model.users(spark, sf_dir), model.user_updates(spark, sf_dir),
+                                 ["full_name"])
+    return after
+
+
+@query("user_update_outcomes")
+def q_user_update_outcomes(spark, sf_dir):
+    _, outcomes = reg.apply_updates(model.users(spark, sf_dir), model.user_updates(spark, sf_dir),
+                                    ["full_name"])
+    return outcomes.select("id", "seq", "full_name", "status")
+
+
+@query("site_update")
+def q_site_update(spark, sf_dir):
+    after, _ = reg.apply_updates(model.sites(spark, sf_dir), model.site_updates(spark, sf_dir),
+                                 ["domain"])
+    return after
+
+
+@query("site_update_outcomes")
+def q_site_update_outcomes(spark, sf_dir):
+    _, outcomes = reg.apply_updates(model.sites(spark, sf_dir), model.site_updates(spark, sf_dir),
+                                    ["domain"])
+    return outcomes.select("id", "seq", "domain", "status")
+
+
+@query("site_delete")
+def q_site_delete(spark, sf_dir):
+    after, _ = reg.apply_deletes(model.sites(spark, sf_dir), model.site_deletes(spark, sf_dir))
+    return after
+
+
+@query("site_delete_outcomes")
+def q_site_delete_outcomes(spark, sf_dir):
+    _, outcomes = reg.apply_deletes(model.sites(spark, sf_dir), model.site_deletes(spark, sf_dir))
+    return outcomes.select("id", "user_id", "status")
+
+
+@query("site_registry_by_tracking")
+def q_site_registry_by_tracking(spark, sf_dir):
+    return reg.sites_by_tracking_id(model.sites(spark, sf_dir))
+
+
+@query("site_registry_by_user")
+def q_site_registry_by_user(spark, sf_dir):
+    return reg.sites_by_users(model.sites(spark, sf_dir))
+
+
+@query("user_registry_by_email")
+def q_user_registry_by_email(spark, sf_dir):
+    return reg.users_by_credentials(model.users(spark, sf_dir))
+
+
+@query("find_site")
+def q_find_site(spark, sf_dir):
+    return reg.find_by_id(model.site_lookups(spark, sf_dir), model.sites(spark, sf_dir))
+
+
+@query("find_user")
+def q_find_user(spark, sf_dir):
+    return reg.find_by_id(model.user_lookups(spark, sf_dir), model.users(spark, sf_dir))
+
+
+@query("list_sites_by_user")
+def q_list_sites_by_user(spark, sf_dir):
+    return reg.list_sites(model.site_list_requests(spark, sf_dir),
+                          reg.sites_by_users(model.sites(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- load statistics
+
+@query("load_stats_partial")
+def q_load_stats_partial(spark, sf_dir):
+    return ls.load_stats_partial(model.request_outcomes(spark, sf_dir))
+
+
+@query("load_stats_total")
+def q_load_stats_total(spark, sf_dir):
+    return ls.load_stats_total(ls.load_stats_partial(model.request_outcomes(spark, sf_dir)))
+
+
+@query("merge_histograms")
+def q_merge_histograms(spark, sf_dir):
+    return ls.merge_histograms(ls.status_histograms(model.request_outcomes(spark, sf_dir)))

@@ -17,6 +17,7 @@ from .tables import read_table
 
 # Fixed values of the fixture rules.
 USER_EPOCH = dt.datetime(2020, 1, 1)   # user n registered at USER_EPOCH + n minutes
+REQUEST_EPOCH = dt.datetime(2024, 2, 1)  # sign-up request n sent at REQUEST_EPOCH + n seconds
 UNKNOWN_NODE_OFFSET = 1_000_000_000    # node offset that yields ids nobody owns
 
 
@@ -101,9 +102,16 @@ def user_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(k % 7 == 0, F.concat(F.lit("shared"), (k % 3).cast("string"),
                                         F.lit("@example.com")))
              .otherwise(F.concat(F.lit("new"), k.cast("string"), F.lit("@example.com"))))
+    sent = F.lit(REQUEST_EPOCH).cast("timestamp_ntz") + F.make_dt_interval(
+        F.lit(0), F.lit(0), F.lit(0), k.cast("decimal(18,6)"))
     return c.select(k.alias("request_id"), k.alias("arrival"), email.alias("email"),
                     F.concat(F.lit("pw"), k.cast("string")).alias("password"),
-                    F.col("c_name").alias("full_name"))
+                    F.col("c_name").alias("full_name"), sent.alias("requested_at"))
+
+
+def new_user_id() -> Column:
+    """Id of an accepted sign-up: a time id of its request time."""
+    return time_uuid(F.col("requested_at"), F.col("request_id"))
 
 
 def user_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
