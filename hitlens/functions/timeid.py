@@ -72,3 +72,19 @@ def uuid_from_text(col) -> Column:
     m = F.md5(_c(col).cast("string"))
     return F.concat_ws("-", F.substring(m, 1, 8), F.substring(m, 9, 4), F.substring(m, 13, 4),
                        F.substring(m, 17, 4), F.substring(m, 21, 12))
+
+
+def ntz_from_micros(us) -> Column:
+    secs = (_c(us).cast("decimal(26,0)") / 1_000_000).cast("decimal(18,6)")
+    return F.expr(_EPOCH) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), secs)
+
+
+def ltz_from_ntz(ts) -> Column:
+    """The instant whose UTC wall-clock time is ``ts`` (for watermarks, which
+    need ``timestamp``), without consulting the session zone."""
+    return F.timestamp_micros(epoch_micros(ts))
+
+
+def ntz_from_ltz(ts) -> Column:
+    """UTC wall-clock time of an instant, without consulting the session zone."""
+    return ntz_from_micros(F.unix_micros(_c(ts)))

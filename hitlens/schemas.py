@@ -7,7 +7,7 @@ time, so no result depends on the session time zone.
 """
 
 from pyspark.sql.types import (IntegerType, LongType, MapType, StringType,
-                               StructField, StructType, TimestampNTZType)
+                               StructField, StructType, TimestampNTZType, TimestampType)
 
 
 def _s(*fields):
@@ -46,7 +46,7 @@ PARTIAL_STATS_BROWSER = _s(("site_id", TEXT), ("year", INT), ("stat_time", TS),
 HIT_BODY = _s(("url", TEXT), ("ipAddress", TEXT), ("userAgent", TEXT))
 # A message stream as any broker source delivers it.
 MESSAGES = _s(("key", TEXT), ("value", TEXT), ("partition", INT), ("offset", BIGINT),
-              ("timestamp", TS))
+              ("timestamp", TimestampType()))
 # Load-test request outcomes (one row per request the load generator made).
 REQUEST_OUTCOMES = _s(("ts", TS), ("status", INT), ("outcome", TEXT), ("elapsed_ms", BIGINT))
 
