@@ -29,8 +29,16 @@ def epoch_micros(ts) -> Column:
     return (delta.cast("decimal(20,6)") * 1_000_000).cast("bigint")
 
 
+def floor_div(x, n: int) -> Column:
+    """Exact integer floor division (no detour through double, which cannot
+    hold 100-ns tick counts exactly)."""
+    x = _c(x).cast("bigint")
+    exact = (x - F.pmod(x, F.lit(n))).cast("decimal(20,0)") / F.lit(n)
+    return exact.cast("bigint")
+
+
 def epoch_millis(ts) -> Column:
-    return F.floor(epoch_micros(ts) / 1000).cast("bigint")
+    return floor_div(epoch_micros(ts), 1000)
 
 
 def ntz_from_millis(ms) -> Column:
@@ -57,7 +65,7 @@ def time_of_uuid(uuid) -> Column:
     u = _c(uuid)
     hex_ticks = F.concat(F.substring(u, 16, 3), F.substring(u, 10, 4), F.substring(u, 1, 8))
     ticks = F.conv(hex_ticks, 16, 10).cast("bigint")
-    ms = F.floor((ticks - F.lit(UUID_EPOCH_OFFSET_100NS)) / 10000)
+    ms = floor_div(ticks - F.lit(UUID_EPOCH_OFFSET_100NS), 10000)
     return ntz_from_millis(ms)
 
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import status
 from ..functions.timeid import is_uuid
@@ -19,16 +20,21 @@ MISSING_FIELD = "missing_field"
 
 def decode_hits(raw: DataFrame, body: str = "body") -> DataFrame:
     """Add the three hit fields and ``reason`` (null when the body is a JSON
-    object with all three fields; extra fields pass)."""
-    parsed = F.from_json(F.col(body), HIT_BODY)
-    is_object = F.json_object_keys(F.col(body)).isNotNull()
+    object with all three fields; extra fields pass).
+
+    One JSON parse per row: text that is not a JSON object (not JSON at all,
+    an array, a bare value) lands in the parser's corrupt-record column.
+    """
+    schema = StructType(HIT_BODY.fields + [StructField("_corrupt", StringType())])
+    parsed = F.from_json(F.col(body), schema, {"columnNameOfCorruptRecord": "_corrupt"})
     out = raw.withColumn("_hit", parsed)
     fields = [F.col(f"_hit.{src}").alias(dst) for src, dst in HIT_FIELDS]
+    not_object = F.col("_hit").isNull() | F.col("_hit._corrupt").isNotNull()
     missing = None
     for src, _ in HIT_FIELDS:
         c = F.col(f"_hit.{src}").isNull()
         missing = c if missing is None else (missing | c)
-    reason = F.when(~is_object, F.lit(MALFORMED)).when(missing, F.lit(MISSING_FIELD))
+    reason = F.when(not_object, F.lit(MALFORMED)).when(missing, F.lit(MISSING_FIELD))
     return out.select(*[c for c in raw.columns], *fields, reason.alias("reason"))
 
 

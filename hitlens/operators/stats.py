@@ -113,9 +113,12 @@ def partial_stats(levels: DataFrame, stat: StatDefinition,
         .withColumn("fragments", F.greatest(
             F.lit(1), F.ceil(F.greatest("n_ip", "n_browser") / F.lit(max_entries))).cast("int"))
         .drop("n_ip", "n_browser"))
-    entries = (counts.where(F.col("level").isin("ip", "browser"))
-               .join(groups, ["site_id", "stat_time"])
-               .withColumn("fragment", _fragment(F.col("key"), F.col("fragments"))))
+    # No filter on ``level`` before the join: both branches then read the
+    # very same aggregate, so its exchange is computed once and reused.
+    is_entry = F.col("level").isin("ip", "browser")
+    entries = (counts.join(groups, ["site_id", "stat_time"])
+               .withColumn("fragment", F.when(is_entry, _fragment(F.col("key"), F.col("fragments")))
+                           .otherwise(F.lit(0))))
 
     def hist(level: str) -> Column:
         e = F.when(F.col("level") == level, F.struct(F.col("key"), F.col("n").cast("int")))
@@ -123,7 +126,8 @@ def partial_stats(levels: DataFrame, stat: StatDefinition,
 
     out = (entries.groupBy("site_id", "stat_time", "fragment")
            .agg(F.max("requests").alias("requests"), hist("ip").alias("ip"),
-                hist("browser").alias("browser")))
+                hist("browser").alias("browser"), F.max(is_entry).alias("_has_entries"))
+           .where(F.col("_has_entries")))
     return stamp(out, stat).select("site_id", "year", "stat_time", "stat_type", "fragment",
                                    "ip", "browser", "requests")
 
