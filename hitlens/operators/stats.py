@@ -159,19 +159,40 @@ def add_totals(old: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
             .groupBy(*keys).agg(F.sum("requests").cast("bigint").alias("requests")))
 
 
+# Windows per calendar block: the calendar is generated as blocks first,
+# then the windows of each block in parallel.
+CALENDAR_BLOCK = 1024
+
+
 def window_calendar(first: Column, last: Column, stat: StatDefinition) -> Column:
+    """Explode every window end in ``[first, last]`` (one row in, many out)."""
     step = F.expr(f"INTERVAL {stat.range_ms} MILLISECONDS")
     return F.explode(F.sequence(first, last, step))
 
 
+def calendar(bounds: DataFrame, stat: StatDefinition, first: str = "first",
+             last: str = "last") -> DataFrame:
+    """(stat_type, stat_time) for every window between the bounds of a
+    one-row frame. Blocks of ``CALENDAR_BLOCK`` windows are exploded first
+    and spread over tasks, so a long span is not generated by one task."""
+    block = stat.range_ms * CALENDAR_BLOCK
+    block_step = F.expr(f"INTERVAL {block} MILLISECONDS")
+    starts = bounds.select(F.explode(F.sequence(F.col(first), F.col(last), block_step)).alias("b"),
+                           F.col(last).alias("_last"))
+    starts = starts.repartition("b")
+    block_end = F.least(F.col("b") + F.expr(f"INTERVAL {block - stat.range_ms} MILLISECONDS"),
+                        F.col("_last"))
+    return starts.select(F.lit(stat.stat_type).alias("stat_type"),
+                         window_calendar(F.col("b"), block_end, stat).alias("stat_time"))
+
+
 def due_windows(logs: DataFrame, stat: StatDefinition) -> DataFrame:
     """Every window from the one holding the first hit to the one holding the
     last (stat_type, stat_time): what a scheduler ticking every range would
     have asked for. Size is span / range, independent of the hit count."""
     bounds = windowed(logs, stat, closed_left=True).agg(
         F.min("stat_time").alias("first"), F.max("stat_time").alias("last"))
-    return bounds.select(F.lit(stat.stat_type).alias("stat_type"),
-                         window_calendar(F.col("first"), F.col("last"), stat).alias("stat_time"))
+    return calendar(bounds, stat)
 
 
 def pending_windows(due: DataFrame, ledger: DataFrame) -> DataFrame:

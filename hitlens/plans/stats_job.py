@@ -49,10 +49,9 @@ class StatsStore:
 
 def _calendar(spark: SparkSession, stat: StatDefinition, first: dt.datetime,
               last: dt.datetime) -> DataFrame:
-    return spark.range(1).select(
-        F.lit(stat.stat_type).alias("stat_type"),
-        st.window_calendar(F.lit(first).cast("timestamp_ntz"), F.lit(last).cast("timestamp_ntz"),
-                           stat).alias("stat_time"))
+    bounds = spark.range(1).select(F.lit(first).cast("timestamp_ntz").alias("first"),
+                                   F.lit(last).cast("timestamp_ntz").alias("last"))
+    return st.calendar(bounds, stat)
 
 
 def pending(spark: SparkSession, store: StatsStore, stat: StatDefinition,
@@ -76,6 +75,8 @@ def run_statistics(spark: SparkSession, logs: DataFrame, store: StatsStore,
     lo = first - dt.timedelta(milliseconds=stat.range_ms)
     hits = logs.where((F.col("log_time") >= F.lit(lo).cast("timestamp_ntz"))
                       & (F.col("log_time") < F.lit(last).cast("timestamp_ntz")))
+    if "log_date" in logs.columns:  # a stored logs table: prune its day partitions
+        hits = hits.where(F.col("log_date").between(F.lit(lo.date()), F.lit(last.date())))
     in_todo = st.windowed(hits, stat).join(todo.select("stat_time"), "stat_time", "left_semi")
     levels = st.stats_all_levels(in_todo.drop("stat_time"), stat).checkpoint(eager=True)
 

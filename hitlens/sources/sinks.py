@@ -12,9 +12,12 @@ STAT_PARTITIONS = ("stat_type", "stat_time")
 
 def overwrite_partitions(df: DataFrame, path: str, partition_cols=STAT_PARTITIONS,
                          fmt: str = "parquet") -> None:
-    """Replace exactly the partitions present in ``df``; others stay. Rows are
-    clustered by partition first so each task writes few files."""
-    (df.repartition(*[F.col(c) for c in partition_cols])
+    """Replace exactly the partitions present in ``df``; others stay.
+
+    Rows are rebalanced by the partition columns first (the ``rebalance``
+    hint): each task writes few files, and AQE splits a partition that holds
+    a hot window over several tasks instead of one."""
+    (df.hint("rebalance", *partition_cols)
        .write.mode("overwrite")
        .option("partitionOverwriteMode", "dynamic")
        .partitionBy(*partition_cols)
