@@ -48,17 +48,21 @@ def quarantine(decoded: DataFrame) -> DataFrame:
             .withColumn("status", F.lit(status.BAD_REQUEST)))
 
 
-def resolve_hits(hits: DataFrame, by_tracking: DataFrame, tracking: str = "tracking_id") -> DataFrame:
+def resolve_hits(hits: DataFrame, by_tracking: DataFrame, tracking: str = "tracking_id",
+                 eligible: Column | None = None) -> DataFrame:
     """Replace each hit's tracking id by its site id: 202 when resolved, 404
-    when nobody owns the id, 400 when the id is malformed.
+    when nobody owns the id, 400 when the id is malformed (or the row is not
+    ``eligible``, e.g. its body did not decode).
 
     A left equi-join planned by Spark: broadcast when the registry side is
     measured under the broadcast threshold (AQE), sort-merge otherwise, with a
-    hot tracking id split by AQE's skew-join handling. Malformed ids join on
-    null and so never match.
+    hot tracking id split by AQE's skew-join handling. Ineligible rows join
+    on null and so never match.
     """
-    valid = is_uuid(F.col(tracking))
-    keyed = hits.withColumn("_key", F.when(valid, F.col(tracking)))
+    ok = is_uuid(F.col(tracking))
+    if eligible is not None:
+        ok = ok & eligible
+    keyed = hits.withColumn("_key", F.when(ok, F.col(tracking)))
     reg = by_tracking.select(F.col("tracking_id").alias("_key"), "site_id")
     joined = keyed.join(reg, "_key", "left")
     st = (F.when(F.col("_key").isNull(), F.lit(status.BAD_REQUEST))
@@ -81,16 +85,13 @@ def outcome_label(reason: Column, st: Column) -> Column:
 
 
 def ingest(raw: DataFrame, by_tracking: DataFrame, body: str = "body") -> DataFrame:
-    """The whole hit path for a batch: decode, then check and resolve the id
-    of the decodable ones. Every input row comes out once, with
-    ``outcome`` and ``status``."""
-    decoded = decode_hits(raw, body)
-    resolved = resolve_hits(good_hits(decoded, body), by_tracking)
-    ok = resolved.withColumn("outcome", outcome_label(F.lit(None), F.col("status")))
-    bad = (quarantine(decoded).drop(body)
-           .withColumn("site_id", F.lit(None).cast("string"))
-           .withColumnRenamed("reason", "outcome"))
-    return ok.unionByName(bad, allowMissingColumns=True)
+    """The whole hit path for a batch in one pass: decode, check and resolve
+    the id of the decodable ones (one join). Every input row comes out once,
+    with ``outcome``, ``status`` and, when accepted, ``site_id``."""
+    decoded = decode_hits(raw, body).drop(body)
+    resolved = resolve_hits(decoded, by_tracking, eligible=F.col("reason").isNull())
+    return (resolved.withColumn("outcome", outcome_label(F.col("reason"), F.col("status")))
+            .drop("reason"))
 
 
 def outcome_counts(outcomes: DataFrame) -> DataFrame:

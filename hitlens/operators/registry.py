@@ -70,29 +70,42 @@ def create_users(requests: DataFrame, by_email: DataFrame, new_id) -> tuple[Data
     """Apply a batch of sign-ups (request_id, arrival, email, password,
     full_name, ...) in arrival order against the e-mail registry.
 
-    Returns (accepted, rejected). A request is accepted when its fields pass
-    the rules, its e-mail is not registered and no earlier request of the
-    batch took it. The first request per e-mail is a min over
-    (arrival, request_id): a hash aggregate, so one e-mail holding a third
-    of the batch still costs one partial row per task. ``new_id`` builds the
-    user id from the request's columns; the password is checked, never kept.
+    Returns (accepted, rejected), two filters of ``sign_up_outcomes``.
     """
-    v = validate(requests, USER_RULES)
-    valid = v.where(F.size("errors") == 0)
-    fresh = valid.join(by_email.select("email"), "email", "left_anti")
-    first = (fresh.groupBy("email")
+    out = sign_up_outcomes(requests, by_email, new_id)
+    accepted = (out.where(F.col("status") == status.OK)
+                .select("request_id", "user_id", "email", "full_name", "status"))
+    rejected = (out.where(F.col("status") != status.OK)
+                .select("request_id", "email", "status", "message"))
+    return accepted, rejected
+
+
+def sign_up_outcomes(requests: DataFrame, by_email: DataFrame, new_id) -> DataFrame:
+    """Every request once, with status 200 (and the new user id) or 400 and
+    the message.
+
+    A request is accepted when its fields pass the rules, its e-mail is not
+    registered and no earlier request of the batch took it. The first request
+    per e-mail is a min over (arrival, request_id) - a hash aggregate, so one
+    e-mail holding a third of the batch still costs one partial row per task
+    - joined back on the unique request id. The password is checked, never
+    kept.
+    """
+    registered = by_email.select("email").distinct().withColumn("_registered", F.lit(True))
+    v = (validate(requests, USER_RULES)
+         .join(registered, "email", "left")
+         .withColumn("_eligible", (F.size("errors") == 0) & F.col("_registered").isNull()))
+    first = (v.where(F.col("_eligible")).groupBy("email")
              .agg(F.min(F.struct("arrival", "request_id")).alias("_first"))
-             .select(F.col("_first.request_id").alias("request_id")))
-    accepted = (fresh.join(first, "request_id", "left_semi")
-                .select("request_id", new_id.alias("user_id"), "email", "full_name",
-                        F.lit(status.OK).alias("status")))
-    taken = (valid.join(first, "request_id", "left_anti")
-             .select("request_id", "email", F.lit(status.BAD_REQUEST).alias("status"),
-                     F.lit(status.EMAIL_ALREADY_EXISTS).alias("message")))
-    invalid = (v.where(F.size("errors") > 0)
-               .select("request_id", "email", F.lit(status.BAD_REQUEST).alias("status"),
-                       errors_text("errors").alias("message")))
-    return accepted, taken.unionByName(invalid)
+             .select(F.col("_first.request_id").alias("request_id"), F.lit(True).alias("_winner")))
+    out = v.join(first, "request_id", "left")
+    st = F.when(F.col("_winner"), F.lit(status.OK)).otherwise(F.lit(status.BAD_REQUEST))
+    message = (F.when(F.col("_winner"), F.lit(None).cast("string"))
+               .when(F.size("errors") > 0, errors_text("errors"))
+               .otherwise(F.lit(status.EMAIL_ALREADY_EXISTS)))
+    return (out.withColumn("status", st).withColumn("message", message)
+            .withColumn("user_id", F.when(F.col("_winner"), new_id))
+            .drop("_registered", "_eligible", "_winner", "errors"))
 
 
 def new_sites(requests: DataFrame, new_id, new_tracking) -> DataFrame:
