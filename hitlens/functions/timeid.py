@@ -53,7 +53,12 @@ def time_uuid(ts, node) -> Column:
     ``node`` (an integer column) fills clock sequence and node, so distinct
     nodes give distinct ids for the same millisecond.
     """
-    ticks = epoch_millis(ts) * 10000 + F.lit(UUID_EPOCH_OFFSET_100NS)
+    return time_uuid_millis(epoch_millis(ts), node)
+
+
+def time_uuid_millis(ms, node) -> Column:
+    """``time_uuid`` from epoch milliseconds."""
+    ticks = _c(ms).cast("bigint") * 10000 + F.lit(UUID_EPOCH_OFFSET_100NS)
     h = F.lpad(F.lower(F.hex(ticks)), 15, "0")
     node_hex = F.lpad(F.lower(F.hex(_c(node).cast("bigint"))), 12, "0")
     return F.concat_ws("-", F.substring(h, 8, 8), F.substring(h, 4, 4),
@@ -96,3 +101,10 @@ def ltz_from_ntz(ts) -> Column:
 def ntz_from_ltz(ts) -> Column:
     """UTC wall-clock time of an instant, without consulting the session zone."""
     return ntz_from_micros(F.unix_micros(_c(ts)))
+
+
+def ntz_lit(value) -> Column:
+    """A ``timestamp_ntz`` literal from a naive datetime, built from its text.
+    (``F.lit(datetime)`` would make a ``timestamp`` in the Python process's
+    zone, and casting that to ``timestamp_ntz`` uses the session zone.)"""
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .timeid import ntz_lit
+
 
 @dataclass(frozen=True)
 class StatDefinition:
@@ -57,6 +59,6 @@ def in_window_range(ts, end: dt.datetime, stat: StatDefinition,
     start = end - dt.timedelta(milliseconds=stat.range_ms)
     if not closed_left:
         start = start + dt.timedelta(milliseconds=1)
-    lo = F.lit(start).cast("timestamp_ntz")
-    hi = F.lit(end).cast("timestamp_ntz")
+    lo = ntz_lit(start)
+    hi = ntz_lit(end)
     return (_c(ts) >= lo) & (_c(ts) < hi)

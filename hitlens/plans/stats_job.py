@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions.timeid import ntz_lit
 from ..functions.windows import FIVE_MINUTES, StatDefinition
 from ..operators import stats as st
 from ..session import checkpoint_dir
@@ -49,8 +50,8 @@ class StatsStore:
 
 def _calendar(spark: SparkSession, stat: StatDefinition, first: dt.datetime,
               last: dt.datetime) -> DataFrame:
-    bounds = spark.range(1).select(F.lit(first).cast("timestamp_ntz").alias("first"),
-                                   F.lit(last).cast("timestamp_ntz").alias("last"))
+    bounds = spark.range(1).select(ntz_lit(first).alias("first"),
+                                   ntz_lit(last).alias("last"))
     return st.calendar(bounds, stat)
 
 
@@ -73,8 +74,8 @@ def run_statistics(spark: SparkSession, logs: DataFrame, store: StatsStore,
     if n_windows == 0:
         return 0
     lo = first - dt.timedelta(milliseconds=stat.range_ms)
-    hits = logs.where((F.col("log_time") >= F.lit(lo).cast("timestamp_ntz"))
-                      & (F.col("log_time") < F.lit(last).cast("timestamp_ntz")))
+    hits = logs.where((F.col("log_time") >= ntz_lit(lo))
+                      & (F.col("log_time") < ntz_lit(last)))
     if "log_date" in logs.columns:  # a stored logs table: prune its day partitions
         hits = hits.where(F.col("log_date").between(F.lit(lo.date()), F.lit(last.date())))
     in_todo = st.windowed(hits, stat).join(todo.select("stat_time"), "stat_time", "left_semi")

@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.timeid import time_uuid, uuid_from_text
+from ..functions.timeid import ntz_lit, time_uuid, time_uuid_millis, uuid_from_text
 from .tables import read_table
 
 # Fixed values of the fixture rules.
@@ -21,10 +21,12 @@ REQUEST_EPOCH = dt.datetime(2024, 2, 1)  # sign-up request n sent at REQUEST_EPO
 UNKNOWN_NODE_OFFSET = 1_000_000_000    # node offset that yields ids nobody owns
 
 
+_USER_EPOCH_MS = int((USER_EPOCH - dt.datetime(1970, 1, 1)).total_seconds()) * 1000
+
+
 def _user_id(custkey: Column) -> Column:
-    registered = F.lit(USER_EPOCH).cast("timestamp_ntz") + F.make_dt_interval(
-        F.lit(0), F.lit(0), custkey.cast("int"), F.lit(0))
-    return time_uuid(registered, custkey)
+    """Time id of user n, registered at USER_EPOCH + n minutes."""
+    return time_uuid_millis(F.lit(_USER_EPOCH_MS) + custkey.cast("bigint") * 60_000, custkey)
 
 
 def _site_id(orderkey: Column, orderdate: Column) -> Column:
@@ -102,7 +104,7 @@ def user_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(k % 7 == 0, F.concat(F.lit("shared"), (k % 3).cast("string"),
                                         F.lit("@example.com")))
              .otherwise(F.concat(F.lit("new"), k.cast("string"), F.lit("@example.com"))))
-    sent = F.lit(REQUEST_EPOCH).cast("timestamp_ntz") + F.make_dt_interval(
+    sent = ntz_lit(REQUEST_EPOCH) + F.make_dt_interval(
         F.lit(0), F.lit(0), F.lit(0), k.cast("decimal(18,6)"))
     return c.select(k.alias("request_id"), k.alias("arrival"), email.alias("email"),
                     F.concat(F.lit("pw"), k.cast("string")).alias("password"),
