@@ -9,8 +9,9 @@ Order of work for a run over the windows ``[first, last]`` (window ends):
    checkpoint folder so the five writes below reuse one scan and survive the
    loss of executors;
 4. the partial tables, each replacing its (stat_type, stat_time) partitions;
-5. the running totals, derived from the partials of the base type (a rerun
-   or a second schedule never counts a hit twice);
+5. the running totals, derived from the partials of the base type through a
+   per-day rollup of the touched days (a rerun or a second schedule never
+   counts a hit twice, and a tick does not re-read all history);
 6. the ledger rows of the pending windows, last - including windows without
    hits (0). A crash before step 6 leaves the windows pending, and the rerun
    overwrites the same partitions.
@@ -59,7 +60,40 @@ def pending(spark: SparkSession, store: StatsStore, stat: StatDefinition,
             first: dt.datetime, last: dt.datetime) -> DataFrame:
     due = _calendar(spark, stat, first, last)
     ledger = store.read(spark, "stats_reference", schemas.STATS_REFERENCE)
-    return due if ledger is None else st.pending_windows(due, ledger)
+    if ledger is None:
+        return due
+    # partition pruning: only this type's partitions inside the run's range
+    ledger = ledger.where((F.col("stat_type") == stat.stat_type)
+                          & F.col("stat_time").between(ntz_lit(first), ntz_lit(last)))
+    return st.pending_windows(due, ledger)
+
+
+def update_totals(spark: SparkSession, store: StatsStore, first: dt.datetime,
+                  last: dt.datetime, base_type: str) -> None:
+    """Running totals as a two-level rollup of the base type's partials.
+
+    The per-day totals of the days this run touched are rebuilt from their
+    partials (partition-pruned to those days), then the running totals are
+    the sum of the per-day table: the work per tick grows with the days of
+    history, not with the number of windows, and a rerun gives the same
+    totals (nothing is added to a counter).
+    """
+    lo = ntz_lit(dt.datetime.combine(first.date(), dt.time()))
+    hi = ntz_lit(dt.datetime.combine(last.date(), dt.time()) + dt.timedelta(days=1))
+    for table, schema, keys, daily, total in (
+            ("partial_stats_requests", schemas.PARTIAL_STATS_REQUESTS, ["site_id"],
+             "global_stats_daily", "global_stats"),
+            ("partial_stats_url", schemas.PARTIAL_STATS_URL, ["site_id", "url"],
+             "global_stats_url_daily", "global_stats_url")):
+        partials = store.read(spark, table, schema).where(
+            (F.col("stat_type") == base_type) & (F.col("stat_time") >= lo) & (F.col("stat_time") < hi))
+        days = (partials.groupBy(*keys, F.to_date("stat_time").alias("stat_date"))
+                .agg(F.sum("requests").cast("bigint").alias("requests")))
+        sinks.overwrite_partitions(days, store.path(daily), ("stat_date",))
+        rollup = store.read(spark, daily)
+        sinks.overwrite_table(
+            rollup.groupBy(*keys).agg(F.sum("requests").cast("bigint").alias("requests")),
+            store.path(total))
 
 
 def run_statistics(spark: SparkSession, logs: DataFrame, store: StatsStore,
@@ -88,10 +122,8 @@ def run_statistics(spark: SparkSession, logs: DataFrame, store: StatsStore,
     sinks.overwrite_partitions(st.partial_stats(levels, stat, max_map_entries),
                                store.path("partial_stats"))
 
-    requests = store.read(spark, "partial_stats_requests", schemas.PARTIAL_STATS_REQUESTS)
-    urls = store.read(spark, "partial_stats_url", schemas.PARTIAL_STATS_URL)
-    sinks.overwrite_table(st.global_stats(requests, base_type), store.path("global_stats"))
-    sinks.overwrite_table(st.global_stats_url(urls, base_type), store.path("global_stats_url"))
+    if stat.stat_type == base_type:  # totals derive from the base type only
+        update_totals(spark, store, first, last, base_type)
 
     counts = (levels.where(F.col("level") == "site").groupBy("stat_time")
               .agg(F.sum("requests").alias("n")))

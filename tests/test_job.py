@@ -89,3 +89,15 @@ def test_job_on_driver_tables_equals_queries(spark, scratch):
     # the map table partitioned the same way, one row per site and day
     ps = store.read(spark, "partial_stats")
     assert ps.count() == st.partial_stats_requests(logs, ONE_DAY).count()
+
+
+def test_totals_across_separate_days(spark, scratch):
+    rows = _rows() + [("s2", ts(2024, 1, 2, 0, 1), "/a", "1", "y"), ("s3", ts(2024, 1, 2, 0, 3), "/c", "4", "z")]
+    hits = hits_frame(spark, rows)
+    store = StatsStore(scratch)
+    run_statistics(spark, hits, store, FIVE_MINUTES, dt.datetime(2024, 1, 1, 0, 5), dt.datetime(2024, 1, 1, 0, 25))
+    run_statistics(spark, hits, store, FIVE_MINUTES, dt.datetime(2024, 1, 2, 0, 5), dt.datetime(2024, 1, 2, 0, 5))
+    totals = {r.site_id: r.requests for r in store.read(spark, "global_stats").collect()}
+    assert totals == {"s1": 3, "s2": 2, "s3": 1}
+    urls = {(r.site_id, r.url): r.requests for r in store.read(spark, "global_stats_url").collect()}
+    assert urls[("s2", "/a")] == 2 and urls[("s3", "/c")] == 1
