@@ -90,14 +90,12 @@ def q_stats_all_levels(spark, sf_dir):
 
 @query("global_stats")
 def q_global_stats(spark, sf_dir):
-    partial = st.partial_stats_requests(model.logs(spark, sf_dir), FIVE_MINUTES)
-    return st.global_stats(partial)
+    return st.global_stats_from_logs(model.logs(spark, sf_dir), ["site_id"])
 
 
 @query("global_stats_url")
 def q_global_stats_url(spark, sf_dir):
-    partial = st.partial_stats_url(model.logs(spark, sf_dir), FIVE_MINUTES)
-    return st.global_stats_url(partial)
+    return st.global_stats_from_logs(model.logs(spark, sf_dir), ["site_id", "url"])
 
 
 @query("stats_reference")

@@ -140,3 +140,12 @@ def test_custom_definition(spark):
     out = st.partial_stats_requests(_one_site(spark), hourly).collect()
     assert {r.stat_type for r in out} == {"1_hour"}
     assert sum(r.requests for r in out) == 6
+
+
+def test_totals_from_logs_equal_sum_of_partials(spark):
+    from hitlens.sources import model
+    from .conftest import SF001
+    logs = model.logs(spark, SF001)
+    direct = st.global_stats_from_logs(logs, ["site_id", "url"])
+    via = st.global_stats_url(st.partial_stats_url(logs, FIVE_MINUTES))
+    assert direct.exceptAll(via).count() == 0 and via.exceptAll(direct).count() == 0
