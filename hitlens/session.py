@@ -7,11 +7,16 @@ import tempfile
 from pyspark.sql import SparkSession
 
 # Settings every job in this package assumes. AQE re-plans joins and shuffle
-# partition counts from runtime sizes (a broadcast only happens when the
-# measured side is under the threshold) and splits skewed join partitions.
+# partition counts from runtime sizes and splits skewed join partitions.
+# Broadcasts are decided on *measured* sizes only: the static planner's
+# estimate (file size x column share) undershoots computed columns such as
+# text ids several times, so it never broadcasts; AQE turns a shuffled join
+# into a broadcast once the materialised side is under 10 MB.
 DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.sql.adaptive.enabled": "true",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10485760",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
