@@ -77,14 +77,34 @@ def stats_all_levels(logs: DataFrame, stat: StatDefinition, closed_left: bool =
                       F.coalesce("url", "ip_address", "user_agent").alias("key"), "requests")
 
 
+def long_form(levels: DataFrame, stat: StatDefinition) -> DataFrame:
+    """``stats_all_levels`` stamped for storage as one table (see
+    ``schemas.STATS_LEVELS``)."""
+    return stamp(levels, stat).select("site_id", "year", "key", "requests", "level",
+                                      "stat_type", "stat_time")
+
+
+# level -> (table, name of its key column)
+LEVEL_TABLES = {"site": ("partial_stats_requests", None), "url": ("partial_stats_url", "url"),
+                "ip": ("partial_stats_ip", "ip"), "browser": ("partial_stats_browser", "browser")}
+
+
+def level_table(long: DataFrame, level: str) -> DataFrame:
+    """One of the reference-shaped tables out of the long form (filter on
+    ``level``: partition pruning when read from storage)."""
+    rows = long.where(F.col("level") == level)
+    if level == "site":
+        return rows.select("site_id", "year", "stat_time", "stat_type", "requests")
+    name = LEVEL_TABLES[level][1]
+    return rows.select("site_id", "year", "stat_time", "stat_type", F.col("key").alias(name),
+                       F.col("requests").cast("int").alias("requests"))
+
+
 def split_levels(levels: DataFrame, stat: StatDefinition) -> dict[str, DataFrame]:
     """The four statistics tables out of ``stats_all_levels``."""
-    out = {"requests": stamp(levels.where(F.col("level") == "site"), stat)
-           .select("site_id", "year", "stat_time", "stat_type", "requests")}
-    for level, name in (("url", "url"), ("ip", "ip"), ("browser", "browser")):
-        out[level] = stamp(levels.where(F.col("level") == level), stat).select(
-            "site_id", "year", "stat_time", "stat_type", F.col("key").alias(name),
-            F.col("requests").cast("int").alias("requests"))
+    long = long_form(levels, stat)
+    out = {level: level_table(long, level) for level in LEVEL_TABLES}
+    out["requests"] = out.pop("site")
     return out
 
 

@@ -5,10 +5,13 @@ Order of work for a run over the windows ``[first, last]`` (window ends):
 1. due windows (calendar) minus those already in the ledger (skip done work);
 2. hits of the pending windows: a plain ``log_time`` range (pushed to the
    Parquet scan, prunes ``log_date`` partitions) then the window key;
-3. all four statistics levels in one pass, checkpointed to the shared
-   checkpoint folder so the five writes below reuse one scan and survive the
-   loss of executors;
-4. the partial tables, each replacing its (stat_type, stat_time) partitions;
+3. all four statistics levels in one pass, staged as Parquet in the shared
+   checkpoint folder (``spark.checkpoint.dir``) so the five writes below
+   reuse one scan and survive the loss of executors;
+4. the partial tables, each replacing its (stat_type, stat_time) partitions:
+   the four long forms as one table (``stats_levels``, also partitioned by
+   ``level``; the reference's per-level tables are its projections), then
+   the map rows;
 5. the running totals, derived from the partials of the base type through a
    per-day rollup of the touched days (a rerun or a second schedule never
    counts a hit twice, and a tick does not re-read all history);
@@ -30,7 +33,7 @@ from .. import schemas
 from ..functions.timeid import ntz_lit
 from ..functions.windows import FIVE_MINUTES, StatDefinition
 from ..operators import stats as st
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, stage
 from ..sources import sinks
 
 
@@ -48,6 +51,31 @@ class StatsStore:
             return None
         return sinks.read_partitioned(spark, p, schema)
 
+    def table(self, spark: SparkSession, name: str) -> DataFrame | None:
+        """A table by its reference name; the four per-level tables are
+        projections of ``stats_levels`` pruned to one ``level`` partition."""
+        for level, (table, _) in st.LEVEL_TABLES.items():
+            if name == table:
+                long = self.read(spark, "stats_levels", schemas.STATS_LEVELS)
+                return None if long is None else st.level_table(long, level)
+        return self.read(spark, name, _SCHEMAS.get(name))
+
+
+_SCHEMAS = {"partial_stats": schemas.PARTIAL_STATS, "global_stats": schemas.GLOBAL_STATS,
+            "global_stats_url": schemas.GLOBAL_STATS_URL,
+            "stats_reference": schemas.STATS_REFERENCE}
+
+
+def write_window_outputs(levels: DataFrame, stat: StatDefinition, store: StatsStore,
+                         max_map_entries: int = st.DEFAULT_MAX_MAP_ENTRIES) -> None:
+    """The partial statistics of finished windows: all long forms in one
+    write (one pass over ``levels``), then the map rows. Each replaces only
+    its windows' partitions."""
+    sinks.overwrite_partitions(st.long_form(levels, stat), store.path("stats_levels"),
+                               ("level", "stat_type", "stat_time"))
+    sinks.overwrite_partitions(st.partial_stats(levels, stat, max_map_entries),
+                               store.path("partial_stats"))
+
 
 def _calendar(spark: SparkSession, stat: StatDefinition, first: dt.datetime,
               last: dt.datetime) -> DataFrame:
@@ -80,12 +108,10 @@ def update_totals(spark: SparkSession, store: StatsStore, first: dt.datetime,
     """
     lo = ntz_lit(dt.datetime.combine(first.date(), dt.time()))
     hi = ntz_lit(dt.datetime.combine(last.date(), dt.time()) + dt.timedelta(days=1))
-    for table, schema, keys, daily, total in (
-            ("partial_stats_requests", schemas.PARTIAL_STATS_REQUESTS, ["site_id"],
-             "global_stats_daily", "global_stats"),
-            ("partial_stats_url", schemas.PARTIAL_STATS_URL, ["site_id", "url"],
-             "global_stats_url_daily", "global_stats_url")):
-        partials = store.read(spark, table, schema).where(
+    for table, keys, daily, total in (
+            ("partial_stats_requests", ["site_id"], "global_stats_daily", "global_stats"),
+            ("partial_stats_url", ["site_id", "url"], "global_stats_url_daily", "global_stats_url")):
+        partials = store.table(spark, table).where(
             (F.col("stat_type") == base_type) & (F.col("stat_time") >= lo) & (F.col("stat_time") < hi))
         days = (partials.groupBy(*keys, F.to_date("stat_time").alias("stat_date"))
                 .agg(F.sum("requests").cast("bigint").alias("requests")))
@@ -103,7 +129,7 @@ def run_statistics(spark: SparkSession, logs: DataFrame, store: StatsStore,
     """Compute and write every window ending in ``[first, last]`` that the
     ledger does not hold yet. Returns the number of windows written."""
     checkpoint_dir(spark)
-    todo = pending(spark, store, stat, first, last).checkpoint(eager=True)
+    todo = stage(pending(spark, store, stat, first, last), "pending")
     n_windows = todo.count()
     if n_windows == 0:
         return 0
@@ -113,14 +139,9 @@ def run_statistics(spark: SparkSession, logs: DataFrame, store: StatsStore,
     if "log_date" in logs.columns:  # a stored logs table: prune its day partitions
         hits = hits.where(F.col("log_date").between(F.lit(lo.date()), F.lit(last.date())))
     in_todo = st.windowed(hits, stat).join(todo.select("stat_time"), "stat_time", "left_semi")
-    levels = st.stats_all_levels(in_todo.drop("stat_time"), stat).checkpoint(eager=True)
+    levels = stage(st.stats_all_levels(in_todo.drop("stat_time"), stat), "levels")
 
-    parts = st.split_levels(levels, stat)
-    for name, table in (("requests", "partial_stats_requests"), ("url", "partial_stats_url"),
-                        ("ip", "partial_stats_ip"), ("browser", "partial_stats_browser")):
-        sinks.overwrite_partitions(parts[name], store.path(table))
-    sinks.overwrite_partitions(st.partial_stats(levels, stat, max_map_entries),
-                               store.path("partial_stats"))
+    write_window_outputs(levels, stat, store, max_map_entries)
 
     if stat.stat_type == base_type:  # totals derive from the base type only
         update_totals(spark, store, first, last, base_type)

@@ -42,6 +42,12 @@ PARTIAL_STATS_IP = _s(("site_id", TEXT), ("year", INT), ("stat_time", TS), ("sta
 PARTIAL_STATS_BROWSER = _s(("site_id", TEXT), ("year", INT), ("stat_time", TS),
                            ("stat_type", TEXT), ("browser", TEXT), ("requests", INT))
 
+# All four long forms in one table, partitioned by (level, stat_type,
+# stat_time); ``key`` is null on the site level. The tables above are its
+# projections.
+STATS_LEVELS = _s(("site_id", TEXT), ("year", INT), ("key", TEXT), ("requests", BIGINT),
+                  ("level", TEXT), ("stat_type", TEXT), ("stat_time", TS))
+
 # Raw hit as posted: JSON body with three required fields.
 HIT_BODY = _s(("url", TEXT), ("ipAddress", TEXT), ("userAgent", TEXT))
 # A message stream as any broker source delivers it.

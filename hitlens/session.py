@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job in this package assumes. AQE re-plans joins and shuffle
 # partition counts from runtime sizes and splits skewed join partitions.
@@ -54,3 +54,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="hitlens-ckpt-")
     spark.sparkContext.setCheckpointDir(configured)
     return spark.sparkContext.getCheckpointDir() or configured
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage by writing ``df`` as Parquet under the shared checkpoint
+    folder and reading it back.
+
+    One pass (an eager RDD checkpoint computes the plan twice and stores
+    serialized rows); the staged copy is columnar, so later readers prune
+    columns and push filters. Survives the loss of executors like any table.
+    """
+    import uuid
+
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/hitlens-stage/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

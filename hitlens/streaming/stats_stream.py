@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.timeid import ltz_from_ntz, ntz_from_ltz
-from ..functions.windows import StatDefinition
+from ..functions.windows import FIVE_MINUTES, StatDefinition
 from ..operators import stats as st
 from ..sources import sinks
 
@@ -41,36 +41,41 @@ def level_counts(hits: DataFrame, stat: StatDefinition, watermark: str) -> DataF
 
 
 def write_levels_batch(levels: DataFrame, stat: StatDefinition, root: str,
-                       max_map_entries: int = st.DEFAULT_MAX_MAP_ENTRIES) -> None:
-    """Write one micro-batch of finished windows (also usable for any
-    ``stats_all_levels`` frame)."""
-    import os
+                       max_map_entries: int = st.DEFAULT_MAX_MAP_ENTRIES,
+                       base_type: str = FIVE_MINUTES.stat_type) -> None:
+    """Write one micro-batch of finished windows with the batch job's
+    writers: partials, running totals (for the base type), ledger last."""
+    from ..plans.stats_job import StatsStore, update_totals, write_window_outputs
+
+    store = StatsStore(root)
     levels = levels.persist()
     try:
-        parts = st.split_levels(levels, stat)
-        for name, table in (("requests", "partial_stats_requests"), ("url", "partial_stats_url"),
-                            ("ip", "partial_stats_ip"), ("browser", "partial_stats_browser")):
-            sinks.overwrite_partitions(parts[name], os.path.join(root, table))
-        sinks.overwrite_partitions(st.partial_stats(levels, stat, max_map_entries),
-                                   os.path.join(root, "partial_stats"))
+        write_window_outputs(levels, stat, store, max_map_entries)
         ledger = (levels.where(F.col("level") == "site").groupBy("stat_time")
                   .agg(F.sum("requests").cast("bigint").alias("affected_records"))
                   .select(F.lit(stat.stat_type).alias("stat_type"), "stat_time", "affected_records"))
-        sinks.overwrite_partitions(ledger, os.path.join(root, "stats_reference"))
+        ledger = ledger.persist()
+        if stat.stat_type == base_type:
+            span = ledger.agg(F.min("stat_time"), F.max("stat_time")).first()
+            if span[0] is not None:
+                update_totals(levels.sparkSession, store, span[0], span[1], base_type)
+        sinks.overwrite_partitions(ledger, store.path("stats_reference"))
+        ledger.unpersist()
     finally:
         levels.unpersist()
 
 
 def start_stats_stream(hits: DataFrame, stat: StatDefinition, root: str, checkpoint: str,
                        watermark: str = "10 minutes", trigger: dict | None = None,
-                       max_map_entries: int = st.DEFAULT_MAX_MAP_ENTRIES) -> StreamingQuery:
+                       max_map_entries: int = st.DEFAULT_MAX_MAP_ENTRIES,
+                       base_type: str = FIVE_MINUTES.stat_type) -> StreamingQuery:
     """Start the streaming statistics query over a streaming ``logs`` frame."""
     counts = level_counts(hits, stat, watermark)
 
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
         levels = batch.select("level", "site_id", ntz_from_ltz(F.col("window.end")).alias("stat_time"),
                               "key", "requests")
-        write_levels_batch(levels, stat, root, max_map_entries)
+        write_levels_batch(levels, stat, root, max_map_entries, base_type)
 
     writer = (counts.writeStream.outputMode("append").foreachBatch(per_batch)
               .option("checkpointLocation", checkpoint))

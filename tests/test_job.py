@@ -25,7 +25,7 @@ def _snapshot(spark, store):
                       ("global_stats", schemas.GLOBAL_STATS),
                       ("global_stats_url", schemas.GLOBAL_STATS_URL),
                       ("stats_reference", schemas.STATS_REFERENCE)):
-        df = schemas.conform(store.read(spark, t), schema)
+        df = schemas.conform(store.table(spark, t), schema)
         out[t] = sorted(tuple(str(v) for v in r) for r in df.collect())
     return out
 
@@ -53,13 +53,13 @@ def test_crash_after_partials_then_rerun(spark, scratch):
     hits = hits_frame(spark, _rows())
     # partials written, ledger not (a crash between the two)
     levels = st.stats_all_levels(hits, FIVE_MINUTES)
-    sinks.overwrite_partitions(st.split_levels(levels, FIVE_MINUTES)["requests"],
-                               store.path("partial_stats_requests"))
+    sinks.overwrite_partitions(st.long_form(levels, FIVE_MINUTES), store.path("stats_levels"),
+                               ("level", "stat_type", "stat_time"))
     run_statistics(spark, hits, store, FIVE_MINUTES, dt.datetime(2024, 1, 1, 0, 5),
                    dt.datetime(2024, 1, 1, 0, 25))
     totals = {r.site_id: r.requests for r in store.read(spark, "global_stats").collect()}
     assert totals == {"s1": 3, "s2": 1}
-    req = store.read(spark, "partial_stats_requests")
+    req = store.table(spark, "partial_stats_requests")
     assert req.agg(F.sum("requests")).first()[0] == 4
 
 
@@ -82,7 +82,7 @@ def test_job_on_driver_tables_equals_queries(spark, scratch):
     first = dt.datetime(b[0].year, b[0].month, b[0].day) + dt.timedelta(days=1)
     last = dt.datetime(b[1].year, b[1].month, b[1].day) + dt.timedelta(days=1)
     run_statistics(spark, logs, store, ONE_DAY, first, last)
-    written = store.read(spark, "partial_stats_url").select(
+    written = store.table(spark, "partial_stats_url").select(
         "site_id", "year", "stat_time", "stat_type", "url", "requests")
     direct = st.partial_stats_url(logs, ONE_DAY)
     assert written.exceptAll(direct).count() == 0 and direct.exceptAll(written).count() == 0

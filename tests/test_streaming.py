@@ -42,7 +42,8 @@ def _stream(spark, src, root, ckpt, watermark="1 hour"):
 
 
 def _table(spark, root, name, schema):
-    return schemas.conform(spark.read.parquet(os.path.join(root, name)), schema)
+    from hitlens.plans.stats_job import StatsStore
+    return schemas.conform(StatsStore(root).table(spark, name), schema)
 
 
 def test_stream_equals_batch_and_restart(spark, scratch):
@@ -116,3 +117,18 @@ def test_ingest_stream_dedupes_redelivery(spark, scratch):
     assert logs.select("log_id").distinct().count() == logs.count()
     quarantine = spark.read.parquet(os.path.join(root, "quarantine"))
     assert quarantine.count() == batch.count() - accepted.count()
+
+
+def test_stream_keeps_running_totals(spark, scratch):
+    src, root, ckpt = (os.path.join(scratch, d) for d in ("src", "out", "ckpt"))
+    os.makedirs(src)
+    chunks, pdf = _chunks(spark, 2)
+    _write_chunk(chunks[0], os.path.join(src, "c0.parquet"))
+    _write_chunk(chunks[1], os.path.join(src, "c1.parquet"))
+    _write_chunk(_sentinel(pdf, dt.datetime(2024, 6, 1)), os.path.join(src, "c2.parquet"))
+    hits = spark.readStream.schema(schemas.LOGS).option("maxFilesPerTrigger", 1).parquet(src)
+    start_stats_stream(hits, ONE_DAY, root, ckpt, watermark="1 hour",
+                       base_type=ONE_DAY.stat_type).awaitTermination(300)
+    got = _table(spark, root, "global_stats", schemas.GLOBAL_STATS)
+    expected = st.global_stats_from_logs(model.logs(spark, SF001), ["site_id"], base=ONE_DAY)
+    assert got.exceptAll(expected).count() == 0 and expected.exceptAll(got).count() == 0
