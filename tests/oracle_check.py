@@ -71,7 +71,12 @@ def main(argv):
     only = set(argv[2:])
     from hitlens.session import get_session
     import __spark_entry__ as entry
-    spark = get_session("local[8]", 8)
+    if os.environ.get("PLAIN_SESSION"):  # the driver's way: no settings of ours
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[*]")
+                 .config("spark.sql.shuffle.partitions", "8").getOrCreate())
+    else:
+        spark = get_session("local[8]", 8)
     con = duck(sf_dir)
     qs, sqls = entry.queries(), entry.oracle_sql()
     bad = 0
