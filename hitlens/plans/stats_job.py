@@ -23,9 +23,9 @@ Order of work for a run over the windows ``[first, last]`` (window ends):
 from __future__ import annotations
 
 import datetime as dt
-import os
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,13 +43,17 @@ class StatsStore:
     root: str
 
     def path(self, table: str) -> str:
-        return os.path.join(self.root, table)
+        return f"{self.root.rstrip('/')}/{table}"
 
     def read(self, spark: SparkSession, table: str, schema=None) -> DataFrame | None:
-        p = self.path(table)
-        if not os.path.exists(p) and not p.startswith(("s3", "hdfs", "gs", "abfs")):
-            return None
-        return sinks.read_partitioned(spark, p, schema)
+        """The table, or None when it was never written (asked of Spark, so
+        any file system the cluster mounts works)."""
+        try:
+            return sinks.read_partitioned(spark, self.path(table), schema)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+                return None
+            raise
 
     def table(self, spark: SparkSession, name: str) -> DataFrame | None:
         """A table by its reference name; the four per-level tables are
