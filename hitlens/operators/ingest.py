@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..functions import status
 from ..functions.timeid import is_uuid
 from ..schemas import HIT_BODY
+from .joins import broadcast_if_small
 
 # Body field -> column (camelCase on the wire, snake_case in tables).
 HIT_FIELDS = (("url", "url"), ("ipAddress", "ip_address"), ("userAgent", "user_agent"))
@@ -54,17 +55,19 @@ def resolve_hits(hits: DataFrame, by_tracking: DataFrame, tracking: str = "track
     when nobody owns the id, 400 when the id is malformed (or the row is not
     ``eligible``, e.g. its body did not decode).
 
-    A left equi-join planned by Spark: broadcast when the registry side is
-    measured under the broadcast threshold (AQE), sort-merge otherwise, with a
-    hot tracking id split by AQE's skew-join handling. Ineligible rows join
-    on null and so never match.
+    A left equi-join: the registry is broadcast when it measures under the
+    bound of ``joins.is_small`` (the hits, the big side, then stay where they
+    are); otherwise a shuffled join planned by AQE, with a hot tracking id
+    split by AQE's skew-join handling. Ineligible rows join on null and so
+    never match.
     """
     ok = is_uuid(F.col(tracking))
     if eligible is not None:
         ok = ok & eligible
     keyed = hits.withColumn("_key", F.when(ok, F.col(tracking)))
     reg = by_tracking.select(F.col("tracking_id").alias("_key"), "site_id")
-    joined = keyed.join(reg, "_key", "left")
+    # a registry that measures small is broadcast, so the hits are never shuffled
+    joined = keyed.join(broadcast_if_small(reg), "_key", "left")
     st = (F.when(F.col("_key").isNull(), F.lit(status.BAD_REQUEST))
           .when(F.col("site_id").isNull(), F.lit(status.NOT_FOUND))
           .otherwise(F.lit(status.ACCEPTED)))

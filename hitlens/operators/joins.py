@@ -1,0 +1,71 @@
+"""Joins of a small batch against a large table, broadcast only behind a
+measured size.
+
+A batch of requests (updates, deletes, look-ups, sign-ups) is usually tiny
+next to the registry it is applied to. A shuffled join would move the whole
+registry over the network for it; a broadcast of the batch moves nothing but
+the batch. The batch is broadcast only when it measures under a row and
+byte bound (a bounded ``limit().count()``, then the exact byte sum of its
+columns); otherwise the join stays a shuffled join, planned by AQE.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import (BooleanType, ByteType, DateType, DoubleType, FloatType,
+                               IntegerType, LongType, ShortType, StringType, TimestampNTZType,
+                               TimestampType)
+
+MAX_BROADCAST_ROWS = 100_000
+MAX_BROADCAST_BYTES = 16 << 20
+
+_FIXED = (BooleanType, ByteType, ShortType, IntegerType, LongType, FloatType, DoubleType,
+          DateType, TimestampType, TimestampNTZType)
+
+
+def _width(field) -> Column:
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, StringType):
+        return F.coalesce(F.octet_length(c), F.lit(0)).cast("bigint") + 8
+    if isinstance(field.dataType, _FIXED):
+        return F.lit(8)
+    return F.coalesce(F.octet_length(c.cast("string")), F.lit(0)).cast("bigint") + 16
+
+
+def is_small(df: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes
+    of column data (module bounds by default). One bounded job: it reads at
+    most ``max_rows + 1`` rows, so a large frame is not scanned to the end."""
+    max_rows = MAX_BROADCAST_ROWS if max_rows is None else max_rows
+    max_bytes = MAX_BROADCAST_BYTES if max_bytes is None else max_bytes
+    row_width = sum((_width(f) for f in df.schema.fields), F.lit(0))
+    probe = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"),
+                                       F.sum(row_width).alias("b")).first()
+    return probe["n"] <= max_rows and (probe["b"] or 0) <= max_bytes
+
+
+def broadcast_if_small(df: DataFrame, **bounds) -> DataFrame:
+    return F.broadcast(df) if is_small(df, **bounds) else df
+
+
+def restrict_to_keys(table: DataFrame, batch: DataFrame, keys: list[str],
+                     **bounds) -> tuple[DataFrame, bool]:
+    """Cut ``table`` down to the keys a batch asks for, when that is cheap.
+
+    When the batch's distinct keys measure small, returns the table's rows
+    with those keys (a semi join broadcasting the keys: the table is scanned,
+    with its filters pushed, but not shuffled) and True; a key-only
+    projection of those rows (a subset of the keys, the table being unique
+    on them) is then within the same bound and may be broadcast without
+    measuring again. Otherwise returns the table unchanged and False, and
+    the caller's join on the same keys stays a shuffled join planned by AQE.
+    The cut never changes a result, only the plan.
+    """
+    key_rows = batch.select(*keys).where(
+        F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)))
+    # the key rows bound their distinct keys: measured without a shuffle,
+    # and the bounded probe stops early on a large batch
+    if is_small(key_rows, **bounds):
+        return table.join(F.broadcast(key_rows.distinct()), keys, "left_semi"), True
+    return table, False

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import status
 from ..functions.timeid import is_uuid, time_of_uuid
 from ..functions.validation import MIN_PASSWORD_LENGTH, email_rule, errors_text, min_length_rule, validate
+from .joins import broadcast_if_small, restrict_to_keys
 
 USER_RULES = [email_rule("email"), min_length_rule("password", MIN_PASSWORD_LENGTH)]
 
@@ -39,8 +40,11 @@ def find_by_id(requests: DataFrame, table: DataFrame, created: str = "created_da
     nulls) plus 200 / 404 / 400 and the creation time of the id."""
     valid = is_uuid(F.col("id"))
     keyed = requests.withColumn("_key", F.when(valid, F.col("id")))
-    right = table.withColumnRenamed("id", "_key").withColumn("_found", F.lit(True))
-    joined = keyed.join(right, "_key", "left")
+    # only the requested rows of the table take part in the join
+    # only the requested rows of the table take part in the join; both
+    # sides are then batch-sized and AQE plans the join on measured sizes
+    wanted, _ = restrict_to_keys(table.withColumnRenamed("id", "_key"), keyed, ["_key"])
+    joined = keyed.join(wanted.withColumn("_found", F.lit(True)), "_key", "left")
     st = (F.when(F.col("_key").isNull(), F.lit(status.BAD_REQUEST))
           .when(F.col("_found").isNull(), F.lit(status.NOT_FOUND))
           .otherwise(F.lit(status.OK)))
@@ -53,7 +57,8 @@ def list_sites(requests: DataFrame, by_user: DataFrame) -> DataFrame:
     """Site ids and creation dates of each requested user; an unknown user
     has an empty list (no rows), a malformed id too (it is a 400)."""
     ok = requests.where(is_uuid(F.col("user_id")))
-    return (ok.join(by_user, "user_id", "inner")
+    mine, _ = restrict_to_keys(by_user, ok, ["user_id"])
+    return (ok.join(mine, "user_id", "inner")
             .select("request_id", "user_id", "site_id",
                     time_of_uuid(F.col("site_id")).alias("created_date")))
 
@@ -91,9 +96,12 @@ def sign_up_outcomes(requests: DataFrame, by_email: DataFrame, new_id) -> DataFr
     - joined back on the unique request id. The password is checked, never
     kept.
     """
-    registered = by_email.select("email").distinct().withColumn("_registered", F.lit(True))
+    # the registry is keyed by e-mail: its rows for the batch's e-mails are
+    # no more than those e-mails, so they inherit the batch's size check
+    registered, small = restrict_to_keys(by_email.select("email"), requests, ["email"])
+    registered = registered.withColumn("_registered", F.lit(True))
     v = (validate(requests, USER_RULES)
-         .join(registered, "email", "left")
+         .join(F.broadcast(registered) if small else registered, "email", "left")
          .withColumn("_eligible", (F.size("errors") == 0) & F.col("_registered").isNull()))
     first = (v.where(F.col("_eligible")).groupBy("email")
              .agg(F.min(F.struct("arrival", "request_id")).alias("_first"))
@@ -124,7 +132,7 @@ def apply_updates(table: DataFrame, updates: DataFrame, values: list[str],
     last = (updates.groupBy(key)
             .agg(F.max(F.struct(order, *values)).alias("_u"))
             .select(key, *[F.col(f"_u.{v}").alias(f"_new_{v}") for v in values]))
-    after = table.join(last, key, "left")
+    after = table.join(broadcast_if_small(last), key, "left")
     for v in values:
         after = after.withColumn(v, F.coalesce(F.col(f"_new_{v}"), F.col(v))).drop(f"_new_{v}")
     after = after.select(*table.columns)
@@ -134,13 +142,14 @@ def apply_updates(table: DataFrame, updates: DataFrame, values: list[str],
 
 def apply_deletes(table: DataFrame, deletes: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """Delete-if-present from the base table; returns (table after, outcomes)."""
-    after = table.join(deletes.select(key), key, "left_anti")
+    after = table.join(broadcast_if_small(deletes.select(key).distinct()), key, "left_anti")
     return after, _presence(deletes, table, key)
 
 
 def _presence(requests: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    present = table.select(key).withColumn("_present", F.lit(True))
-    joined = requests.join(present, key, "left")
+    present, small = restrict_to_keys(table.select(key), requests, [key])
+    present = present.withColumn("_present", F.lit(True))
+    joined = requests.join(F.broadcast(present) if small else present, key, "left")
     st = (F.when(~is_uuid(F.col(key)), F.lit(status.BAD_REQUEST))
           .when(F.col("_present").isNull(), F.lit(status.NOT_FOUND))
           .otherwise(F.lit(status.OK)))

@@ -1,0 +1,42 @@
+from pyspark.sql import functions as F
+
+from hitlens.operators import joins
+from hitlens.operators import registry as reg
+from hitlens.sources import model
+
+from .conftest import SF001
+
+
+def test_is_small_bounds(spark):
+    df = spark.range(1000).select(F.col("id"), F.lit("x" * 100).alias("s"))
+    assert joins.is_small(df)
+    assert not joins.is_small(df, max_rows=999)
+    assert not joins.is_small(df, max_bytes=50_000)
+
+
+def test_small_batch_cuts_table_without_shuffle(spark):
+    table = spark.range(100_000).select(F.col("id").cast("string").alias("id"), F.lit("d").alias("domain"))
+    batch = spark.createDataFrame([("5",), ("77",), ("77",), (None,)], "id string")
+    cut, small = joins.restrict_to_keys(table, batch, ["id"])
+    assert small and sorted(r.id for r in cut.collect()) == ["5", "77"]
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
+    assert "Exchange hashpartitioning" not in plan.split("BroadcastExchange")[0]
+
+
+def test_large_batch_leaves_table(spark):
+    table = spark.range(10).select(F.col("id").cast("string").alias("id"))
+    batch = spark.range(10).select(F.col("id").cast("string").alias("id"))
+    cut, small = joins.restrict_to_keys(table, batch, ["id"], max_rows=5)
+    assert not small and cut is table
+
+
+def test_registry_results_do_not_depend_on_the_plan(spark, monkeypatch):
+    sites, updates = model.sites(spark, SF001), model.site_updates(spark, SF001)
+    small = reg.apply_updates(sites, updates, ["domain"])
+    assert "BroadcastHashJoin" in small[0]._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(joins, "MAX_BROADCAST_ROWS", 0)
+    big = reg.apply_updates(sites, updates, ["domain"])
+    assert "BroadcastHashJoin" not in big[0]._jdf.queryExecution().executedPlan().toString()
+    for a, b in zip(small, big):
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
