@@ -50,7 +50,7 @@ def broadcast_if_small(df: DataFrame, **bounds) -> DataFrame:
 
 
 def restrict_to_keys(table: DataFrame, batch: DataFrame, keys: list[str],
-                     **bounds) -> tuple[DataFrame, bool]:
+                     small: bool | None = None, **bounds) -> tuple[DataFrame, bool]:
     """Cut ``table`` down to the keys a batch asks for, when that is cheap.
 
     When the batch's distinct keys measure small, returns the table's rows
@@ -60,12 +60,16 @@ def restrict_to_keys(table: DataFrame, batch: DataFrame, keys: list[str],
     on them) is then within the same bound and may be broadcast without
     measuring again. Otherwise returns the table unchanged and False, and
     the caller's join on the same keys stays a shuffled join planned by AQE.
-    The cut never changes a result, only the plan.
+    The cut never changes a result, only the plan. ``small`` passes the
+    result of an earlier probe of ``batch`` (its key rows are a projection
+    of it, so they are within the same bound).
     """
     key_rows = batch.select(*keys).where(
         F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)))
     # the key rows bound their distinct keys: measured without a shuffle,
     # and the bounded probe stops early on a large batch
-    if is_small(key_rows, **bounds):
+    if small is None:
+        small = is_small(key_rows, **bounds)
+    if small:
         return table.join(F.broadcast(key_rows.distinct()), keys, "left_semi"), True
     return table, False

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import status
 from ..functions.timeid import is_uuid, time_of_uuid
 from ..functions.validation import MIN_PASSWORD_LENGTH, email_rule, errors_text, min_length_rule, validate
-from .joins import broadcast_if_small, restrict_to_keys
+from .joins import is_small, restrict_to_keys
 
 USER_RULES = [email_rule("email"), min_length_rule("password", MIN_PASSWORD_LENGTH)]
 
@@ -132,22 +132,27 @@ def apply_updates(table: DataFrame, updates: DataFrame, values: list[str],
     last = (updates.groupBy(key)
             .agg(F.max(F.struct(order, *values)).alias("_u"))
             .select(key, *[F.col(f"_u.{v}").alias(f"_new_{v}") for v in values]))
-    after = table.join(broadcast_if_small(last), key, "left")
+    # one probe of the batch bounds everything derived from it: the last
+    # update per key and the batch's keys are both subsets of its rows
+    small = is_small(updates)
+    after = table.join(F.broadcast(last) if small else last, key, "left")
     for v in values:
         after = after.withColumn(v, F.coalesce(F.col(f"_new_{v}"), F.col(v))).drop(f"_new_{v}")
     after = after.select(*table.columns)
-    outcomes = _presence(updates, table, key)
+    outcomes = _presence(updates, table, key, small)
     return after, outcomes
 
 
 def apply_deletes(table: DataFrame, deletes: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """Delete-if-present from the base table; returns (table after, outcomes)."""
-    after = table.join(broadcast_if_small(deletes.select(key).distinct()), key, "left_anti")
-    return after, _presence(deletes, table, key)
+    small = is_small(deletes)
+    gone = deletes.select(key).distinct()
+    after = table.join(F.broadcast(gone) if small else gone, key, "left_anti")
+    return after, _presence(deletes, table, key, small)
 
 
-def _presence(requests: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    present, small = restrict_to_keys(table.select(key), requests, [key])
+def _presence(requests: DataFrame, table: DataFrame, key: str, small: bool | None = None) -> DataFrame:
+    present, small = restrict_to_keys(table.select(key), requests, [key], small)
     present = present.withColumn("_present", F.lit(True))
     joined = requests.join(F.broadcast(present) if small else present, key, "left")
     st = (F.when(~is_uuid(F.col(key)), F.lit(status.BAD_REQUEST))
