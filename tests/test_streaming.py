@@ -132,3 +132,38 @@ def test_stream_keeps_running_totals(spark, scratch):
     got = _table(spark, root, "global_stats", schemas.GLOBAL_STATS)
     expected = st.global_stats_from_logs(model.logs(spark, SF001), ["site_id"], base=ONE_DAY)
     assert got.exceptAll(expected).count() == 0 and expected.exceptAll(got).count() == 0
+
+
+def _messages(rows):
+    import pandas as pd
+    pdf = pd.DataFrame(rows, columns=["key", "value", "partition", "offset", "timestamp"])
+    pdf["partition"] = pdf["partition"].astype("int32")
+    pdf["timestamp"] = pd.to_datetime(pdf["timestamp"]).dt.tz_localize("UTC")
+    return pdf
+
+
+def test_ingest_restart_and_registry_refresh(spark, scratch):
+    src, root, ckpt, regp = (os.path.join(scratch, d) for d in ("src", "out", "ckpt", "reg"))
+    os.makedirs(src)
+    known, later = "00000000-0000-4000-8000-000000000001", "00000000-0000-4000-8000-000000000002"
+    body = '{"url":"/","ipAddress":"1.2.3.4","userAgent":"ua"}'
+    t = dt.datetime(2024, 1, 1)
+    spark.createDataFrame([(known, "site-1")], "tracking_id string, site_id string") \
+        .write.mode("overwrite").parquet(regp)
+    _write_chunk(_messages([(known, body, 0, 0, t), (later, body, 0, 1, t)]), os.path.join(src, "m0.parquet"))
+
+    def run():
+        stream = spark.readStream.schema(schemas.MESSAGES).option("maxFilesPerTrigger", 1).parquet(src)
+        start_ingest_stream(stream, lambda: spark.read.parquet(regp), root, ckpt,
+                            watermark="3650 days").awaitTermination(300)
+
+    run()
+    # the second site registers; a redelivery of offset 0 and a new hit of it follow
+    spark.createDataFrame([(known, "site-1"), (later, "site-2")], "tracking_id string, site_id string") \
+        .write.mode("overwrite").parquet(regp)
+    _write_chunk(_messages([(known, body, 0, 0, t), (later, body, 0, 2, t)]), os.path.join(src, "m1.parquet"))
+    run()
+    logs = {r.log_id: r.site_id for r in spark.read.parquet(os.path.join(root, "logs")).collect()}
+    assert logs == {"0-0": "site-1", "0-2": "site-2"}
+    q = {r.hit_id: r.status for r in spark.read.parquet(os.path.join(root, "quarantine")).collect()}
+    assert q == {"0-1": 404}
