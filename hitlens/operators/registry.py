@@ -40,9 +40,8 @@ def find_by_id(requests: DataFrame, table: DataFrame, created: str = "created_da
     nulls) plus 200 / 404 / 400 and the creation time of the id."""
     valid = is_uuid(F.col("id"))
     keyed = requests.withColumn("_key", F.when(valid, F.col("id")))
-    # only the requested rows of the table take part in the join
-    # only the requested rows of the table take part in the join; both
-    # sides are then batch-sized and AQE plans the join on measured sizes
+    # only the requested rows of the table take part in the join (when the
+    # batch is small); the join itself is then planned by AQE on measured sizes
     wanted, _ = restrict_to_keys(table.withColumnRenamed("id", "_key"), keyed, ["_key"])
     joined = keyed.join(wanted.withColumn("_found", F.lit(True)), "_key", "left")
     st = (F.when(F.col("_key").isNull(), F.lit(status.BAD_REQUEST))
