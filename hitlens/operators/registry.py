@@ -42,7 +42,9 @@ def find_by_id(requests: DataFrame, table: DataFrame, created: str = "created_da
     keyed = requests.withColumn("_key", F.when(valid, F.col("id")))
     # only the requested rows of the table take part in the join (when the
     # batch is small); the join itself is then planned by AQE on measured sizes
-    wanted, _ = restrict_to_keys(table.withColumnRenamed("id", "_key"), keyed, ["_key"])
+    # probe the raw ids: they bound the valid keys and cost one evaluation
+    small = is_small(requests.select("id"))
+    wanted, _ = restrict_to_keys(table.withColumnRenamed("id", "_key"), keyed, ["_key"], small)
     joined = keyed.join(wanted.withColumn("_found", F.lit(True)), "_key", "left")
     st = (F.when(F.col("_key").isNull(), F.lit(status.BAD_REQUEST))
           .when(F.col("_found").isNull(), F.lit(status.NOT_FOUND))
@@ -56,7 +58,7 @@ def list_sites(requests: DataFrame, by_user: DataFrame) -> DataFrame:
     """Site ids and creation dates of each requested user; an unknown user
     has an empty list (no rows), a malformed id too (it is a 400)."""
     ok = requests.where(is_uuid(F.col("user_id")))
-    mine, _ = restrict_to_keys(by_user, ok, ["user_id"])
+    mine, _ = restrict_to_keys(by_user, ok, ["user_id"], is_small(requests.select("user_id")))
     return (ok.join(mine, "user_id", "inner")
             .select("request_id", "user_id", "site_id",
                     time_of_uuid(F.col("site_id")).alias("created_date")))
