@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_quality, simhash_dedup
+from . import host_quality, simhash_dedup, suffix_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,5 +25,11 @@ def op6_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_quality.judge(docs).select("doc_id", *(F.col(f"quality.{x}").alias(x) for x in fields))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_dedup, op6_host_quality)}
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per later place of a repeated passage, with the document that holds the first one."""
+    found = suffix_dedup.passages(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select(F.col("doc").alias("doc_id"), "start", "end", "n_words", F.col("first_doc").alias("first_doc_id"), "first_word")
+
+
+QUERIES = {f.__name__: f for f in (op3_simhash_dedup, op6_host_quality, op8_suffix_dedup)}
 ORACLE: dict[str, str] = {}

@@ -1,0 +1,116 @@
+import random
+
+import numpy as np
+
+from hitlens.llm import suffix_dedup as sd
+
+from .helpers import SF001, empty, frame, rows_of
+
+
+def planted(seed=3):
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(5000)}"
+    passages = [[word() for _ in range(n)] for n in (50, 51, 57, 80, 200, 42, 30)]
+    rows = []
+    for i in range(60):
+        words = [word() for _ in range(rng.randrange(20, 90))]
+        for p in rng.sample(passages, rng.randrange(3)):
+            cut = rng.randrange(0, 8) if len(p) > 100 else 0  # some copies lack the edges
+            words += p[cut : len(p) - cut] + [word() for _ in range(rng.randrange(1, 60))]
+        rows.append((i, "".join(w + rng.choice([" ", "  ", "\n", " \t"]) for w in words), "en", "s"))
+    rows += [(100 + i, rows[i][1], "en", "s") for i in range(5)]  # exact copies
+    rows += [(200, "a " * 400, "en", "s"), (201, "é " * 20 + " ".join(passages[3]) + " ü", "en", "s")]
+    return rows
+
+
+def repeated_words(rows, size):
+    """(doc, word) that lie in a run of `size` words that occurs earlier, in another place that it doesn't overlap."""
+    first, out = {}, set()
+    for i, text, *_ in sorted(rows):
+        words = (text or "").split()
+        for a in range(len(words) - size + 1):
+            run = tuple(words[a : a + size])
+            doc, at = first.setdefault(run, (i, a))
+            if doc != i or a - at >= size:
+                out |= {(i, k) for k in range(a, a + size)}
+    return out
+
+
+def check(spark, rows):
+    got = sd.passages(frame(spark, rows)).collect()
+    texts = {i: t for i, t, *_ in rows}
+    covered = set()
+    for r in got:
+        text = texts[r.doc]
+        words = text[r.start : r.end].split()
+        assert len(words) == r.n_words >= sd.HEAD
+        assert words == texts[r.first_doc].split()[r.first_word : r.first_word + r.n_words]
+        assert (r.first_doc, r.first_word) < (r.doc, len(text[: r.start].split()))
+        before = len(text[: r.start].split())
+        covered |= {(r.doc, k) for k in range(before, before + r.n_words)}
+    return got, covered
+
+
+def test_passages_against_brute_force(spark):
+    rows = planted()
+    got, covered = check(spark, rows)
+    assert got
+    missed = repeated_words(rows, sd.MIN_WORDS) - covered
+    near = lambda d, k: any((d, j) in covered for j in range(k - sd.WINDOW + 1, k + sd.WINDOW))
+    assert all(near(d, k) for d, k in missed) and len(missed) < len(covered) / 100
+    assert not covered - repeated_words(rows, sd.HEAD)
+
+
+def test_documents_against_brute_force(spark):
+    rows = rows_of(SF001)
+    _, covered = check(spark, rows)
+    assert repeated_words(rows, sd.MIN_WORDS) <= covered
+
+
+def test_runs_that_cross_partition_edges(spark):
+    """Few heads over many partitions: every run crosses edges, and its first row is still that of the smallest document."""
+    rng = random.Random(1)
+    passage = " ".join(f"p{rng.randrange(9999)}" for _ in range(60))
+    rows = [(i, f"x{i} {passage} y{i}", "en", "s") for i in range(200)]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        got, covered = check(spark, rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert {r.first_doc for r in got} == {0} and {(r.doc, r.n_words) for r in got} == {(i, 60) for i in range(1, 200)}
+
+
+def test_scan_of_a_partition_does_not_depend_on_batches():
+    import pyarrow as pa
+
+    keys = np.array([1, 1, 2, 3, 3, 3, 4, 5, 5], np.int64)
+    whole = [keys, np.arange(9), np.arange(9) * 10]
+    cut = lambda n: [pa.RecordBatch.from_arrays([pa.array(x[i : i + n]) for x in whole], ["key", "doc", "place"]) for i in range(0, 9, n)]
+    rows = lambda n: sorted(tuple(r.values()) for b in sd._neighbours(iter(cut(n))) for r in b.to_pylist())
+    assert all(rows(n) == rows(9) for n in range(1, 9))
+    assert {r[2] for r in rows(9) if r[0] == 0} == {0, 1, 3, 4, 5, 7, 8}
+
+
+def test_removal_keeps_first_places_and_columns(spark):
+    rows = planted(4)
+    docs = frame(spark, rows)
+    left = sd.remove_repeats(docs)
+    assert left.columns == docs.columns
+    out = {r.doc_id: r.text for r in left.collect()}
+    assert not set(range(100, 105)) & {i for i in out if len(out[i].split()) >= sd.MIN_WORDS}
+    still = [(i, t, "en", "s") for i, t in out.items()]
+    assert not repeated_words(still, sd.MIN_WORDS)
+    assert {w for _, t, *_ in rows for w in t.split()} == {w for t in out.values() for w in t.split()}  # nothing is lost
+    for i, text, *_ in rows:  # a document without a repeat stays as it is
+        if not any(d == i for d, _ in repeated_words(rows, sd.HEAD)):
+            assert out[i] == text
+
+
+def test_odd_rows_and_empty_table(spark):
+    docs = frame(spark)
+    left = sd.remove_repeats(docs)
+    got = left.collect()
+    assert 4 in {r.doc_id for r in got} and not {5, 12, 13} & {r.doc_id for r in got}
+    assert sum(r.doc_id == 8 for r in got) == 2 and any(r.doc_id is None for r in got) and any(r.text is None for r in got)
+    assert sd.remove_repeats(empty(spark)).count() == 0 and sd.passages(empty(spark)).count() == 0
