@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_quality, simhash_dedup, suffix_dedup
+from . import bpe, host_quality, packing, simhash_dedup, suffix_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    found = bpe.encode(documents(spark, sf_dir), path, pattern)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(F.col("ids"), path, pattern), 256).alias("decoded_sha256"),
+    )
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(documents(spark, sf_dir))
     return found.select(
@@ -25,11 +37,16 @@ def op6_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_quality.judge(docs).select("doc_id", *(F.col(f"quality.{x}").alias(x) for x in fields))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per later place of a repeated passage, with the document that holds the first one."""
     found = suffix_dedup.passages(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select(F.col("doc").alias("doc_id"), "start", "end", "n_words", F.col("first_doc").alias("first_doc_id"), "first_word")
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_dedup, op6_host_quality, op8_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_simhash_dedup, op6_host_quality, op7_packing, op8_suffix_dedup)}
 ORACLE: dict[str, str] = {}
