@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, host_quality, packing, simhash_dedup, suffix_dedup
+from . import bpe, credentials, host_quality, packing, simhash_dedup, suffix_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,5 +48,19 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), "start", "end", "n_words", F.col("first_doc").alias("first_doc_id"), "first_word")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_simhash_dedup, op6_host_quality, op7_packing, op8_suffix_dedup)}
-ORACLE: dict[str, str] = {}
+def op10_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = credentials.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    base = F.col("secrets.base")
+
+    def number(kind: str):
+        k = credentials.KINDS.index(kind)
+        return F.size(F.filter(base, lambda x: x["kind"] == k)).cast("long").alias(f"n_{kind}")
+
+    counts = [number(kind) for kind, *_ in credentials.BASE]
+    return found.select(
+        "doc_id", *counts, F.sha2(credentials.spans_text(base), 256).alias("base_sha256"), credentials.spans_text(F.col("secrets.all")).alias("spans")
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_simhash_dedup, op6_host_quality, op7_packing, op8_suffix_dedup, op10_credentials)}
+ORACLE: dict[str, str] = {"op10_credentials": credentials.oracle()}
