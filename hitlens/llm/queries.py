@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, credentials, host_quality, packing, simhash_dedup, suffix_dedup
+from . import bpe, credentials, host_quality, packing, simhash_dedup, suffix_dedup, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,13 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), toxicity.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(documents(spark, sf_dir))
     return found.select(
@@ -62,5 +69,5 @@ def op10_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_simhash_dedup, op6_host_quality, op7_packing, op8_suffix_dedup, op10_credentials)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_simhash_dedup, op6_host_quality, op7_packing, op8_suffix_dedup, op10_credentials)}
 ORACLE: dict[str, str] = {"op10_credentials": credentials.oracle()}

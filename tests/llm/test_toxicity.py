@@ -1,0 +1,41 @@
+import zlib
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from hitlens.llm import toxicity
+from hitlens.llm.queries import QUERIES
+
+from .helpers import SF01, empty, frame, odd_rows
+
+
+def test_held_out_rows_and_accuracy(spark):
+    docs, labels = (spark.read.parquet(f"{SF01}/{t}.parquet") for t in ("documents", "labels"))
+    insult = F.col("text").rlike(r"(?i)\b(idiot|worthless|pathetic|moron|scum|loser|trash|clown|stupid|disgusting)\b")
+    rows = QUERIES["op2_toxicity"](spark, SF01).join(docs.select("doc_id", insult.alias("insult")), "doc_id").join(labels, "doc_id", "left").collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
+    caught = [r.predicted for r in rows if r.insult]
+    clean = [r.predicted for r in rows if not r.insult and r.toxic == 0]
+    assert np.mean(caught) > 0.9 and np.mean(clean) < 0.05
+    held = [r for r in rows if r.held_out and r.toxic is not None]
+    assert np.mean([r.predicted == r.toxic for r in held]) > 0.9
+
+
+def test_labels_of_held_out_rows_change_nothing(spark):
+    docs, labels = (spark.read.parquet(f"{SF01}/{t}.parquet") for t in ("documents", "labels"))
+    turned = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert toxicity.fit(docs, labels) == toxicity.fit(docs, turned)
+
+
+def test_odd_rows_without_labels_and_empty_table(spark):
+    labels = spark.createDataFrame([(1, 1), (None, 1), (4, None)], "doc_id long, toxic int")
+    model = toxicity.fit(frame(spark), labels)
+    got = frame(spark).withColumn("score", toxicity.score(F.col("text"), model)).collect()
+    assert len(got) == len(odd_rows()) and {r.score for r in got} == {0.0}
+    assert toxicity.fit(empty(spark), labels.limit(0))["weights"] is None
+    model = {"ordinary": b"the of and", "toxic": b" moron ", "weights": [-1, 0.5, 0.1, 0.1, 1, 0.0]}
+    got = {r.doc_id: r.score for r in frame(spark).withColumn("score", toxicity.score(F.col("text"), model)).collect()}
+    assert got[1] == got[2] and all(0 <= s <= 1 for s in got.values())
+    assert empty(spark).withColumn("score", toxicity.score(F.col("text"), model)).count() == 0
