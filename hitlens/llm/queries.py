@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, credentials, host_quality, packing, simhash_dedup, suffix_dedup, toxicity
+from . import bpe, credentials, host_quality, packing, scaled_sketch, simhash_dedup, suffix_dedup, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), "start", "end", "n_words", F.col("first_doc").alias("first_doc_id"), "first_word")
 
 
+def op9_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scaled_sketch.compare_successors(documents(spark, sf_dir))
+
+
 def op10_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = credentials.scan(documents(spark, sf_dir).select("doc_id", "text"))
     base = F.col("secrets.base")
@@ -69,5 +73,5 @@ def op10_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_simhash_dedup, op6_host_quality, op7_packing, op8_suffix_dedup, op10_credentials)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_simhash_dedup, op6_host_quality, op7_packing, op8_suffix_dedup, op9_scaled_sketch, op10_credentials)}
 ORACLE: dict[str, str] = {"op10_credentials": credentials.oracle()}
