@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, credentials, host_quality, packing, scaled_sketch, simhash_dedup, suffix_dedup, toxicity
+from . import bpe, credentials, host_quality, language_id, packing, scaled_sketch, simhash_dedup, suffix_dedup, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,12 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = docs.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), language_id.predict(F.col("text"), language_id.fit(docs)).alias("p"))
+    return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"), F.col("p.accepted").alias("accepted"))
+
+
 def op6_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "source")
     fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -73,5 +79,5 @@ def op10_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_simhash_dedup, op6_host_quality, op7_packing, op8_suffix_dedup, op9_scaled_sketch, op10_credentials)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_simhash_dedup, op5_language_id, op6_host_quality, op7_packing, op8_suffix_dedup, op9_scaled_sketch, op10_credentials)}
 ORACLE: dict[str, str] = {"op10_credentials": credentials.oracle()}
