@@ -129,3 +129,31 @@ def keep(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame
     while name in docs.columns:
         name = f"_{name}"
     return judge(docs, text, host, name).filter(F.col(name)["kept"]).drop(name)
+
+
+def oracle() -> str:
+    """The query's result as DuckDB SQL."""
+    word = r"[^\x20\x09-\x0D]+"
+    rules = {
+        "short": "n_words < 50",
+        "repetition": "100 * n_repeat_words > 50 * n_words",
+        "symbols": "5 * n_symbols > word_chars",
+        "dup_lines": "2 * n_dup_lines > n_lines",
+    }
+    rates = " union all ".join(f"select source, '{r}' as rule, count(*) as n, count(*) filter ({test}) as f from m group by source" for r, test in rules.items())
+    return f"""
+    with d as (select doc_id, source, coalesce(text, '') as t from documents),
+    w as (select doc_id, source, t, regexp_extract_all(t, '{word}') as ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')) as ls from d),
+    g as (select doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as run from (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from w)),
+    again as (select doc_id, i from g qualify count(*) over (partition by doc_id, run) > 1),
+    covered as (select doc_id, count(distinct i + k) as n from again, (values (0), (1), (2)) as v(k) group by doc_id),
+    m as (select doc_id, source, len(ws) as n_words, coalesce(cast(list_sum(list_transform(ws, lambda x: length(x))) as bigint), 0) as word_chars,
+        length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols, len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(n, 0) as n_repeat_words, len(ls) as n_lines
+        from w left join covered using (doc_id)),
+    r as ({rates}),
+    prior as (select rule, avg(f / n) as p, var_pop(f / n) as v from r group by rule),
+    weight as (select rule, p, case when v > 0 then least({MAX_WEIGHT}, greatest(1.0, p * (1 - p) / v - 1)) else {DEFAULT_WEIGHT} end as k from prior),
+    bad as (select distinct source, true as bad from r join weight using (rule) where (f + p * k) / (n + k) > {MAX_RATE})
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({rules['short']} or {rules['repetition']}) as base_failed,
+        not ({rules['short']} or {rules['repetition']}) and bad is null as kept
+    from m left join bad on m.source is not distinct from bad.source"""

@@ -85,4 +85,4 @@ def op10_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_simhash_dedup, op4_license_scan, op5_language_id, op6_host_quality, op7_packing, op8_suffix_dedup, op9_scaled_sketch, op10_credentials)}
-ORACLE: dict[str, str] = {"op10_credentials": credentials.oracle()}
+ORACLE: dict[str, str] = {"op6_host_quality": host_quality.oracle(), "op10_credentials": credentials.oracle()}
