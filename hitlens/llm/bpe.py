@@ -25,71 +25,31 @@ from .store import stage
 from .text import texts, worker_cache
 
 CHUNK, OVERLAP = 16_384, 512
-#: Words whose ids a worker remembers, twice (the current and the last generation).
-REMEMBERED = 200_000
-
-
-class Words:
-    """Encodes whole texts through `encode_all` (texts to lists of ids), remembering the ids of words.
-
-    A space after a point other than white space starts a pre-token of the byte-level patterns, so a text is the
-    words between such spaces, each with the space before it. Texts in which a space meets other white space are
-    encoded as they are.
-    """
-
-    def __init__(self, encode_all):
-        self.encode_all = encode_all
-        self.now: dict[str, bytes] = {}
-        self.last: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        unknown = [w for w in words if w not in self.last]
-        if len(self.now) >= REMEMBERED:
-            self.now, self.last = {}, self.now
-        self.now.update((w, self.last[w]) for w in words if w in self.last)
-        self.now.update(zip(unknown, (np.array(x, np.uint32).tobytes() for x in self.encode_all([" " + w for w in unknown]))))
-
-    def encode(self, text: str) -> np.ndarray:
-        first, *words = text.split(" ")
-        seen = set(words)
-        if not words or any(not w or w[-1].isspace() for w in seen) or not first or first[-1].isspace():
-            return np.array(self.encode_all([text])[0], np.uint32)
-        if new := [w for w in seen if w not in self.now]:
-            self._learn(new)
-        now, last = self.now, self.last
-        try:
-            ids = list(map(now.__getitem__, words))
-        except KeyError:  # a generation went by meanwhile
-            ids = [now[w] if w in now else last[w] for w in words]
-        return np.frombuffer(np.array(self.encode_all([first])[0], np.uint32).tobytes() + b"".join(ids), np.uint32)
-
-
 def tiktoken_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
 def codec(path: str, pattern: str):
-    """The tiktoken encoding of a rank file and its Words, once per Python worker."""
+    """The tiktoken encoding of a rank file, once per Python worker."""
     cache, key = worker_cache(), ("tiktoken", path, pattern)
     if key not in cache:
         import tiktoken
 
-        own = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=tiktoken_ranks(path), special_tokens={})
-        cache[key] = own, Words(lambda many: list(map(own.encode_ordinary, many)))
+        cache[key] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=tiktoken_ranks(path), special_tokens={})
     return cache[key]
 
 
 def ids_array(rows: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in rows], dtype=np.int64)]).astype(np.int32)
-    values = np.concatenate([np.empty(0, np.uint32), *rows]).astype(np.int32)
+    values = np.concatenate([np.empty(0, np.int32), *rows])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
 def _encoded(text: Column, path: str, pattern: str) -> Column:
     def batch(column: pa.Array) -> pa.Array:
-        words = codec(path, pattern)[1]
-        return ids_array([words.encode(x) for x in texts(column)])
+        encode = codec(path, pattern).encode_ordinary
+        return ids_array([np.array(encode(x), np.int32) for x in texts(column)])
 
     return F.arrow_udf(batch, T.ArrayType(T.IntegerType()))(text)
 
@@ -157,7 +117,7 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
     """The bytes of an array of ids."""
 
     def batch(column: pa.Array) -> pa.Array:
-        encoding = codec(path, pattern)[0]
+        encoding = codec(path, pattern)
         return pa.array([encoding.decode_bytes(x or []) for x in column.to_pylist()], pa.binary())
 
     return F.arrow_udf(batch, T.BinaryType())(ids)

@@ -17,34 +17,103 @@ a null id stays null; other columns are not read.
 
 from __future__ import annotations
 
-import os
+from array import array
 from bisect import bisect_right, insort
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .bpe import Words
 from .text import texts, worker_cache
 
 CONTEXT, TIERS, END_ID = 2048, (2048, 1024, 512, 256), 1
 #: Tokens of documents that a task holds at once, and of a step group.
 POOL_TOKENS, GROUP_TOKENS = 1 << 20, 1 << 16
+#: Words and pre-tokens whose ids a worker remembers (words twice: the current and the last generation), and texts
+#: that it encodes at once.
+REMEMBERED, BLOCK = 300_000, 128
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
-def tokenizer_words(path: str) -> Words:
-    """The Words of a `tokenizers` file, once per Python worker. Special tokens' strings are ordinary text."""
+class Words:
+    """Encodes whole texts by a pattern's pre-tokens and `merge` (a pre-token's ids), remembering the ids of words.
+
+    A space after a point other than white space starts a pre-token of the byte-level patterns, so a text is the words
+    between such spaces, each with the space before it, and a word's ids do not depend on its neighbours. Texts in
+    which a space meets other white space are encoded pre-token by pre-token.
+    """
+
+    def __init__(self, pattern: str, merge):
+        self.split, self.merge = regex.compile(pattern).findall, merge
+        self.now: dict[str, bytes] = {}
+        self.last: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _ids(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) >= REMEMBERED:
+                self.pieces.clear()
+            self.pieces[piece] = ids = array("I", self.merge(piece)).tobytes()
+        return ids
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self._ids, self.split(text)))
+
+    def _learn(self, words: set[str]) -> None:
+        """Remembers the words' ids; b"" for a word next to which the pattern may cut elsewhere than at the space."""
+        known = {w: self.last[w] for w in words if w in self.last}
+        if len(self.now) >= REMEMBERED:
+            self.now, self.last = {}, self.now
+        self.now.update(known)
+        safe = [w for w in words if w not in known and w and not w[-1].isspace()]
+        self.now.update(dict.fromkeys(words - known.keys() - set(safe), b""))
+        # All at once: between two safe words the pattern cuts at the space.
+        pieces = iter(self.split("".join([" " + w for w in safe])))
+        for w in safe:
+            left, parts = len(w) + 1, []
+            while left > 0:
+                piece = next(pieces)
+                left -= len(piece)
+                parts.append(self._ids(piece))
+            self.now[w] = b"".join(parts)
+
+    def encode(self, texts_: list[str]) -> list[np.ndarray]:
+        cut = [x.split(" ") for x in texts_]
+        found = [list(map(self.now.get, words[1:])) for words in cut]
+        new = {w for words, ids in zip(cut, found) if None in ids for w, x in zip(words[1:], ids) if x is None}
+        self._learn(new)
+        out = []
+        for text, words, ids in zip(texts_, cut, found):
+            if None in ids:
+                ids = [self.now[w] if x is None else x for w, x in zip(words[1:], ids)]
+            if not words[0] or words[0][-1].isspace() or b"" in ids:
+                out.append(np.frombuffer(self._plain(text), np.uint32))
+            else:
+                out.append(np.frombuffer(self._plain(words[0]) + b"".join(ids), np.uint32))
+        return out
+
+
+def tokenizer_words(path: str, pattern: str) -> Words:
+    """The Words of a byte-level BPE file of `tokenizers`, once per Python worker. Special tokens' strings are ordinary
+    text: pre-tokens go to the library's merges as they are, as characters of the byte-level alphabet."""
     cache, key = worker_cache(), ("tokenizers", path)
     if key not in cache:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        own = Tokenizer.from_file(path)
-        own.encode_special_tokens = True
-        cache[key] = Words(lambda many: [x.ids for x in own.encode_batch_fast(many, add_special_tokens=False)])
+        merge = Tokenizer.from_file(path).model.tokenize
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden = [b for b in range(256) if b not in shown]
+        letters = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+
+        def ids(piece: str) -> list[int]:
+            plain = piece.isascii() and piece.isprintable()
+            return [t.id for t in merge(piece.replace(" ", chr(letters[32])) if plain else piece.encode().decode("latin-1").translate(letters))]
+
+        cache[key] = Words(pattern, ids)
     return cache[key]
 
 
@@ -104,7 +173,7 @@ class Packer:
             yield size, self.fill(size, first)
 
 
-def pack(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", end_id: int = END_ID, context: int = CONTEXT, tiers: tuple[int, ...] = TIERS) -> DataFrame:
+def pack(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text: str = "text", end_id: int = END_ID, context: int = CONTEXT, tiers: tuple[int, ...] = TIERS) -> DataFrame:
     """One row per piece: its document and place there, its ids (little-endian unsigned 32-bit), its sequence, offset
     there, the sequence's tier (tokens) and step group."""
 
@@ -113,8 +182,13 @@ def pack(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", end
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
+    def encoded(batch, words):
+        for at in range(0, len(batch), BLOCK):
+            part = batch.slice(at, BLOCK)
+            yield from zip(part.column(0).to_pylist(), words.encode(texts(part.column(1))))
+
     def run(batches):
-        words = tokenizer_words(path)
+        words = tokenizer_words(path, pattern)
         home = TaskContext.get().partitionId() << 36
         sequence, group, packer = count(home), count(home), Packer(tiers)
         waiting: dict[int, list] = {}  # by tier: full sequences that have no step group yet
@@ -144,8 +218,8 @@ def pack(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", end
 
         rows: list = []
         for batch in batches:
-            for doc, text_ in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
-                ids = np.append(words.encode(text_), np.uint32(end_id))
+            for doc, ids in encoded(batch, words):
+                ids = np.append(ids, np.uint32(end_id))
                 whole = len(ids) // context * context
                 for start in range(0, whole, context):
                     rows += put(context, [(context, 0, doc, start, ids[start : start + context].copy(), len(ids))])

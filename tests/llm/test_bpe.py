@@ -58,17 +58,6 @@ def test_long_texts_are_cut_at_true_boundaries(spark):
             at += len(t)
 
 
-def test_remembered_words_equal_whole_texts():
-    own = encoding()
-    words = bpe.Words(lambda many: list(map(own.encode_ordinary, many)))
-    old, bpe.REMEMBERED = bpe.REMEMBERED, 10
-    try:
-        for t in hard_texts() + ["one two three", " one", "one ", "a \nb c", "a\n b"]:
-            assert words.encode(t).tolist() == own.encode_ordinary(t)
-    finally:
-        bpe.REMEMBERED = old
-
-
 def test_odd_rows_and_empty_table(spark):
     own = encoding()
     got = sorted((r.id is None, r.id or 0, r.ids) for r in bpe.encode(frame(spark), PATH, P.PATTERN).collect())

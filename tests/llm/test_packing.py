@@ -51,7 +51,7 @@ def check(pieces, rows, max_padding):
 
 def test_query(spark):
     rows = rows_of()
-    pieces = packing.pack(frame(spark, rows), PATH).collect()
+    pieces = packing.pack(frame(spark, rows), PATH, public_tokenizers.PATTERN).collect()
     check(pieces, rows, 0.001)
     got = QUERIES["op7_packing"](spark, SF001).collect()
     assert len({r.doc_id for r in got}) == len(rows)
@@ -63,7 +63,7 @@ def test_query(spark):
 def test_step_groups_hold_equal_tokens(spark):
     rows = [(i, f"word{i} " * (i % 400 + 1), "en", "s") for i in range(2000)]
     groups = {}
-    for ps in check(packing.pack(frame(spark, rows).coalesce(1), PATH).collect(), rows, 0.001).values():
+    for ps in check(packing.pack(frame(spark, rows).coalesce(1), PATH, public_tokenizers.PATTERN).collect(), rows, 0.001).values():
         key = (ps[0].tier, ps[0].step_group)
         groups[key] = groups.get(key, 0) + ps[0].tier
     assert len({k[1] for k in groups}) == len(groups)
@@ -74,5 +74,19 @@ def test_step_groups_hold_equal_tokens(spark):
 def test_odd_rows_and_empty_table(spark):
     rows = odd_rows() + [(20, "x <|endoftext|> y", "en", "s", None, "x", None, "y", 3), (21, "a  b \n c　 d e", "en", "s", None, "x", None, "y", 3)]
     docs = spark.createDataFrame(rows, frame(spark).schema)
-    check(packing.pack(docs, PATH).collect(), [r[:4] for r in rows], 0.01)
-    assert packing.pack(empty(spark), PATH).count() == 0
+    check(packing.pack(docs, PATH, public_tokenizers.PATTERN).collect(), [r[:4] for r in rows], 0.01)
+    assert packing.pack(empty(spark), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_remembered_words_equal_whole_texts():
+    from .test_bpe import hard_texts
+
+    many = hard_texts() + ["one two three", " one", "one ", "a \nb c", "a\n b", "a  b   c", ""]
+    want = [x[:-1] for x in ids_of(many)]
+    old = packing.REMEMBERED
+    for packing.REMEMBERED in (3, 40, old):  # generations go by within a block, and do not
+        words = packing.tokenizer_words(PATH, public_tokenizers.PATTERN)
+        for block in (1, 7, len(many)):
+            got = [x.tolist() for i in range(0, len(many), block) for x in words.encode(many[i : i + block])]
+            assert got == want
+    packing.REMEMBERED = old
