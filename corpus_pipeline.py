@@ -42,7 +42,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a training sequence."""
-    found = packing.pack(docs, public_tokenizers.path(TOKENIZER))
+    found = packing.pack(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
     return found.withColumn("ids_crc32", F.crc32("ids"))
 
 
