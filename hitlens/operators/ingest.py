@@ -6,37 +6,44 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import status
 from ..functions.timeid import is_uuid
-from ..schemas import HIT_BODY
-from .joins import broadcast_if_small
 
 # Body field -> column (camelCase on the wire, snake_case in tables).
 HIT_FIELDS = (("url", "url"), ("ipAddress", "ip_address"), ("userAgent", "user_agent"))
 MALFORMED = "malformed"
 MISSING_FIELD = "missing_field"
+WRONG_TYPE = "wrong_type"
 
 
 def decode_hits(raw: DataFrame, body: str = "body") -> DataFrame:
-    """Add the three hit fields and ``reason`` (null when the body is a JSON
-    object with all three fields; extra fields pass).
+    """Add the three hit fields and ``reason`` (null when the body is one JSON
+    object with all three fields as strings; extra fields pass).
 
-    One JSON parse per row: text that is not a JSON object (not JSON at all,
-    an array, a bare value) lands in the parser's corrupt-record column.
+    Strict: text after the object, a second object, single quotes and values
+    of another type are rejected. The parser alone lets trailing text pass,
+    so the body is parsed inside an array and inside an object; both must
+    parse, and the array must hold one element.
     """
-    schema = StructType(HIT_BODY.fields + [StructField("_corrupt", StringType())])
-    parsed = F.from_json(F.col(body), schema, {"columnNameOfCorruptRecord": "_corrupt"})
-    out = raw.withColumn("_hit", parsed)
-    fields = [F.col(f"_hit.{src}").alias(dst) for src, dst in HIT_FIELDS]
-    not_object = F.col("_hit").isNull() | F.col("_hit._corrupt").isNotNull()
-    missing = None
-    for src, _ in HIT_FIELDS:
-        c = F.col(f"_hit.{src}").isNull()
-        missing = c if missing is None else (missing | c)
-    reason = F.when(not_object, F.lit(MALFORMED)).when(missing, F.lit(MISSING_FIELD))
-    return out.select(*[c for c in raw.columns], *fields, reason.alias("reason"))
+    text = F.col(body)
+    out = (raw.withColumn("_in_array", F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
+           .withColumn("_in_object", F.try_parse_json(F.concat(F.lit('{"b":'), text, F.lit("}")))))
+    one = F.try_variant_get("_in_array", "$[0]", "variant")
+    is_object = (F.col("_in_array").isNotNull() & F.col("_in_object").isNotNull()
+                 & F.try_variant_get("_in_array", "$[1]", "variant").isNull()
+                 & F.schema_of_variant(one).startswith("OBJECT"))
+    kinds = [F.schema_of_variant(F.try_variant_get("_in_array", f"$[0].{src}", "variant"))
+             for src, _ in HIT_FIELDS]
+    missing = wrong = F.lit(False)
+    for kind in kinds:
+        missing = missing | kind.isNull() | (kind == "VOID")
+        wrong = wrong | (kind != "STRING")
+    reason = (F.when(~F.coalesce(is_object, F.lit(False)), F.lit(MALFORMED))
+              .when(missing, F.lit(MISSING_FIELD)).when(wrong, F.lit(WRONG_TYPE)))
+    fields = [F.when(kind == "STRING", F.try_variant_get("_in_array", f"$[0].{src}", "string")).alias(dst)
+              for (src, dst), kind in zip(HIT_FIELDS, kinds)]
+    return out.select(*raw.columns, *fields, reason.alias("reason"))
 
 
 def good_hits(decoded: DataFrame, body: str = "body") -> DataFrame:
@@ -50,24 +57,23 @@ def quarantine(decoded: DataFrame) -> DataFrame:
 
 
 def resolve_hits(hits: DataFrame, by_tracking: DataFrame, tracking: str = "tracking_id",
-                 eligible: Column | None = None) -> DataFrame:
+                 eligible: Column | None = None, broadcast: bool = False) -> DataFrame:
     """Replace each hit's tracking id by its site id: 202 when resolved, 404
     when nobody owns the id, 400 when the id is malformed (or the row is not
     ``eligible``, e.g. its body did not decode).
 
-    A left equi-join: the registry is broadcast when it measures under the
-    bound of ``joins.is_small`` (the hits, the big side, then stay where they
-    are); otherwise a shuffled join planned by AQE, with a hot tracking id
-    split by AQE's skew-join handling. Ineligible rows join on null and so
-    never match.
+    A left equi-join planned by AQE on measured sizes; a hot tracking id is
+    split by its skew-join handling. A caller that knows the registry to be
+    small asks for its ``broadcast``, and the hits are then never shuffled.
+    Ineligible rows join on null and so never match; a registry that lists a
+    tracking id twice does not multiply hits.
     """
     ok = is_uuid(F.col(tracking))
     if eligible is not None:
         ok = ok & eligible
     keyed = hits.withColumn("_key", F.when(ok, F.col(tracking)))
-    reg = by_tracking.select(F.col("tracking_id").alias("_key"), "site_id")
-    # a registry that measures small is broadcast, so the hits are never shuffled
-    joined = keyed.join(broadcast_if_small(reg), "_key", "left")
+    reg = by_tracking.groupBy(F.col("tracking_id").alias("_key")).agg(F.min("site_id").alias("site_id"))
+    joined = keyed.join(F.broadcast(reg) if broadcast else reg, "_key", "left")
     st = (F.when(F.col("_key").isNull(), F.lit(status.BAD_REQUEST))
           .when(F.col("site_id").isNull(), F.lit(status.NOT_FOUND))
           .otherwise(F.lit(status.ACCEPTED)))
@@ -75,8 +81,9 @@ def resolve_hits(hits: DataFrame, by_tracking: DataFrame, tracking: str = "track
 
 
 def dedupe(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per key (at-least-once delivery made exactly-once): a hash
-    aggregate with map-side combine, so a hot key costs one row per task."""
+    """One row per key (at-least-once delivery made exactly-once), combined
+    map-side, so a hot key costs one row per task. Text columns make it a
+    sort aggregate."""
     return df.dropDuplicates(keys)
 
 
@@ -87,12 +94,14 @@ def outcome_label(reason: Column, st: Column) -> Column:
             .otherwise(F.lit("accepted")))
 
 
-def ingest(raw: DataFrame, by_tracking: DataFrame, body: str = "body") -> DataFrame:
+def ingest(raw: DataFrame, by_tracking: DataFrame, body: str = "body",
+           broadcast: bool = False) -> DataFrame:
     """The whole hit path for a batch in one pass: decode, check and resolve
     the id of the decodable ones (one join). Every input row comes out once,
     with ``outcome``, ``status`` and, when accepted, ``site_id``."""
     decoded = decode_hits(raw, body).drop(body)
-    resolved = resolve_hits(decoded, by_tracking, eligible=F.col("reason").isNull())
+    resolved = resolve_hits(decoded, by_tracking, eligible=F.col("reason").isNull(),
+                            broadcast=broadcast)
     return (resolved.withColumn("outcome", outcome_label(F.col("reason"), F.col("status")))
             .drop("reason"))
 

@@ -18,9 +18,8 @@ from ..functions.windows import FIVE_MINUTES, StatDefinition, with_window
 # grouping set over (site_id, stat_time, url, ip_address, user_agent).
 LEVELS = {"site": 7, "url": 3, "ip": 5, "browser": 6}
 KEY_OF_LEVEL = {"url": "url", "ip": "ip_address", "browser": "user_agent"}
-# Histogram entries per map fragment of ``partial_stats`` before a site and
-# window is split over more rows.
-DEFAULT_MAX_MAP_ENTRIES = 10_000
+# Rows that the histogram keys of a site and window are spread over.
+FRAGMENTS = 16
 
 
 def windowed(logs: DataFrame, stat: StatDefinition, closed_left: bool = False) -> DataFrame:
@@ -80,8 +79,8 @@ def stats_all_levels(logs: DataFrame, stat: StatDefinition, closed_left: bool =
 def long_form(levels: DataFrame, stat: StatDefinition) -> DataFrame:
     """``stats_all_levels`` stamped for storage as one table (see
     ``schemas.STATS_LEVELS``)."""
-    return stamp(levels, stat).select("site_id", "year", "key", "requests", "level",
-                                      "stat_type", "stat_time")
+    return stamp(levels, stat).select("site_id", "year", "key", "requests", "level", "stat_type",
+                                      F.to_date("stat_time").alias("stat_date"), "stat_time")
 
 
 # level -> (table, name of its key column)
@@ -100,58 +99,47 @@ def level_table(long: DataFrame, level: str) -> DataFrame:
                        F.col("requests").cast("int").alias("requests"))
 
 
-def split_levels(levels: DataFrame, stat: StatDefinition) -> dict[str, DataFrame]:
-    """The four statistics tables out of ``stats_all_levels``."""
-    long = long_form(levels, stat)
-    out = {level: level_table(long, level) for level in LEVEL_TABLES}
-    out["requests"] = out.pop("site")
-    return out
-
-
-def _fragment(key: Column, fragments: Column) -> Column:
+def _fragment(key: Column, fragments: int) -> Column:
     """Map fragment of a histogram key: md5 bucket, so every engine agrees."""
-    return F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint"),
-                  fragments).cast("int")
+    bucket = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
+    return F.pmod(bucket, F.lit(fragments)).cast("int")
 
 
-def partial_stats(levels: DataFrame, stat: StatDefinition,
-                  max_entries: int = DEFAULT_MAX_MAP_ENTRIES) -> DataFrame:
-    """The reference's ``partial_stats`` row (request count, ip and browser
-    histograms as maps) built from the long form.
+def partial_stats(levels: DataFrame, stat: StatDefinition, fragments: int = FRAGMENTS) -> DataFrame:
+    """The reference's ``partial_stats`` (request count, ip and browser
+    histograms as maps) built from the long form, in one aggregate.
 
-    A map holds distinct keys, not hits; a site and window with more than
-    ``max_entries`` distinct keys is spread over ``ceil(n / max_entries)``
-    rows (``fragment`` 0..k-1, keys bucketed by md5), so no single row or
-    group grows with a hot site. Readers union the maps of a window's rows.
+    A map holds distinct keys, not hits. The keys of every site and window
+    are spread over ``fragments`` rows by a fixed hash, and each row is a
+    group of its own, so a hot site is built by many tasks. The request count
+    stands on fragment 0 alone (0 elsewhere), so sums over rows are right;
+    ``whole_partial_stats`` reads one row per site and window.
     """
-    counts = levels.select("level", "site_id", "stat_time", "key",
-                           F.col("requests").alias("n"))
-    groups = (counts.groupBy("site_id", "stat_time").agg(
-        F.sum(F.when(F.col("level") == "site", F.col("n"))).alias("requests"),
-        F.count_if(F.col("level") == "ip").alias("n_ip"),
-        F.count_if(F.col("level") == "browser").alias("n_browser"))
-        .withColumn("fragments", F.greatest(
-            F.lit(1), F.ceil(F.greatest("n_ip", "n_browser") / F.lit(max_entries))).cast("int"))
-        .drop("n_ip", "n_browser"))
-    # No filter on ``level`` before the join: both branches then read the
-    # very same aggregate, so its exchange is computed once and reused.
     is_entry = F.col("level").isin("ip", "browser")
-    entries = (counts.join(groups, ["site_id", "stat_time"])
-               .withColumn("fragment", F.when(is_entry, _fragment(F.col("key"), F.col("fragments")))
-                           .otherwise(F.lit(0))))
+    rows = levels.where(is_entry | (F.col("level") == "site")).withColumn(
+        "fragment", F.when(is_entry, _fragment(F.coalesce("key", F.lit("")), fragments)).otherwise(F.lit(0)))
 
     def hist(level: str) -> Column:
-        e = F.when(F.col("level") == level, F.struct(F.col("key"), F.col("n").cast("int")))
-        return F.map_from_entries(F.collect_list(e))
+        entry = F.struct(F.col("key"), F.col("requests").cast("int"))
+        return F.map_from_entries(F.collect_list(F.when((F.col("level") == level) & F.col("key").isNotNull(), entry)))
 
-    out = (entries.groupBy("site_id", "stat_time", "fragment")
-           .agg(F.max("requests").alias("requests"), hist("ip").alias("ip"),
-                hist("browser").alias("browser"), F.max(is_entry).alias("_has_entries"))
-           .where(F.col("_has_entries")))
+    out = (rows.groupBy("site_id", "stat_time", "fragment")
+           .agg(F.coalesce(F.sum(F.when(F.col("level") == "site", F.col("requests"))), F.lit(0))
+                .cast("bigint").alias("requests"),
+                hist("ip").alias("ip"), hist("browser").alias("browser")))
     return stamp(out, stat).select("site_id", "year", "stat_time", "stat_type", "fragment",
                                    "ip", "browser", "requests")
 
 
+def whole_partial_stats(partial: DataFrame) -> DataFrame:
+    """One row per site and window out of the fragments: the reference's row.
+    For sites whose histograms fit one row."""
+    def union(column: str) -> Column:
+        return F.map_from_entries(F.flatten(F.collect_list(F.map_entries(column)))).alias(column)
+
+    return (partial.groupBy("site_id", "year", "stat_time", "stat_type")
+            .agg(union("ip"), union("browser"), F.sum("requests").cast("bigint").alias("requests")))
+
 
 def histogram_text(m) -> Column:
     """'k=v,k=v' in key order, for comparing map columns as values."""
@@ -181,12 +169,6 @@ def global_stats_from_logs(logs: DataFrame, keys: list[str],
             .agg(F.count(F.lit(1)).cast("bigint").alias("requests")))
 
 
-def add_totals(old: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
-    """Incremental totals: previous version plus the new windows' partials."""
-    return (old.select(*keys, "requests").unionByName(delta.select(*keys, "requests"))
-            .groupBy(*keys).agg(F.sum("requests").cast("bigint").alias("requests")))
-
-
 # Windows per calendar block: the calendar is generated as blocks first,
 # then the windows of each block in parallel.
 CALENDAR_BLOCK = 1024

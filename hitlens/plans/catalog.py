@@ -44,9 +44,14 @@ def q_logs_in_window(spark, sf_dir):
 
 # ---------------------------------------------------------------- statistics
 
+def _stored_level(spark, sf_dir, stat, level):
+    """A level's table as the job stores it: a cut of the one-pass long form."""
+    return st.level_table(st.long_form(st.stats_all_levels(model.logs(spark, sf_dir), stat), stat), level)
+
+
 @query("partial_stats_requests")
 def q_partial_stats_requests(spark, sf_dir):
-    return st.partial_stats_requests(model.logs(spark, sf_dir), FIVE_MINUTES)
+    return _stored_level(spark, sf_dir, FIVE_MINUTES, "site")
 
 
 @query("partial_stats_requests_1d")
@@ -56,17 +61,17 @@ def q_partial_stats_requests_1d(spark, sf_dir):
 
 @query("partial_stats_ip")
 def q_partial_stats_ip(spark, sf_dir):
-    return st.partial_stats_ip(model.logs(spark, sf_dir), ONE_DAY)
+    return _stored_level(spark, sf_dir, ONE_DAY, "ip")
 
 
 @query("partial_stats_browser")
 def q_partial_stats_browser(spark, sf_dir):
-    return st.partial_stats_browser(model.logs(spark, sf_dir), ONE_DAY)
+    return _stored_level(spark, sf_dir, ONE_DAY, "browser")
 
 
 @query("partial_stats_url")
 def q_partial_stats_url(spark, sf_dir):
-    return st.partial_stats_url(model.logs(spark, sf_dir), ONE_DAY)
+    return _stored_level(spark, sf_dir, ONE_DAY, "url")
 
 
 @query("partial_stats_url_5m")
@@ -74,13 +79,28 @@ def q_partial_stats_url_5m(spark, sf_dir):
     return st.partial_stats_url(model.logs(spark, sf_dir), FIVE_MINUTES)
 
 
+def _partial_stats(spark, sf_dir, fragments):
+    return st.partial_stats(st.stats_all_levels(model.logs(spark, sf_dir), ONE_DAY), ONE_DAY, fragments)
+
+
+def _maps_as_text(ps, *more):
+    return ps.select("site_id", "year", "stat_time", "stat_type", *more, "requests",
+                     st.histogram_text("ip").alias("ip"), st.histogram_text("browser").alias("browser"))
+
+
 @query("partial_stats")
 def q_partial_stats(spark, sf_dir):
-    levels = st.stats_all_levels(model.logs(spark, sf_dir), ONE_DAY)
-    ps = st.partial_stats(levels, ONE_DAY)
-    return ps.select("site_id", "year", "stat_time", "stat_type", "fragment", "requests",
-                     st.histogram_text("ip").alias("ip"),
-                     st.histogram_text("browser").alias("browser"))
+    return _maps_as_text(_partial_stats(spark, sf_dir, st.FRAGMENTS), "fragment")
+
+
+@query("partial_stats_4")
+def q_partial_stats_4(spark, sf_dir):
+    return _maps_as_text(_partial_stats(spark, sf_dir, 4), "fragment")
+
+
+@query("partial_stats_whole")
+def q_partial_stats_whole(spark, sf_dir):
+    return _maps_as_text(st.whole_partial_stats(_partial_stats(spark, sf_dir, st.FRAGMENTS)))
 
 
 @query("stats_all_levels")
@@ -90,12 +110,12 @@ def q_stats_all_levels(spark, sf_dir):
 
 @query("global_stats")
 def q_global_stats(spark, sf_dir):
-    return st.global_stats_from_logs(model.logs(spark, sf_dir), ["site_id"])
+    return st.global_stats(st.partial_stats_requests(model.logs(spark, sf_dir), FIVE_MINUTES))
 
 
 @query("global_stats_url")
 def q_global_stats_url(spark, sf_dir):
-    return st.global_stats_from_logs(model.logs(spark, sf_dir), ["site_id", "url"])
+    return st.global_stats_url(st.partial_stats_url(model.logs(spark, sf_dir), FIVE_MINUTES))
 
 
 @query("stats_reference")
@@ -255,6 +275,20 @@ def q_site_delete_outcomes(spark, sf_dir):
     return outcomes.select("id", "user_id", "status")
 
 
+@query("site_create")
+def q_site_create(spark, sf_dir):
+    return reg.new_sites(model.site_requests(spark, sf_dir), F.col("new_id"), F.col("new_tracking"))
+
+
+@query("user_registry_after_sign_up")
+def q_user_registry_after_sign_up(spark, sf_dir):
+    """The e-mail registry that the accepted sign-ups leave."""
+    users = model.users(spark, sf_dir)
+    accepted = _created_users(spark, sf_dir)[0]
+    new = accepted.select(F.col("user_id").alias("id"), "email", "full_name")
+    return reg.users_by_credentials(users.unionByName(new))
+
+
 @query("site_registry_by_tracking")
 def q_site_registry_by_tracking(spark, sf_dir):
     return reg.sites_by_tracking_id(model.sites(spark, sf_dir))
@@ -286,6 +320,12 @@ def q_list_sites_by_user(spark, sf_dir):
                           reg.sites_by_users(model.sites(spark, sf_dir)))
 
 
+@query("list_sites_outcomes")
+def q_list_sites_outcomes(spark, sf_dir):
+    return reg.list_sites_outcomes(model.site_list_requests(spark, sf_dir),
+                                   reg.sites_by_users(model.sites(spark, sf_dir)))
+
+
 # ---------------------------------------------------------------- load statistics
 
 @query("load_stats_partial")

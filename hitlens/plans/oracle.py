@@ -6,7 +6,10 @@ The model rules of ``hitlens.sources.model`` are restated once as SQL views
 
 from __future__ import annotations
 
+from ..functions.status import BAD_UUID, EMAIL_ALREADY_EXISTS
+from ..functions.validation import EMAIL_MESSAGE, EMAIL_PATTERN, LENGTH_MESSAGE, MIN_PASSWORD_LENGTH
 from ..functions.windows import FIVE_MINUTES, ONE_DAY, StatDefinition
+from ..operators.stats import FRAGMENTS
 
 LOGS = r"""logs AS (
   SELECT CAST(user_id AS VARCHAR) AS site_id, CAST(event_id AS VARCHAR) AS log_id,
@@ -56,25 +59,33 @@ ORACLE["partial_stats_browser"] = _keyed(ONE_DAY, "user_agent", "browser")
 ORACLE["partial_stats_url"] = _keyed(ONE_DAY, "url", "url")
 ORACLE["partial_stats_url_5m"] = _keyed(FIVE_MINUTES, "url", "url")
 
-_MAX_ENTRIES = 10_000
-ORACLE["partial_stats"] = with_(LOGS, windowed(ONE_DAY), f"""lv AS (
+
+
+def _partial_stats(fragments: int) -> str:
+    """The count on fragment 0, the keys spread over all fragments by md5."""
+    return with_(LOGS, windowed(ONE_DAY), f"""lv AS (
   SELECT site_id, stat_time, 'ip' AS level, ip_address AS key, count(*) AS n FROM w GROUP BY ALL
   UNION ALL
   SELECT site_id, stat_time, 'browser', user_agent, count(*) FROM w GROUP BY ALL),
-g AS (
-  SELECT site_id, stat_time, count(*) AS requests FROM w GROUP BY ALL),
-f AS (
-  SELECT lv.site_id, lv.stat_time,
-         greatest(1, CAST(ceil(greatest(count(*) FILTER (WHERE level = 'ip'),
-                                        count(*) FILTER (WHERE level = 'browser')) / {_MAX_ENTRIES}) AS INTEGER)) AS fragments
-  FROM lv GROUP BY ALL),
 e AS (
-  SELECT lv.*, CAST(('0x' || substr(md5(key), 1, 8))::BIGINT % f.fragments AS INTEGER) AS fragment
-  FROM lv JOIN f USING (site_id, stat_time))""") + f"""SELECT e.site_id, {stamp(ONE_DAY)}, fragment, g.requests,
+  SELECT *, CAST(('0x' || substr(md5(key), 1, 8))::BIGINT % {fragments} AS INTEGER) AS fragment, 0 AS requests FROM lv
+  UNION ALL
+  SELECT site_id, stat_time, 'site', NULL, NULL, 0, count(*) FROM w GROUP BY site_id, stat_time)""") + f"""SELECT site_id,
+  {stamp(ONE_DAY)}, fragment, CAST(sum(requests) AS BIGINT) AS requests,
   coalesce(string_agg(key || '=' || n, ',' ORDER BY key) FILTER (WHERE level = 'ip'), '') AS ip,
   coalesce(string_agg(key || '=' || n, ',' ORDER BY key) FILTER (WHERE level = 'browser'), '') AS browser
-FROM e JOIN g USING (site_id, stat_time)
-GROUP BY e.site_id, stat_time, fragment, g.requests"""
+FROM e GROUP BY site_id, stat_time, fragment"""
+
+
+ORACLE["partial_stats"] = _partial_stats(FRAGMENTS)
+ORACLE["partial_stats_4"] = _partial_stats(4)
+ORACLE["partial_stats_whole"] = with_(LOGS, windowed(ONE_DAY), """h AS (
+  SELECT site_id, stat_time, 'ip' AS level, ip_address AS key, count(*) AS n FROM w GROUP BY ALL
+  UNION ALL SELECT site_id, stat_time, 'browser', user_agent, count(*) FROM w GROUP BY ALL)""") + f"""SELECT site_id, {stamp(ONE_DAY)},
+  CAST(sum(n) FILTER (WHERE level = 'ip') AS BIGINT) AS requests,
+  string_agg(key || '=' || n, ',' ORDER BY key) FILTER (WHERE level = 'ip') AS ip,
+  string_agg(key || '=' || n, ',' ORDER BY key) FILTER (WHERE level = 'browser') AS browser
+FROM h GROUP BY site_id, stat_time"""
 
 ORACLE["stats_all_levels"] = with_(LOGS, windowed(ONE_DAY)) + """SELECT
   CASE grouping(url, ip_address, user_agent) WHEN 7 THEN 'site' WHEN 3 THEN 'url'
@@ -115,8 +126,7 @@ WHERE day(stat_time) % 2 <> 0"""
 # ---------------------------------------------------------------- id helpers (SQL)
 
 _UUID_RE = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
-_EMAIL_RE = (r"^[a-zA-Z0-9\.!#$%&''*+/=?^_`{|}~-]+@[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?"
-             r"(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?)*$")
+_EMAIL_RE = EMAIL_PATTERN.replace("'", "''")
 
 
 def is_uuid(x: str) -> str:
@@ -154,12 +164,16 @@ _UNKNOWN = 1_000_000_000
 
 RAW = f"""raw AS (
   SELECT log_id AS hit_id,
-    CASE WHEN CAST(log_id AS BIGINT) % 41 = 0 THEN 'malformedUUID' ELSE {uuid_from_text('site_id')} END AS tracking_id,
+    CASE WHEN CAST(log_id AS BIGINT) % 41 = 0 THEN 'not-an-id' ELSE {uuid_from_text('site_id')} END AS tracking_id,
     log_time,
     CASE WHEN CAST(log_id AS BIGINT) % 97 = 0 THEN '<html>' || log_id
+         WHEN CAST(log_id AS BIGINT) % 89 = 0 THEN '{{"url":' || log_id || ',"ipAddress":"1.2.3.4","userAgent":"a"}}'
+         WHEN CAST(log_id AS BIGINT) % 83 = 0 THEN whole || ' and more'
+         WHEN CAST(log_id AS BIGINT) % 79 = 0 THEN whole || whole
+         WHEN CAST(log_id AS BIGINT) % 73 = 0 THEN replace(whole, '"', chr(39))
          WHEN CAST(log_id AS BIGINT) % 50 = 0 THEN '{{"url":"' || url || '","ipAddress":"' || ip_address || '"}}'
-         ELSE '{{"url":"' || url || '","ipAddress":"' || ip_address || '","userAgent":"' || user_agent || '"}}' END AS body
-  FROM logs),
+         ELSE whole END AS body
+  FROM (SELECT *, '{{"url":"' || url || '","ipAddress":"' || ip_address || '","userAgent":"' || user_agent || '"}}' AS whole FROM logs)),
 dec0 AS (
   SELECT *, coalesce(CASE WHEN json_valid(body) THEN json_type(body) END = 'OBJECT', false) AS is_object FROM raw),
 dec AS (
@@ -167,10 +181,12 @@ dec AS (
     CASE WHEN is_object THEN json_extract_string(body, '$.url') END AS url,
     CASE WHEN is_object THEN json_extract_string(body, '$.ipAddress') END AS ip_address,
     CASE WHEN is_object THEN json_extract_string(body, '$.userAgent') END AS user_agent,
-    is_object FROM dec0),
+    is_object,
+    CASE WHEN is_object THEN [coalesce(json_type(body, '$.url'), 'NULL'), coalesce(json_type(body, '$.ipAddress'), 'NULL'),
+      coalesce(json_type(body, '$.userAgent'), 'NULL')] END AS kinds FROM dec0),
 dec2 AS (
-  SELECT *, CASE WHEN NOT is_object THEN 'malformed'
-                 WHEN url IS NULL OR ip_address IS NULL OR user_agent IS NULL THEN 'missing_field' END AS reason
+  SELECT *, CASE WHEN NOT is_object THEN 'malformed' WHEN list_contains(kinds, 'NULL') THEN 'missing_field'
+                 WHEN len(list_distinct(kinds)) > 1 OR kinds[1] <> 'VARCHAR' THEN 'wrong_type' END AS reason
   FROM dec),
 reg AS (
   SELECT {uuid_from_text('CAST(s_suppkey AS VARCHAR)')} AS tracking_id, CAST(s_suppkey AS VARCHAR) AS site_id
@@ -200,7 +216,7 @@ ORACLE["dedupe_hits"] = with_(LOGS) + """SELECT DISTINCT * FROM (
 ORACLE["uuid_check"] = f"""SELECT request_id, id, {is_uuid('id')} AS valid,
   CASE WHEN {is_uuid('id')} THEN 200 ELSE 400 END AS status
 FROM (SELECT o_orderkey AS request_id,
-             CASE WHEN o_orderkey % 10 = 0 THEN 'malformedUUID' ELSE {uuid_from_text('o_orderkey')} END AS id
+             CASE WHEN o_orderkey % 10 = 0 THEN 'not-an-id' ELSE {uuid_from_text('o_orderkey')} END AS id
       FROM orders)"""
 ORACLE["timeuuid_time"] = with_(LOGS) + f"""SELECT log_id, {time_uuid('log_time', 'CAST(log_id AS BIGINT)')} AS time_id,
   date_trunc('millisecond', log_time) AS created_at FROM logs"""
@@ -220,7 +236,7 @@ SITES = f"""sites AS (
   FROM orders)"""
 REQ = f"""req AS (
   SELECT c_custkey AS request_id, c_custkey AS arrival,
-    CASE WHEN c_custkey % 10 = 0 THEN 'invalidEmail'
+    CASE WHEN c_custkey % 10 = 0 THEN 'no-at-sign'
          WHEN c_custkey % 5 = 0 THEN lower(c_name) || '@example.com'
          WHEN c_custkey % 7 = 0 THEN 'shared' || CAST(c_custkey % 3 AS VARCHAR) || '@example.com'
          ELSE 'new' || CAST(c_custkey AS VARCHAR) || '@example.com' END AS email,
@@ -236,24 +252,24 @@ fresh AS (SELECT * FROM valid WHERE email NOT IN (SELECT email FROM users)),
 firsts AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY email ORDER BY arrival, request_id) AS rn FROM fresh)
   WHERE rn = 1)"""
-_ERRORS = ("concat_ws('; ', CASE WHEN bad_email THEN 'email: field email is not a valid email' END, "
-           "CASE WHEN bad_pw THEN 'password: password length must be greater than 6' END)")
+_ERRORS = (f"concat_ws('; ', CASE WHEN bad_email THEN 'email: {EMAIL_MESSAGE.format(field='email')}' END, "
+           f"CASE WHEN bad_pw THEN 'password: {LENGTH_MESSAGE.format(field='password', n=MIN_PASSWORD_LENGTH)}' END)")
 
 ORACLE["validate_users"] = with_(USERS, REQ) + f"""SELECT request_id,
   CAST(bad_email AS INTEGER) + CAST(bad_pw AS INTEGER) AS n_errors, {_ERRORS} AS errors FROM v"""
 ORACLE["user_create_accepted"] = with_(USERS, REQ) + f"""SELECT request_id,
   {time_uuid('requested_at', 'request_id')} AS user_id, email, full_name, 200 AS status FROM firsts"""
 ORACLE["user_create_rejected"] = with_(USERS, REQ) + f"""SELECT request_id, email, 400 AS status,
-  'There is another user with the same email' AS message
+  '{EMAIL_ALREADY_EXISTS}' AS message
 FROM valid WHERE request_id NOT IN (SELECT request_id FROM firsts)
 UNION ALL
 SELECT request_id, email, 400, {_ERRORS} FROM v WHERE bad_email OR bad_pw"""
 
 UUPD = f"""upd AS (
-  SELECT {user_id('c_custkey')} AS id, 1 AS seq, 'wrongName' || CAST(c_custkey AS VARCHAR) AS full_name
+  SELECT {user_id('c_custkey')} AS id, 1 AS seq, 'Earlier Name ' || CAST(c_custkey AS VARCHAR) AS full_name
   FROM customer WHERE c_custkey % 11 = 0
   UNION ALL
-  SELECT {user_id('c_custkey')}, 2, 'correctName' || CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 22 = 0
+  SELECT {user_id('c_custkey')}, 2, 'Later Name ' || CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 22 = 0
   UNION ALL
   SELECT {user_id(f'(c_custkey + {_UNKNOWN})')}, 1, 'nobody' FROM customer WHERE c_custkey % 11 = 0)"""
 ORACLE["user_update"] = with_(USERS, UUPD) + """SELECT u.id, u.email, coalesce(l.full_name, u.full_name) AS full_name
@@ -263,10 +279,10 @@ ORACLE["user_update_outcomes"] = with_(USERS, UUPD) + f"""SELECT upd.id, seq, up
 FROM upd LEFT JOIN users u USING (id)"""
 
 SUPD = f"""upd AS (
-  SELECT {site_id('o_orderkey')} AS id, 1 AS seq, 'wrong-site' || CAST(o_orderkey AS VARCHAR) || '.example.com' AS domain
+  SELECT {site_id('o_orderkey')} AS id, 1 AS seq, 'earlier' || CAST(o_orderkey AS VARCHAR) || '.example.com' AS domain
   FROM orders WHERE o_orderkey % 11 = 0
   UNION ALL
-  SELECT {site_id('o_orderkey')}, 2, 'correct-site' || CAST(o_orderkey AS VARCHAR) || '.example.com'
+  SELECT {site_id('o_orderkey')}, 2, 'later' || CAST(o_orderkey AS VARCHAR) || '.example.com'
   FROM orders WHERE o_orderkey % 22 = 0
   UNION ALL
   SELECT {site_id(f'(o_orderkey + {_UNKNOWN})')}, 1, 'nobody' || CAST(o_orderkey AS VARCHAR) || '.example.com'
@@ -293,29 +309,39 @@ ORACLE["user_registry_by_email"] = with_(USERS) + "SELECT email, id AS user_id F
 
 ORACLE["find_site"] = with_(SITES, f"""lk AS (
   SELECT o_orderkey AS request_id,
-    CASE WHEN o_orderkey % 10 = 0 THEN 'malformedUUID'
+    CASE WHEN o_orderkey % 10 = 0 THEN 'not-an-id'
          WHEN o_orderkey % 10 = 1 THEN {site_id(f'(o_orderkey + {_UNKNOWN})')}
          ELSE {site_id('o_orderkey')} END AS id
   FROM orders)""") + f"""SELECT lk.request_id, lk.id, s.domain, s.user_id, s.tracking_id,
   CASE WHEN NOT {is_uuid('lk.id')} THEN 400 WHEN s.id IS NULL THEN 404 ELSE 200 END AS status,
-  s.created AS created_date
+  CASE WHEN NOT {is_uuid('lk.id')} THEN '{BAD_UUID}' END AS message, s.created AS created_date
 FROM lk LEFT JOIN sites s ON s.id = lk.id"""
 ORACLE["find_user"] = with_(USERS, f"""lk AS (
   SELECT c_custkey AS request_id,
-    CASE WHEN c_custkey % 10 = 0 THEN 'malformedUUID'
+    CASE WHEN c_custkey % 10 = 0 THEN 'not-an-id'
          WHEN c_custkey % 10 = 1 THEN {user_id(f'(c_custkey + {_UNKNOWN})')}
          ELSE {user_id('c_custkey')} END AS id
   FROM customer)""") + f"""SELECT lk.request_id, lk.id, u.email, u.full_name,
   CASE WHEN NOT {is_uuid('lk.id')} THEN 400 WHEN u.id IS NULL THEN 404 ELSE 200 END AS status,
-  u.created AS created_date
+  CASE WHEN NOT {is_uuid('lk.id')} THEN '{BAD_UUID}' END AS message, u.created AS created_date
 FROM lk LEFT JOIN users u ON u.id = lk.id"""
-ORACLE["list_sites_by_user"] = with_(SITES, f"""lr AS (
+LISTED = f"""lr AS (
   SELECT c_custkey AS request_id,
-    CASE WHEN c_custkey % 10 = 0 THEN 'malformedUUID' ELSE {user_id('c_custkey')} END AS user_id FROM customer
+    CASE WHEN c_custkey % 10 = 0 THEN 'not-an-id' ELSE {user_id('c_custkey')} END AS user_id FROM customer
   UNION ALL
-  SELECT -c_custkey - 1, {user_id(f'(c_custkey + {_UNKNOWN})')} FROM customer)""") + """SELECT lr.request_id, lr.user_id,
+  SELECT -c_custkey - 1, {user_id(f'(c_custkey + {_UNKNOWN})')} FROM customer)"""
+ORACLE["list_sites_by_user"] = with_(SITES, LISTED) + """SELECT lr.request_id, lr.user_id,
   s.id AS site_id, s.created AS created_date
 FROM lr JOIN sites s ON s.user_id = lr.user_id"""
+ORACLE["list_sites_outcomes"] = with_(SITES, LISTED) + f"""SELECT lr.request_id, lr.user_id,
+  CASE WHEN {is_uuid('lr.user_id')} THEN (SELECT count(*) FROM sites s WHERE s.user_id = lr.user_id) END AS n_sites,
+  CASE WHEN {is_uuid('lr.user_id')} THEN 200 ELSE 400 END AS status,
+  CASE WHEN NOT {is_uuid('lr.user_id')} THEN '{BAD_UUID}' END AS message FROM lr"""
+ORACLE["site_create"] = f"""SELECT {site_id('o_orderkey')} AS id, 'site' || CAST(o_orderkey AS VARCHAR) || '.example.com' AS domain,
+  {user_id('o_custkey')} AS user_id, {uuid_from_text('o_orderkey')} AS tracking_id
+FROM orders WHERE o_orderkey % 10 <> 0"""
+ORACLE["user_registry_after_sign_up"] = with_(USERS, REQ) + f"""SELECT email, id AS user_id FROM users
+UNION ALL SELECT email, {time_uuid('requested_at', 'request_id')} FROM firsts"""
 
 # ---------------------------------------------------------------- load statistics
 

@@ -4,20 +4,25 @@ Order of work for a run over the windows ``[first, last]`` (window ends):
 
 1. due windows (calendar) minus those already in the ledger (skip done work);
 2. hits of the pending windows: a plain ``log_time`` range (pushed to the
-   Parquet scan, prunes ``log_date`` partitions) then the window key;
+   Parquet scan, prunes ``log_date`` partitions). Pending windows without
+   gaps need no more; with gaps their small list is broadcast. The hits
+   themselves are never shuffled before they are aggregated;
 3. all four statistics levels in one pass, staged as Parquet in the shared
-   checkpoint folder (``spark.checkpoint.dir``) so the five writes below
-   reuse one scan and survive the loss of executors;
-4. the partial tables, each replacing its (stat_type, stat_time) partitions:
-   the four long forms as one table (``stats_levels``, also partitioned by
-   ``level``; the reference's per-level tables are its projections), then
-   the map rows;
-5. the running totals, derived from the partials of the base type through a
-   per-day rollup of the touched days (a rerun or a second schedule never
-   counts a hit twice, and a tick does not re-read all history);
+   checkpoint folder (``spark.checkpoint.dir``) so the writes below reuse one
+   scan and survive the loss of executors; the staged folder goes at the end;
+4. the partial tables, each replacing its window's partitions: the four long
+   forms as one table (``stats_levels``; the reference's per-level tables are
+   its projections), then the map rows. What an earlier run stored for a
+   window that now has no hits is removed;
+5. the totals by day of the touched days (base type only);
 6. the ledger rows of the pending windows, last - including windows without
    hits (0). A crash before step 6 leaves the windows pending, and the rerun
-   overwrites the same partitions.
+   replaces the same partitions.
+
+The running totals are read as the closed days' version plus the open days'
+rows, so a tick reads and writes only its own day. ``close_days`` moves days
+into the closed version. All tables are partitioned by day, and a day's
+folders alone are listed to read it.
 """
 
 from __future__ import annotations
@@ -25,7 +30,6 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +37,23 @@ from .. import schemas
 from ..functions.timeid import ntz_lit
 from ..functions.windows import FIVE_MINUTES, StatDefinition
 from ..operators import stats as st
-from ..session import checkpoint_dir, stage
+from ..session import staging
 from ..sources import sinks
 
+# A list of pending windows up to this length is broadcast (16 bytes each).
+MAX_BROADCAST_WINDOWS = 100_000
+_STORED = {"stats_levels": schemas.STATS_LEVELS, "partial_stats": schemas.PARTIAL_STATS_STORED,
+           "stats_reference": schemas.LEDGER_STORED,
+           "global_stats_daily": schemas.GLOBAL_STATS_DAILY,
+           "global_stats_url_daily": schemas.GLOBAL_STATS_URL_DAILY}
+# total -> (daily table, level of its partials, keys, schema)
+_TOTALS = {"global_stats": ("global_stats_daily", "site", ["site_id"], schemas.GLOBAL_STATS),
+           "global_stats_url": ("global_stats_url_daily", "url", ["site_id", "url"], schemas.GLOBAL_STATS_URL)}
+
+
+def days_between(first: dt.datetime, last: dt.datetime) -> list[dt.date]:
+    return [first.date() + dt.timedelta(days=i) for i in range((last.date() - first.date()).days + 1)]
+
 
 @dataclass(frozen=True)
 class StatsStore:
@@ -45,40 +63,106 @@ class StatsStore:
     def path(self, table: str) -> str:
         return f"{self.root.rstrip('/')}/{table}"
 
-    def read(self, spark: SparkSession, table: str, schema=None) -> DataFrame | None:
-        """The table, or None when it was never written (asked of Spark, so
-        any file system the cluster mounts works)."""
-        try:
-            return sinks.read_partitioned(spark, self.path(table), schema)
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
-                return None
-            raise
+    def read(self, spark: SparkSession, table: str) -> DataFrame | None:
+        """A stored table, or None when it was never written."""
+        return sinks.read_or_none(spark, self.path(table), _STORED[table])
+
+    def read_days(self, spark: SparkSession, table: str, stat_type: str, days) -> DataFrame | None:
+        return sinks.read_days(spark, self.path(table), _STORED[table], stat_type, days)
 
     def table(self, spark: SparkSession, name: str) -> DataFrame | None:
-        """A table by its reference name; the four per-level tables are
-        projections of ``stats_levels`` pruned to one ``level`` partition."""
+        """A table by its reference name: the per-level tables are
+        projections of ``stats_levels``, the totals are the closed version
+        plus the open days, ``partial_stats`` is one row per site and window."""
         for level, (table, _) in st.LEVEL_TABLES.items():
             if name == table:
-                long = self.read(spark, "stats_levels", schemas.STATS_LEVELS)
+                long = self.read(spark, "stats_levels")
                 return None if long is None else st.level_table(long, level)
-        return self.read(spark, name, _SCHEMAS.get(name))
+        if name in _TOTALS:
+            return self.totals(spark, name)
+        stored = self.read(spark, name)
+        if stored is None:
+            return None
+        if name == "partial_stats":
+            return st.whole_partial_stats(stored)
+        return stored.where("affected_records IS NOT NULL").drop("stat_date")
+
+    def totals(self, spark: SparkSession, name: str, through: dt.date | None = None) -> DataFrame | None:
+        """Running totals of the base type, up to the day ``through``."""
+        daily, _, keys, schema = _TOTALS[name]
+        days = self.read(spark, daily)
+        closed, mark = sinks.read_version(spark, self.root.rstrip("/"), name, schema)
+        if days is None:
+            return closed
+        if mark:
+            days = days.where(F.col("stat_date") >= F.lit(dt.date.fromisoformat(mark)))
+        if through is not None:
+            days = days.where(F.col("stat_date") <= F.lit(through))
+        rows = days.select(*keys, "requests")
+        rows = rows if closed is None else rows.unionByName(closed)
+        return rows.groupBy(*keys).agg(F.sum("requests").cast("bigint").alias("requests"))
 
 
-_SCHEMAS = {"partial_stats": schemas.PARTIAL_STATS, "global_stats": schemas.GLOBAL_STATS,
-            "global_stats_url": schemas.GLOBAL_STATS_URL,
-            "stats_reference": schemas.STATS_REFERENCE}
+def close_days(spark: SparkSession, store: StatsStore, before: dt.date) -> None:
+    """Put all days before ``before`` into new closed versions of the totals,
+    each switched atomically. A run that rewrites a closed day drops the
+    closed versions back to none (see ``write_daily``)."""
+    for name in _TOTALS:
+        whole = store.totals(spark, name, before - dt.timedelta(days=1))
+        if whole is not None:
+            sinks.publish_version(whole, store.root.rstrip("/"), name, before.isoformat())
 
 
 def write_window_outputs(levels: DataFrame, stat: StatDefinition, store: StatsStore,
-                         max_map_entries: int = st.DEFAULT_MAX_MAP_ENTRIES) -> None:
+                         fragments: int = st.FRAGMENTS) -> None:
     """The partial statistics of finished windows: all long forms in one
-    write (one pass over ``levels``), then the map rows. Each replaces only
-    its windows' partitions."""
-    sinks.overwrite_partitions(st.long_form(levels, stat), store.path("stats_levels"),
-                               ("level", "stat_type", "stat_time"))
-    sinks.overwrite_partitions(st.partial_stats(levels, stat, max_map_entries),
-                               store.path("partial_stats"))
+    write, then the map rows. Each replaces only its windows' partitions."""
+    sinks.overwrite_partitions(st.long_form(levels, stat), store.path("stats_levels"))
+    maps = st.partial_stats(levels, stat, fragments).withColumn("stat_date", F.to_date("stat_time"))
+    sinks.overwrite_partitions(maps, store.path("partial_stats"))
+
+
+def clear_empty(spark: SparkSession, store: StatsStore, stat: StatDefinition, empty: DataFrame, days) -> None:
+    """Remove what an earlier run stored for windows that now have no hits."""
+    for table in ("stats_levels", "partial_stats"):
+        stored = store.read_days(spark, table, stat.stat_type, days)
+        if stored is not None:
+            rows = sinks.with_file(stored, "stat_time")
+            gone = rows.join(empty.select("stat_time"), "stat_time", "left_semi").select("file_path").distinct().collect()
+            sinks.remove_folders(spark, {sinks.folder_of(r.file_path) for r in gone})
+
+
+def write_daily(spark: SparkSession, store: StatsStore, stat: StatDefinition, days) -> None:
+    """Totals by day of the touched days, rebuilt from their partials. A day
+    that is already closed takes its closed version out of force first."""
+    long = store.read_days(spark, "stats_levels", stat.stat_type, days)
+    for name, (daily, level, keys, schema) in _TOTALS.items():
+        closed, mark = sinks.read_version(spark, store.root.rstrip("/"), name, schema)
+        if mark and min(days) < dt.date.fromisoformat(mark):
+            sinks.publish_version(closed.limit(0), store.root.rstrip("/"), name)
+        stored = store.read_days(spark, daily, stat.stat_type, days)
+        before = [] if stored is None else sinks.with_file(stored, "stat_date").distinct().collect()  # files of the touched days
+        present = set()
+        if long is not None:
+            rows = st.level_table(long, level).withColumn("stat_date", F.to_date("stat_time"))
+            sums = (rows.groupBy(*keys, "stat_type", "stat_date")
+                    .agg(F.sum("requests").cast("bigint").alias("requests")))
+            sinks.overwrite_partitions(sums, store.path(daily), sinks.DAY_PARTITIONS)
+            present = {r.stat_date for r in rows.select("stat_date").distinct().collect()}
+        # days that have no hits any more
+        sinks.remove_folders(spark, {sinks.folder_of(r.file_path) for r in before if r.stat_date not in present})
+
+
+def write_ledger(spark: SparkSession, store: StatsStore, stat: StatDefinition, rows: DataFrame, days) -> None:
+    """Ledger rows (stat_type, stat_time, affected_records): their days'
+    partitions are rewritten with the rows merged in (one small file a day)."""
+    new = rows.withColumn("stat_date", F.to_date("stat_time"))
+    old = store.read_days(spark, "stats_reference", stat.stat_type, days)
+    with staging(spark) as stage:
+        if old is not None:
+            touched = old.join(new.select("stat_date").distinct(), "stat_date", "left_semi")
+            new = new.unionByName(touched.join(rows.select("stat_time"), "stat_time", "left_anti"))
+        sinks.overwrite_partitions(stage(new, "ledger"), store.path("stats_reference"), sinks.DAY_PARTITIONS)
 
 
 def _calendar(spark: SparkSession, stat: StatDefinition, first: dt.datetime,
@@ -88,72 +172,89 @@ def _calendar(spark: SparkSession, stat: StatDefinition, first: dt.datetime,
     return st.calendar(bounds, stat)
 
 
+def done_windows(spark: SparkSession, store: StatsStore, stat: StatDefinition, days) -> DataFrame | None:
+    ledger = store.read_days(spark, "stats_reference", stat.stat_type, days)
+    return None if ledger is None else ledger.where("affected_records IS NOT NULL")
+
+
 def pending(spark: SparkSession, store: StatsStore, stat: StatDefinition,
             first: dt.datetime, last: dt.datetime) -> DataFrame:
     due = _calendar(spark, stat, first, last)
-    ledger = store.read(spark, "stats_reference", schemas.STATS_REFERENCE)
-    if ledger is None:
-        return due
-    # partition pruning: only this type's partitions inside the run's range
-    ledger = ledger.where((F.col("stat_type") == stat.stat_type)
-                          & F.col("stat_time").between(ntz_lit(first), ntz_lit(last)))
-    return st.pending_windows(due, ledger)
-
-
-def update_totals(spark: SparkSession, store: StatsStore, first: dt.datetime,
-                  last: dt.datetime, base_type: str) -> None:
-    """Running totals as a two-level rollup of the base type's partials.
-
-    The per-day totals of the days this run touched are rebuilt from their
-    partials (partition-pruned to those days), then the running totals are
-    the sum of the per-day table: the work per tick grows with the days of
-    history, not with the number of windows, and a rerun gives the same
-    totals (nothing is added to a counter).
-    """
-    lo = ntz_lit(dt.datetime.combine(first.date(), dt.time()))
-    hi = ntz_lit(dt.datetime.combine(last.date(), dt.time()) + dt.timedelta(days=1))
-    for table, keys, daily, total in (
-            ("partial_stats_requests", ["site_id"], "global_stats_daily", "global_stats"),
-            ("partial_stats_url", ["site_id", "url"], "global_stats_url_daily", "global_stats_url")):
-        partials = store.table(spark, table).where(
-            (F.col("stat_type") == base_type) & (F.col("stat_time") >= lo) & (F.col("stat_time") < hi))
-        days = (partials.groupBy(*keys, F.to_date("stat_time").alias("stat_date"))
-                .agg(F.sum("requests").cast("bigint").alias("requests")))
-        sinks.overwrite_partitions(days, store.path(daily), ("stat_date",))
-        rollup = store.read(spark, daily)
-        sinks.overwrite_table(
-            rollup.groupBy(*keys).agg(F.sum("requests").cast("bigint").alias("requests")),
-            store.path(total))
+    ledger = done_windows(spark, store, stat, days_between(first, last))
+    return due if ledger is None else st.pending_windows(due, ledger)
+
+
+def check_aligned(stat: StatDefinition, *ends: dt.datetime) -> None:
+    for end in ends:
+        ms = (end - dt.datetime(1970, 1, 1)) / dt.timedelta(milliseconds=1)
+        if ms % stat.range_ms:
+            raise ValueError(f"{end} is not the end of a {stat.stat_type} window")
+
+
+def hits_of(logs: DataFrame, todo: DataFrame, n_windows: int, stat: StatDefinition,
+            first: dt.datetime, last: dt.datetime) -> DataFrame:
+    """The hits of the pending windows, without a shuffle of hits."""
+    lo = first - dt.timedelta(milliseconds=stat.range_ms)
+    hits = logs.where((F.col("log_time") >= ntz_lit(lo)) & (F.col("log_time") < ntz_lit(last)))
+    if "log_date" in logs.columns:  # a stored logs table: prune its day partitions
+        hits = hits.where(F.col("log_date").between(F.lit(lo.date()), F.lit(last.date())))
+    if n_windows == (last - first) / dt.timedelta(milliseconds=stat.range_ms) + 1:
+        return hits
+    windows = todo.select("stat_time")
+    if n_windows <= MAX_BROADCAST_WINDOWS:
+        windows = F.broadcast(windows)
+    return st.windowed(hits, stat).join(windows, "stat_time", "left_semi").drop("stat_time")
 
 
 def run_statistics(spark: SparkSession, logs: DataFrame, store: StatsStore,
                    stat: StatDefinition, first: dt.datetime, last: dt.datetime,
-                   base_type: str = FIVE_MINUTES.stat_type,
-                   max_map_entries: int = st.DEFAULT_MAX_MAP_ENTRIES) -> int:
+                   base_type: str = FIVE_MINUTES.stat_type, fragments: int = st.FRAGMENTS) -> int:
     """Compute and write every window ending in ``[first, last]`` that the
     ledger does not hold yet. Returns the number of windows written."""
-    checkpoint_dir(spark)
-    todo = stage(pending(spark, store, stat, first, last), "pending")
-    n_windows = todo.count()
-    if n_windows == 0:
-        return 0
-    lo = first - dt.timedelta(milliseconds=stat.range_ms)
-    hits = logs.where((F.col("log_time") >= ntz_lit(lo))
-                      & (F.col("log_time") < ntz_lit(last)))
-    if "log_date" in logs.columns:  # a stored logs table: prune its day partitions
-        hits = hits.where(F.col("log_date").between(F.lit(lo.date()), F.lit(last.date())))
-    in_todo = st.windowed(hits, stat).join(todo.select("stat_time"), "stat_time", "left_semi")
-    levels = stage(st.stats_all_levels(in_todo.drop("stat_time"), stat), "levels")
+    check_aligned(stat, first, last)
+    days = days_between(first, last)
+    with staging(spark) as stage:
+        todo = stage(pending(spark, store, stat, first, last), "pending")
+        n_windows = todo.count()
+        if n_windows == 0:
+            return 0
+        levels = stage(st.stats_all_levels(hits_of(logs, todo, n_windows, stat, first, last), stat), "levels")
+        counts = (levels.where(F.col("level") == "site").groupBy("stat_time")
+                  .agg(F.sum("requests").alias("n")))
+        ledger = stage(todo.join(counts, "stat_time", "left")
+                       .select("stat_type", "stat_time",
+                               F.coalesce("n", F.lit(0)).cast("bigint").alias("affected_records")), "counts")
+        write_window_outputs(levels, stat, store, fragments)
+        clear_empty(spark, store, stat, ledger.where("affected_records = 0"), days)
+        if stat.stat_type == base_type:  # totals derive from the base type only
+            write_daily(spark, store, stat, days)
+        write_ledger(spark, store, stat, ledger, days)
+        return n_windows
+
 
-    write_window_outputs(levels, stat, store, max_map_entries)
+def stale_windows(spark: SparkSession, logs: DataFrame, store: StatsStore, stat: StatDefinition,
+                  first: dt.datetime, last: dt.datetime) -> DataFrame:
+    """The account of late hits: windows whose hits in ``logs`` are not what
+    the ledger has (stat_type, stat_time, affected_records, hits)."""
+    check_aligned(stat, first, last)
+    done = done_windows(spark, store, stat, days_between(first, last))
+    if done is None:
+        return spark.createDataFrame([], "stat_type string, stat_time timestamp_ntz, affected_records long, hits long")
+    lo = first - dt.timedelta(milliseconds=stat.range_ms)
+    hits = logs.where((F.col("log_time") >= ntz_lit(lo)) & (F.col("log_time") < ntz_lit(last)))
+    counts = st.windowed(hits, stat).groupBy("stat_time").agg(F.count(F.lit(1)).alias("hits"))
+    done = done.where(F.col("stat_time").between(ntz_lit(first), ntz_lit(last)))
+    return (done.join(counts, "stat_time", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+            .where("hits <> affected_records").select("stat_type", "stat_time", "affected_records", "hits"))
 
-    if stat.stat_type == base_type:  # totals derive from the base type only
-        update_totals(spark, store, first, last, base_type)
 
-    counts = (levels.where(F.col("level") == "site").groupBy("stat_time")
-              .agg(F.sum("requests").alias("n")))
-    ledger = (todo.join(counts, "stat_time", "left")
-              .select("stat_type", "stat_time",
-                      F.coalesce("n", F.lit(0)).cast("bigint").alias("affected_records")))
-    sinks.overwrite_partitions(ledger, store.path("stats_reference"))
-    return n_windows
+def repair(spark: SparkSession, logs: DataFrame, store: StatsStore, stat: StatDefinition,
+           first: dt.datetime, last: dt.datetime, base_type: str = FIVE_MINUTES.stat_type) -> int:
+    """Reopen the windows that late hits belong to, and compute them again."""
+    with staging(spark) as stage:
+        reopened = stage(stale_windows(spark, logs, store, stat, first, last), "stale").select(
+            "stat_type", "stat_time", F.lit(None).cast("bigint").alias("affected_records"))
+        if reopened.isEmpty():
+            return 0
+        write_ledger(spark, store, stat, reopened, days_between(first, last))
+    return run_statistics(spark, logs, store, stat, first, last, base_type)

@@ -1,12 +1,13 @@
 """Table schemas (the reference's eleven tables, in creation order) plus the
-long-form statistics tables this package writes.
+long-form statistics tables this package writes. Table and column names of
+the eleven are fixed values.
 
 Ids are kept as text: time-based ids (v1) for users, sites and hits, random
 ids (v4) for tracking ids. Times are ``timestamp_ntz`` holding UTC wall-clock
 time, so no result depends on the session time zone.
 """
 
-from pyspark.sql.types import (IntegerType, LongType, MapType, StringType,
+from pyspark.sql.types import (DateType, IntegerType, LongType, MapType, StringType,
                                StructField, StructType, TimestampNTZType, TimestampType)
 
 
@@ -42,11 +43,16 @@ PARTIAL_STATS_IP = _s(("site_id", TEXT), ("year", INT), ("stat_time", TS), ("sta
 PARTIAL_STATS_BROWSER = _s(("site_id", TEXT), ("year", INT), ("stat_time", TS),
                            ("stat_type", TEXT), ("browser", TEXT), ("requests", INT))
 
-# All four long forms in one table, partitioned by (level, stat_type,
+# All four long forms in one table, partitioned by (stat_type, stat_date,
 # stat_time); ``key`` is null on the site level. The tables above are its
 # projections.
 STATS_LEVELS = _s(("site_id", TEXT), ("year", INT), ("key", TEXT), ("requests", BIGINT),
-                  ("level", TEXT), ("stat_type", TEXT), ("stat_time", TS))
+                  ("level", TEXT), ("stat_type", TEXT), ("stat_date", DateType()), ("stat_time", TS))
+PARTIAL_STATS_STORED = StructType(PARTIAL_STATS.fields + [StructField("stat_date", DateType(), True)])
+LEDGER_STORED = StructType(STATS_REFERENCE.fields + [StructField("stat_date", DateType(), True)])
+# Totals by day of the base type, partitioned by (stat_type, stat_date).
+GLOBAL_STATS_DAILY = StructType(GLOBAL_STATS.fields + [StructField("stat_type", TEXT, True), StructField("stat_date", DateType(), True)])
+GLOBAL_STATS_URL_DAILY = StructType(GLOBAL_STATS_URL.fields + [StructField("stat_type", TEXT, True), StructField("stat_date", DateType(), True)])
 
 # Raw hit as posted: JSON body with three required fields.
 HIT_BODY = _s(("url", TEXT), ("ipAddress", TEXT), ("userAgent", TEXT))

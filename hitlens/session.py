@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,28 +46,39 @@ def get_session(master: str = "local[*]", shuffle_partitions: int = 8,
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``; only when it is unset (local tests) a fresh
-    scratch folder is created and registered."""
+    ``spark.checkpoint.dir``; only when it is unset in a local session
+    (tests) a fresh scratch folder is created and registered."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir: executors do not share a machine-local folder")
         configured = tempfile.mkdtemp(prefix="hitlens-ckpt-")
     spark.sparkContext.setCheckpointDir(configured)
     return spark.sparkContext.getCheckpointDir() or configured
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage by writing ``df`` as Parquet under the shared checkpoint
-    folder and reading it back.
+@contextmanager
+def staging(spark: SparkSession):
+    """Give ``stage(df, name)``, which cuts lineage by writing ``df`` as
+    Parquet under the shared checkpoint folder and reading it back; the
+    folder is removed at the end of the block, also after an error.
 
     One pass (an eager RDD checkpoint computes the plan twice and stores
     serialized rows); the staged copy is columnar, so later readers prune
     columns and push filters. Survives the loss of executors like any table.
     """
-    import uuid
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/hitlens-stage-{uuid.uuid4().hex}"
 
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/hitlens-stage/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    def stage(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    try:
+        yield stage
+    finally:
+        from .sources.sinks import remove
+
+        remove(spark, folder)

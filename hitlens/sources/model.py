@@ -50,19 +50,25 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits as posted: (hit_id, tracking_id, log_time, body). Every 50th body
-    lacks ``userAgent``; every 97th is not JSON; every 41st tracking id is
-    malformed."""
+    lacks ``userAgent``; every 97th is not JSON; some have a number for the
+    url (89th), text or a second object after the object (83rd, 79th) or
+    single quotes (73rd); every 41st tracking id is malformed."""
     lg = logs(spark, sf_dir)
     ev_id = F.col("log_id").cast("bigint")
     q = F.lit('"')
+    whole = F.concat(F.lit('{"url":"'), F.col("url"), F.lit('","ipAddress":"'), F.col("ip_address"),
+                     F.lit('","userAgent":"'), F.col("user_agent"), F.lit('"}'))
     body = (F.when(ev_id % 97 == 0, F.concat(F.lit("<html>"), F.col("log_id")))
+            .when(ev_id % 89 == 0, F.concat(F.lit('{"url":'), F.col("log_id"),
+                                            F.lit(',"ipAddress":"1.2.3.4","userAgent":"a"}')))
+            .when(ev_id % 83 == 0, F.concat(whole, F.lit(" and more")))
+            .when(ev_id % 79 == 0, F.concat(whole, whole))
+            .when(ev_id % 73 == 0, F.translate(whole, '"', "'"))
             .when(ev_id % 50 == 0,
                   F.concat(F.lit('{"url":"'), F.col("url"), F.lit('","ipAddress":"'),
                            F.col("ip_address"), q, F.lit("}")))
-            .otherwise(F.concat(F.lit('{"url":"'), F.col("url"), F.lit('","ipAddress":"'),
-                                F.col("ip_address"), F.lit('","userAgent":"'),
-                                F.col("user_agent"), q, F.lit("}"))))
-    tracking = F.when(ev_id % 41 == 0, F.lit("malformedUUID")).otherwise(
+            .otherwise(whole))
+    tracking = F.when(ev_id % 41 == 0, F.lit("not-an-id")).otherwise(
         uuid_from_text(F.col("site_id")))
     return lg.select(F.col("log_id").alias("hit_id"), tracking.alias("tracking_id"),
                      "log_time", body.alias("body"))
@@ -99,7 +105,7 @@ def user_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     under 1,000 are too short."""
     c = read_table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
-    email = (F.when(k % 10 == 0, F.lit("invalidEmail"))
+    email = (F.when(k % 10 == 0, F.lit("no-at-sign"))
              .when(k % 5 == 0, F.concat(F.lower("c_name"), F.lit("@example.com")))
              .when(k % 7 == 0, F.concat(F.lit("shared"), (k % 3).cast("string"),
                                         F.lit("@example.com")))
@@ -122,9 +128,9 @@ def user_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     first = c.where(k % 11 == 0).select(_user_id(k).alias("id"), F.lit(1).alias("seq"),
-                                        F.concat(F.lit("wrongName"), k.cast("string")).alias("full_name"))
+                                        F.concat(F.lit("Earlier Name "), k.cast("string")).alias("full_name"))
     second = c.where(k % 22 == 0).select(_user_id(k).alias("id"), F.lit(2).alias("seq"),
-                                         F.concat(F.lit("correctName"), k.cast("string")).alias("full_name"))
+                                         F.concat(F.lit("Later Name "), k.cast("string")).alias("full_name"))
     unknown = c.where(k % 11 == 0).select(_user_id(k + UNKNOWN_NODE_OFFSET).alias("id"),
                                           F.lit(1).alias("seq"), F.lit("nobody").alias("full_name"))
     return first.unionByName(second).unionByName(unknown)
@@ -135,7 +141,7 @@ def user_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     nobody owns for keys ending in 1, the customer's id otherwise."""
     c = read_table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
-    rid = (F.when(k % 10 == 0, F.lit("malformedUUID"))
+    rid = (F.when(k % 10 == 0, F.lit("not-an-id"))
            .when(k % 10 == 1, _user_id(k + UNKNOWN_NODE_OFFSET))
            .otherwise(_user_id(k)))
     return c.select(k.alias("request_id"), rid.alias("id"))
@@ -154,14 +160,25 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
                     uuid_from_text(k.cast("string")).alias("tracking_id"))
 
 
+def site_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A site creation per order; every 10th names a malformed user id."""
+    o = read_table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    owner = F.when(k % 10 == 0, F.lit("not-an-id")).otherwise(_user_id(F.col("o_custkey")))
+    return o.select(k.alias("request_id"), owner.alias("user_id"),
+                    F.concat(F.lit("site"), k.cast("string"), F.lit(".example.com")).alias("domain"),
+                    _site_id(k, F.col("o_orderdate")).alias("new_id"),
+                    uuid_from_text(k.cast("string")).alias("new_tracking"))
+
+
 def site_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders")
     k, d = F.col("o_orderkey"), F.col("o_orderdate")
     dom = lambda p: F.concat(F.lit(p), k.cast("string"), F.lit(".example.com"))
     first = o.where(k % 11 == 0).select(_site_id(k, d).alias("id"), F.lit(1).alias("seq"),
-                                        dom("wrong-site").alias("domain"))
+                                        dom("earlier").alias("domain"))
     second = o.where(k % 22 == 0).select(_site_id(k, d).alias("id"), F.lit(2).alias("seq"),
-                                         dom("correct-site").alias("domain"))
+                                         dom("later").alias("domain"))
     unknown = o.where(k % 11 == 0).select(_site_id(k + UNKNOWN_NODE_OFFSET, d).alias("id"),
                                           F.lit(1).alias("seq"), dom("nobody").alias("domain"))
     return first.unionByName(second).unionByName(unknown)
@@ -180,7 +197,7 @@ def site_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def site_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders")
     k, d = F.col("o_orderkey"), F.col("o_orderdate")
-    rid = (F.when(k % 10 == 0, F.lit("malformedUUID"))
+    rid = (F.when(k % 10 == 0, F.lit("not-an-id"))
            .when(k % 10 == 1, _site_id(k + UNKNOWN_NODE_OFFSET, d))
            .otherwise(_site_id(k, d)))
     return o.select(k.alias("request_id"), rid.alias("id"))
@@ -192,7 +209,7 @@ def site_list_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     known = c.select(k.alias("request_id"),
-                     F.when(k % 10 == 0, F.lit("malformedUUID")).otherwise(_user_id(k)).alias("user_id"))
+                     F.when(k % 10 == 0, F.lit("not-an-id")).otherwise(_user_id(k)).alias("user_id"))
     unknown = c.select((-k - 1).alias("request_id"), _user_id(k + UNKNOWN_NODE_OFFSET).alias("user_id"))
     return known.unionByName(unknown)
 
@@ -201,7 +218,7 @@ def id_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     return o.select(k.alias("request_id"),
-                    F.when(k % 10 == 0, F.lit("malformedUUID"))
+                    F.when(k % 10 == 0, F.lit("not-an-id"))
                     .otherwise(uuid_from_text(k.cast("string"))).alias("id"))
 
 

@@ -1,16 +1,23 @@
-"""Writers. Window outputs replace their own (stat_type, stat_time)
-partitions (dynamic overwrite), so writing a window twice leaves one copy;
-the ledger row of a window is written only after its statistics."""
+"""Writers. Window outputs replace their own partitions (dynamic overwrite),
+so writing a window twice leaves one copy; whole tables are switched
+atomically by a version pointer; the ledger row of a window is written only
+after its statistics."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from urllib.parse import unquote
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-STAT_PARTITIONS = ("stat_type", "stat_time")
+WINDOW_PARTITIONS = ("stat_type", "stat_date", "stat_time")
+DAY_PARTITIONS = ("stat_type", "stat_date")
+_POINTERS = "table string, seq long, folder string, mark string"
 
 
-def overwrite_partitions(df: DataFrame, path: str, partition_cols=STAT_PARTITIONS,
+def overwrite_partitions(df: DataFrame, path: str, partition_cols=WINDOW_PARTITIONS,
                          fmt: str = "parquet") -> None:
     """Replace exactly the partitions present in ``df``; others stay.
 
@@ -25,18 +32,89 @@ def overwrite_partitions(df: DataFrame, path: str, partition_cols=STAT_PARTITION
        .save(path))
 
 
-def overwrite_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    df.write.mode("overwrite").format(fmt).save(path)
+def overwrite_folder(df: DataFrame, path: str, partition_cols=(), fmt: str = "parquet") -> None:
+    """Replace everything under ``path``, also when ``df`` has no rows."""
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+       .partitionBy(*partition_cols).format(fmt).save(path))
+
+
+def read_or_none(spark: SparkSession, path: str, schema, fmt: str = "parquet") -> DataFrame | None:
+    """The table, or None when it was never written (asked of Spark, so any
+    file system the cluster mounts works)."""
+    try:
+        return spark.read.format(fmt).schema(schema).load(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+            return None
+        raise
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, target = _file_system(spark, path)
+    return fs.exists(target)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder this package wrote, on whatever file system it is."""
+    fs, target = _file_system(spark, path)
+    fs.delete(target, True)
+
+
+def read_days(spark: SparkSession, path: str, schema, stat_type: str, days) -> DataFrame | None:
+    """The day partitions of one stat type. Only their folders are listed, so
+    a tick's read does not grow with the history."""
+    folders = [f"{path}/stat_type={stat_type}/stat_date={d.isoformat()}" for d in days]
+    folders = [f for f in folders if exists(spark, f)]
+    if not folders:
+        return None
+    return spark.read.option("basePath", path).schema(schema).parquet(*folders)
+
+
+def with_file(stored: DataFrame, *columns: str) -> DataFrame:
+    """Columns of a stored table, and the file each row lies in."""
+    return stored.select(*columns, F.col("_metadata.file_path").alias("file_path"))
+
+
+def folder_of(file_path: str) -> str:
+    """The partition folder of a file (the column holds a URI, the folder a name with its own %3A)."""
+    return unquote(file_path.rsplit("/", 1)[0])
+
+
+def remove_folders(spark: SparkSession, folders) -> None:
+    for folder in folders:
+        remove(spark, folder)
+
+
+def publish_version(df: DataFrame, root: str, table: str, mark: str = "", keep: int = 2) -> None:
+    """Write a new version of a table, then switch readers to it by one
+    appended pointer row: a crash before leaves the old version in force.
+    Versions older than the last ``keep`` are removed."""
+    spark = df.sparkSession
+    folder = f"{root}/{table}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    old = _pointers(spark, root, table)
+    row = [(table, old[0].seq + 1 if old else 1, folder, mark)]
+    spark.createDataFrame(row, _POINTERS).coalesce(1).write.mode("append").parquet(f"{root}/_versions")
+    for stale in old[keep - 1:]:
+        if exists(spark, stale.folder):
+            remove(spark, stale.folder)
 
 
-def append_logs(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Append hits to ``logs``, partitioned by UTC day of ``log_time``."""
-    (df.withColumn("log_date", F.to_date("log_time"))
-       .write.mode("append").partitionBy("log_date").format(fmt).save(path))
+def _pointers(spark: SparkSession, root: str, table: str) -> list:
+    rows = read_or_none(spark, f"{root}/_versions", _POINTERS)
+    if rows is None:
+        return []
+    return rows.where(F.col("table") == table).orderBy(F.desc("seq")).limit(10).collect()
 
 
-def read_partitioned(spark, path: str, schema=None, fmt: str = "parquet") -> DataFrame:
-    reader = spark.read.format(fmt)
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.load(path)
+def read_version(spark: SparkSession, root: str, table: str, schema) -> tuple[DataFrame | None, str]:
+    """The version in force and its mark; (None, "") before the first one."""
+    at = _pointers(spark, root, table)
+    if not at:
+        return None, ""
+    return spark.read.schema(schema).parquet(at[0].folder), at[0].mark

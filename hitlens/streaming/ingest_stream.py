@@ -4,24 +4,27 @@
 The source is any streaming frame with (key, value, partition, offset,
 timestamp) - the Kafka source's shape (``timestamp`` is the broker's
 instant, a ``timestamp``); ``kafka_messages`` builds that source
-when the Kafka package is on the classpath, the tests use a file source of
-the same schema. Delivery is at-least-once, so hits are de-duplicated by
-(partition, offset) within the watermark, and ``log_id`` is taken from that
-position: a redelivered message gets the same id, not a new one. The site
-registry is re-read for every micro-batch (no stale cache).
+when the Kafka package is on the classpath (it is not here, so that format
+itself is untested), the tests use a file source of
+the same schema. Delivery is at-least-once: a message is known by its
+position (partition, offset), which is also its ``log_id``, and a position
+that any batch has stored is not stored again, however late it comes. The
+site registry is re-read for every micro-batch (no stale cache).
 """
 
 from __future__ import annotations
 
-import os
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import DateType, StructField, StructType
 
+from .. import schemas
 from ..functions.timeid import ntz_from_ltz
 from ..operators import ingest as ing
+from ..session import staging
 from ..sources import sinks
 
 
@@ -49,49 +52,100 @@ def to_raw_hits(messages: DataFrame) -> DataFrame:
         F.col("value").alias("body"), "partition", "offset")
 
 
-def ingest_batch(raw: DataFrame, by_tracking: DataFrame, logs_path: str,
-                 quarantine_path: str, batch_id: int) -> None:
-    """Write one batch: accepted hits to ``logs`` and everything else to the
-    quarantine, each replacing only this batch's partitions (idempotent on
-    replay of the same batch id)."""
-    outcomes = ing.ingest(raw, by_tracking).withColumn("ingest_batch", F.lit(batch_id)).persist()
-    try:
+STORED_POSITIONS = "partition int, offset long, ingest_run string, ingest_batch long"
+_RANGES = "partition int, first long, last long, ingest_run string, ingest_batch long"
+
+
+def _new_messages(raw: DataFrame, root: str, run: str, batch_id: int) -> DataFrame:
+    """The batch's messages, one per position, without those that another
+    batch (of this query or of any other on the same root) has stored.
+
+    Positions are looked up in the batches whose offset ranges overlap this
+    one's: none as long as nothing is delivered twice, so a batch in order
+    reads one small table."""
+    spark = raw.sparkSession
+    once = raw.dropDuplicates(["partition", "offset"])
+    ranges = sinks.read_or_none(spark, f"{root}/positions", _RANGES)
+    if ranges is None:
+        return once
+    own = (F.col("ingest_run") == run) & (F.col("ingest_batch") == batch_id)
+    mine = once.groupBy("partition").agg(F.min("offset").alias("low"), F.max("offset").alias("high"))
+    overlap = (ranges.where(~own).join(mine, "partition").where((F.col("first") <= F.col("high")) & (F.col("last") >= F.col("low")))
+               .select("ingest_run", "ingest_batch").distinct())
+    if overlap.isEmpty():
+        return once
+    for table in ("logs", "quarantine"):
+        stored = sinks.read_or_none(spark, f"{root}/{table}", STORED_POSITIONS)
+        if stored is not None:
+            taken = stored.join(overlap, ["ingest_run", "ingest_batch"], "left_semi").select("partition", "offset")
+            once = once.join(taken, ["partition", "offset"], "left_anti")
+    return once
+
+
+def ingest_batch(raw: DataFrame, by_tracking: DataFrame, root: str, run: str, batch_id: int,
+                 broadcast: bool = False) -> None:
+    """Write one batch: accepted hits to ``logs``, everything else with its
+    reason to ``quarantine``, its offset ranges to ``positions``.
+
+    Each goes to the batch's own folder, which is replaced as a whole: a
+    replay clears what it wrote before, also where it has nothing to write
+    now. ``run`` is the query's id, so a new checkpoint writes beside the
+    old one's batches, not over them."""
+    own = f"ingest_run={run}/ingest_batch={batch_id}"
+    with staging(raw.sparkSession) as stage:
+        fresh = stage(_new_messages(raw, root, run, batch_id), "messages")
+        outcomes = stage(ing.ingest(fresh, by_tracking, broadcast=broadcast), "outcomes")
         good = (outcomes.where(F.col("outcome") == "accepted")
-                .select("site_id", F.col("hit_id").alias("log_id"), "log_time", "url",
-                        "ip_address", "user_agent", "ingest_batch")
-                .withColumn("log_date", F.to_date("log_time")))
-        sinks.overwrite_partitions(good, logs_path, ("log_date", "ingest_batch"))
+                .select("site_id", F.col("hit_id").alias("log_id"), "log_time", "url", "ip_address",
+                        "user_agent", "partition", "offset", F.to_date("log_time").alias("log_date")))
+        sinks.overwrite_folder(good.hint("rebalance", "log_date"), f"{root}/logs/{own}", ("log_date",))
         bad = (outcomes.where(F.col("outcome") != "accepted")
-               .select("hit_id", "tracking_id", "log_time", "outcome", "status", "ingest_batch"))
-        sinks.overwrite_partitions(bad, quarantine_path, ("ingest_batch",))
-    finally:
-        outcomes.unpersist()
+               .select("hit_id", "tracking_id", "log_time", "outcome", "status", "partition", "offset"))
+        sinks.overwrite_folder(bad, f"{root}/quarantine/{own}")
+        ranges = fresh.groupBy("partition").agg(F.min("offset").alias("first"), F.max("offset").alias("last"))
+        sinks.overwrite_folder(ranges.coalesce(1), f"{root}/positions/{own}")
+
+
+def stored_logs(spark: SparkSession, root: str) -> DataFrame | None:
+    """The ``logs`` table that the stream writes, with its ``log_date`` partition."""
+    schema = StructType(schemas.LOGS.fields + [StructField("log_date", DateType())])
+    return sinks.read_or_none(spark, f"{root}/logs", schema)
+
+
+def stored_quarantine(spark: SparkSession, root: str) -> DataFrame | None:
+    schema = "hit_id string, tracking_id string, log_time timestamp_ntz, outcome string, status int, partition int, offset long"
+    return sinks.read_or_none(spark, f"{root}/quarantine", schema)
 
 
 def start_ingest_stream(messages: DataFrame, registry: Callable[[], DataFrame], root: str,
-                        checkpoint: str, watermark: str = "1 hour",
-                        trigger: dict | None = None) -> StreamingQuery:
+                        checkpoint: str, trigger: dict | None = None,
+                        broadcast: bool = False) -> StreamingQuery:
     """``registry()`` returns the current tracking registry; it is called
-    once per micro-batch."""
-    deduped = (messages.withWatermark("timestamp", watermark)
-               .dropDuplicatesWithinWatermark(["partition", "offset"]))
-    raw = to_raw_hits(deduped)
-    logs_path = os.path.join(root, "logs")
-    quarantine_path = os.path.join(root, "quarantine")
+    once per micro-batch (``broadcast``: it is known to be small). Messages
+    are taken whenever they come: there is no time after which a first
+    delivery is dropped."""
+    raw, root = to_raw_hits(messages), root.rstrip("/")
 
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
-        ingest_batch(batch, registry(), logs_path, quarantine_path, epoch_id)
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        ingest_batch(batch, registry(), root, run, epoch_id, broadcast)
 
     writer = (raw.writeStream.outputMode("append").foreachBatch(per_batch)
               .option("checkpointLocation", checkpoint))
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def publish(hits: DataFrame, partitions: int, key: str = "tracking_id") -> DataFrame:
+def publish(hits: DataFrame, partitions: int, key: str = "tracking_id", topic: str = "logs") -> DataFrame:
     """Accepted requests as messages spread round-robin over ``partitions``
-    (the frame a Kafka sink takes: key, value, partition)."""
+    (the frame a Kafka sink takes: topic, key, value, partition)."""
     body = F.to_json(F.struct(F.col("url"), F.col("ip_address").alias("ipAddress"),
                               F.col("user_agent").alias("userAgent")))
     spread = hits.repartition(partitions)
-    return spread.select(F.col(key).alias("key"), body.alias("value"),
+    return spread.select(F.lit(topic).alias("topic"), F.col(key).alias("key"), body.alias("value"),
                          F.spark_partition_id().alias("partition"))
+
+
+def write_messages(messages: DataFrame, fmt: str = "kafka", **options: str) -> None:
+    """Send published messages: to Kafka with its package and
+    ``kafka.bootstrap.servers``, or to any other format and path."""
+    messages.write.format(fmt).mode("append").options(**options).save()

@@ -6,20 +6,23 @@ a window is emitted once, complete, after the watermark passes its end. Each
 micro-batch is then written with the batch sinks (dynamic overwrite of the
 window's partitions, ledger last), so a replayed micro-batch rewrites the
 same partitions instead of adding to them. Hits behind the watermark are
-dropped by the state store and counted in the query progress
-(``numRowsDroppedByWatermark``).
+not counted here (the query progress has their number,
+``numRowsDroppedByWatermark``); they are in ``logs``, so ``stale_windows`` of
+the batch job lists their windows and ``repair`` computes these again.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.timeid import ltz_from_ntz, ntz_from_ltz
+from ..functions.timeid import ltz_from_ntz, ntz_from_ltz, ntz_lit
 from ..functions.windows import FIVE_MINUTES, StatDefinition
 from ..operators import stats as st
-from ..sources import sinks
+from ..session import staging
 
 
 def level_counts(hits: DataFrame, stat: StatDefinition, watermark: str) -> DataFrame:
@@ -41,33 +44,48 @@ def level_counts(hits: DataFrame, stat: StatDefinition, watermark: str) -> DataF
 
 
 def write_levels_batch(levels: DataFrame, stat: StatDefinition, root: str,
-                       max_map_entries: int = st.DEFAULT_MAX_MAP_ENTRIES,
+                       fragments: int = st.FRAGMENTS,
                        base_type: str = FIVE_MINUTES.stat_type) -> None:
     """Write one micro-batch of finished windows with the batch job's
-    writers: partials, running totals (for the base type), ledger last."""
-    from ..plans.stats_job import StatsStore, update_totals, write_window_outputs
+    writers: partials, totals by day (for the base type), ledger last.
+
+    Windows are emitted in order, so a window without hits before the last
+    one emitted will never come: it gets its ledger row (0) here, as in the
+    batch job.
+    """
+    from ..plans import stats_job as job
 
-    store = StatsStore(root)
-    levels = levels.persist()
-    try:
-        write_window_outputs(levels, stat, store, max_map_entries)
-        ledger = (levels.where(F.col("level") == "site").groupBy("stat_time")
-                  .agg(F.sum("requests").cast("bigint").alias("affected_records"))
-                  .select(F.lit(stat.stat_type).alias("stat_type"), "stat_time", "affected_records"))
-        ledger = ledger.persist()
+    spark, store = levels.sparkSession, job.StatsStore(root)
+    with staging(spark) as stage:
+        levels = stage(levels, "levels")
+        counts = (levels.where(F.col("level") == "site").groupBy("stat_time")
+                  .agg(F.sum("requests").cast("bigint").alias("n")))
+        first, last = counts.agg(F.min("stat_time"), F.max("stat_time")).first()
+        if last is None:
+            return
+        # from the last window that the ledger has
+        known = store.read(spark, "stats_reference")
+        if known is not None:
+            newest = known.where((F.col("stat_type") == stat.stat_type) & (F.col("stat_time") < ntz_lit(first))) \
+                .agg(F.max("stat_time")).first()[0]
+            first = first if newest is None else newest + dt.timedelta(milliseconds=stat.range_ms)
+        days = job.days_between(first, last)
+        due = job._calendar(spark, stat, first, last)
+        done = job.done_windows(spark, store, stat, days)
+        emitted = counts.select("stat_time")
+        if done is not None:  # what this batch emits is written again when it is replayed
+            due = due.join(done.join(emitted, "stat_time", "left_anti"), ["stat_type", "stat_time"], "left_anti")
+        ledger = stage(due.join(counts, "stat_time", "left")
+                       .select("stat_type", "stat_time", F.coalesce("n", F.lit(0)).alias("affected_records")), "counts")
+        job.write_window_outputs(levels, stat, store, fragments)
         if stat.stat_type == base_type:
-            span = ledger.agg(F.min("stat_time"), F.max("stat_time")).first()
-            if span[0] is not None:
-                update_totals(levels.sparkSession, store, span[0], span[1], base_type)
-        sinks.overwrite_partitions(ledger, store.path("stats_reference"))
-        ledger.unpersist()
-    finally:
-        levels.unpersist()
+            job.write_daily(spark, store, stat, days)
+        job.write_ledger(spark, store, stat, ledger, days)
 
 
 def start_stats_stream(hits: DataFrame, stat: StatDefinition, root: str, checkpoint: str,
                        watermark: str = "10 minutes", trigger: dict | None = None,
-                       max_map_entries: int = st.DEFAULT_MAX_MAP_ENTRIES,
+                       fragments: int = st.FRAGMENTS,
                        base_type: str = FIVE_MINUTES.stat_type) -> StreamingQuery:
     """Start the streaming statistics query over a streaming ``logs`` frame."""
     counts = level_counts(hits, stat, watermark)
@@ -75,7 +93,7 @@ def start_stats_stream(hits: DataFrame, stat: StatDefinition, root: str, checkpo
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
         levels = batch.select("level", "site_id", ntz_from_ltz(F.col("window.end")).alias("stat_time"),
                               "key", "requests")
-        write_levels_batch(levels, stat, root, max_map_entries, base_type)
+        write_levels_batch(levels, stat, root, fragments, base_type)
 
     writer = (counts.writeStream.outputMode("append").foreachBatch(per_batch)
               .option("checkpointLocation", checkpoint))

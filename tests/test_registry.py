@@ -8,7 +8,7 @@ from hitlens.operators import registry as reg
 
 def _users(spark):
     return spark.createDataFrame(
-        [("11111111-1111-1111-8000-000000000001", "a@example.com", "wrongName")],
+        [("11111111-1111-1111-8000-000000000001", "a@example.com", "Earlier Name")],
         "id string, email string, full_name string")
 
 
@@ -25,7 +25,7 @@ def _new_id():
 
 def test_create_users(spark):
     reqs = _requests(spark, [("valid@example.com", "foobar", "testUser"),
-                             ("invalidEmail", "foobar", "x"),
+                             ("no-at-sign", "foobar", "x"),
                              ("other@example.com", "foo", "y"),
                              ("a@example.com", "foobar", "dup"),
                              ("valid@example.com", "foobar", "second")])
@@ -48,18 +48,18 @@ def test_hot_email_first_wins(spark):
 
 def test_find_update_delete(spark):
     sid = "11111111-1111-1111-8000-00000000000a"
-    sites = spark.createDataFrame([(sid, "wrong-site.com", "u1", "t1"),
+    sites = spark.createDataFrame([(sid, "earlier.com", "u1", "t1"),
                                    ("22222222-1111-1111-8000-00000000000b", "bad-site.com", "u1", "t2")],
                                   "id string, domain string, user_id string, tracking_id string")
-    upd = spark.createDataFrame([(sid, 1, "correct-site.com"),
+    upd = spark.createDataFrame([(sid, 1, "later.com"),
                                  ("33333333-1111-1111-8000-00000000000c", 1, "x.com")],
                                 "id string, seq int, domain string")
     after, outcomes = reg.apply_updates(sites, upd, ["domain"])
-    assert {r.id: r.domain for r in after.collect()}[sid] == "correct-site.com"
+    assert {r.id: r.domain for r in after.collect()}[sid] == "later.com"
     assert sorted(r.status for r in outcomes.collect()) == [200, 404]
     dels = spark.createDataFrame([("22222222-1111-1111-8000-00000000000b", "u1")], "id string, user_id string")
     after2, _ = reg.apply_deletes(after, dels)
-    look = spark.createDataFrame([(1, "22222222-1111-1111-8000-00000000000b"), (2, sid), (3, "malformedUUID")],
+    look = spark.createDataFrame([(1, "22222222-1111-1111-8000-00000000000b"), (2, sid), (3, "not-an-id")],
                                  "request_id int, id string")
     found = {r.request_id: r.status for r in reg.find_by_id(look, after2).collect()}
     assert found == {1: 404, 2: 200, 3: 400}

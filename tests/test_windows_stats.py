@@ -1,3 +1,5 @@
+import re
+
 import datetime as dt
 
 from pyspark.sql import functions as F
@@ -69,7 +71,7 @@ def test_levels_and_maps(spark):
     assert got[("url", "s1", "/a")] == 3 and got[("url", "s1", "/b")] == 2
     assert got[("ip", "s1", "1")] == 3
     assert got[("browser", "s1", "x")] == 3
-    ps = {r.site_id: r for r in st.partial_stats(levels, FIVE_MINUTES).collect()}
+    ps = {r.site_id: r for r in st.whole_partial_stats(st.partial_stats(levels, FIVE_MINUTES)).collect()}
     assert ps["s1"].requests == 5
     assert ps["s1"].ip == {"1": 3, "2": 1, "3": 1}
     assert ps["s1"].browser == {"x": 3, "y": 2}
@@ -98,12 +100,17 @@ def test_map_fragments_union_to_whole(spark):
     rows = [("hot", ts(2024, 1, 1, 0, 1, i % 60, us=i), "/u%d" % (i % 3), "ip%d" % i, "ua%d" % (i % 7))
             for i in range(50)]
     levels = st.stats_all_levels(hits_frame(spark, rows), FIVE_MINUTES)
-    frags = st.partial_stats(levels, FIVE_MINUTES, max_entries=8).collect()
-    assert len(frags) == 7  # ceil(50 / 8)
-    assert all(len(r.ip) <= 20 for r in frags)
+    stored = st.partial_stats(levels, FIVE_MINUTES, fragments=8)
+    frags = stored.collect()
+    assert len(frags) == 8 and all(len(r.ip) <= 20 for r in frags)
+    assert {r.fragment: r.requests for r in frags} == {0: 50, **dict.fromkeys(range(1, 8), 0)}
+    whole = st.whole_partial_stats(stored).collect()
+    assert len(whole) == 1 and whole[0].requests == 50 and len(whole[0].ip) == 50
+    # the fragments are groups of their own: one exchange of them, no join
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and re.search(r"hashpartitioning\(site_id#\d+, stat_time#\d+, fragment#\d+", plan)
     merged_ip, merged_ua = {}, {}
     for r in frags:
-        assert r.requests == 50
         merged_ip.update(r.ip)
         for k, v in r.browser.items():
             assert k not in merged_ua
