@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 from .store import join_small, stage
 
 WINDOW, STRIDE, BANDS, SHINGLE_WORDS, CONTAINED = 8, 4, 12, 5, 0.8
+#: Up to so many different word pairs of templates are sent along to leave out windows that share none; with more of them
+#: every window is looked up. Both give the same rows.
+MAX_PAIRS = 10_000
 #: Notices as their licenses word them (fixed values): license, text.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -57,34 +60,46 @@ def _runs(of: Column, size: int) -> Column:
     return F.when(F.size(of) > 0, many).otherwise(F.array().cast("array<bigint>"))
 
 
-def _bands(rows: DataFrame, stride: int) -> DataFrame:
-    """(key columns, pairs) to (key columns, at, band, value): the signatures of windows of WINDOW - 1 pairs."""
+def _pairs(of: Column) -> Column:
+    """Hashes of all pairs of neighbouring words; of a single word, of it alone; of none, nothing."""
+    many = F.transform(F.sequence(F.lit(0), F.greatest(F.size(of) - 2, F.lit(0))), lambda i: F.xxhash64(F.get(of, i), F.get(of, i + 1)))
+    return F.when(F.size(of) > 0, many).otherwise(F.array().cast("array<bigint>"))
+
+
+def _bands(rows: DataFrame, stride: int, shared: list[int] | None = None) -> DataFrame:
+    """(key columns, pairs) to (key columns, at, band, value): the signatures of windows of WINDOW - 1 pairs.
+
+    shared: the templates' pairs. Two signatures can only agree through a pair that both windows have, so windows
+    without any of these are left out; no collision is lost."""
     size = WINDOW - 1
     starts = F.when(F.size("pairs") > 0, F.sequence(F.lit(0), F.greatest(F.size("pairs") - 1, F.lit(0)), F.lit(stride))).otherwise(F.array().cast("array<int>"))
+    if shared is not None:
+        found = F.filter(F.transform("pairs", lambda h, i: F.when(h.isin(shared), i)), lambda i: i.isNotNull())
+        steps = range((size - 1) // stride + 1)
+        around = F.flatten(F.transform(found, lambda i: F.array(*(i - i % stride - k * stride for k in steps))))
+        starts = F.filter(F.array_distinct(around), lambda i: i >= 0)
     # The last windows may be shorter; those that a longer one before them holds whole are left out.
     starts = F.filter(starts, lambda i: (i == 0) | (i + size - stride < F.size("pairs")))
     keys = [c for c in rows.columns if c != "pairs"]
-    signed = rows.select(*keys, starts.alias("starts"), *(_seeded(b).alias(f"s{b}") for b in range(BANDS)))
-
-    def signature(i: Column) -> Column:
-        return F.struct(i.alias("at"), F.array(*(F.array_min(F.slice(F.col(f"s{b}"), i + 1, F.lit(size))) for b in range(BANDS))).alias("values"))
-
-    windows = signed.select(*keys, F.explode(F.transform("starts", signature)).alias("w"))
-    return windows.select(*keys, F.col("w.at").alias("at"), F.posexplode("w.values").alias("band", "value"))
 
+    def least(part: Column, band: int) -> Column:
+        return F.array_min(F.transform(part, lambda h: F.xxhash64(h, F.lit(band))))
 
-def _seeded(band: int) -> Column:
-    return F.transform("pairs", lambda h: F.xxhash64(h, F.lit(band)))
+    windows = rows.select(*keys, "pairs", F.explode(starts).alias("at")).select(*keys, "at", F.slice("pairs", F.col("at") + 1, F.lit(size)).alias("part"))
+    return windows.select(*keys, "at", F.posexplode(F.array(*(least(F.col("part"), b) for b in range(BANDS)))).alias("band", "value"))
 
 
 def scan(docs: DataFrame, templates: DataFrame, id: str = "doc_id", text: str = "text", contained: float = CONTAINED) -> DataFrame:
     """One row per document and license that it carries: id, mark (hash of the text), license, containment (of its best
     template), word (where its first verified window starts)."""
     known = templates.select("template", "license", words(F.col("text")).alias("words")).filter(F.size("words") > 0)
-    known = stage(known.select("template", "license", F.size("words").alias("length"), F.array_distinct(_runs(F.col("words"), SHINGLE_WORDS)).alias("shingles"), _runs(F.col("words"), 2).alias("pairs")), "templates")
+    known = stage(known.select("template", "license", F.size("words").alias("length"), F.array_distinct(_runs(F.col("words"), SHINGLE_WORDS)).alias("shingles"), _pairs(F.col("words")).alias("pairs")), "templates")
     wanted = stage(_bands(known.select("template", "pairs"), 1).select("template", "band", "value").distinct(), "bands")
+    shared = [r[0] for r in known.select(F.explode("pairs")).distinct().limit(MAX_PAIRS + 1).collect()]
+    if not shared:  # no templates
+        shared = [0]
     rows = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("mark"), words(F.col(text)).alias("words"))
-    found = _bands(rows.select("id", "mark", _runs(F.col("words"), 2).alias("pairs")), STRIDE)
+    found = _bands(rows.select("id", "mark", _pairs(F.col("words")).alias("pairs")), STRIDE, shared if len(shared) <= MAX_PAIRS else None)
     hits = join_small(found, wanted, ["band", "value"], "inner").select("id", "mark", "template", "at").distinct()
     by_doc = stage(
         hits.groupBy("id", "mark").agg(F.collect_list(F.struct("template", "at")).alias("hits")).select(F.col("id").alias("id_"), F.col("mark").alias("mark_"), "hits"), "hits"
