@@ -3,7 +3,7 @@
 from .timeid import (epoch_micros, epoch_millis, is_uuid, ntz_from_millis,
                      time_of_uuid, time_uuid, uuid_from_text)
 from .windows import (FIVE_MINUTES, ONE_DAY, StatDefinition, in_window_range,
-                      window_end, with_window)
+                      with_window)
 from .validation import (Rule, email_rule, min_length_rule, validate)
 from .dates import DATE_PATTERN, date_text, parse_date_text
 from . import status
@@ -11,7 +11,7 @@ from . import status
 __all__ = [
     "epoch_micros", "epoch_millis", "is_uuid", "ntz_from_millis", "time_of_uuid",
     "time_uuid", "uuid_from_text", "FIVE_MINUTES", "ONE_DAY", "StatDefinition",
-    "in_window_range", "window_end", "with_window", "Rule", "email_rule",
+    "in_window_range", "with_window", "Rule", "email_rule",
     "min_length_rule", "validate", "DATE_PATTERN", "date_text", "parse_date_text",
     "status",
 ]

@@ -2,12 +2,9 @@
 
 # Fixed values.
 OK = 200
-CREATED = 201
 ACCEPTED = 202
 BAD_REQUEST = 400
 NOT_FOUND = 404
-INTERNAL_SERVER_ERROR = 500
-SERVICE_UNAVAILABLE = 503
 
 # The reference's error texts.
 BAD_UUID = "The id that has been searched is not a valid UUID"

@@ -37,10 +37,6 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def window_end(ts, stat: StatDefinition) -> Column:
-    return F.window(_c(ts), stat.duration).end
-
-
 def with_window(df: DataFrame, ts: str, stat: StatDefinition, closed_left: bool = False,
                 name: str = "stat_time") -> DataFrame:
     """Add the end of the window each row falls in; drop rows of the boundary

@@ -161,14 +161,6 @@ def global_stats_url(partial_url: DataFrame, base_type: str = FIVE_MINUTES.stat_
             .groupBy("site_id", "url").agg(F.sum("requests").cast("bigint").alias("requests")))
 
 
-def global_stats_from_logs(logs: DataFrame, keys: list[str],
-                           base: StatDefinition = FIVE_MINUTES) -> DataFrame:
-    """The same totals straight from the hits (one aggregate, one exchange):
-    the hits counted by the base type's windows, per ``keys``."""
-    return (windowed(logs, base).groupBy(*keys)
-            .agg(F.count(F.lit(1)).cast("bigint").alias("requests")))
-
-
 # Windows per calendar block: the calendar is generated as blocks first,
 # then the windows of each block in parallel.
 CALENDAR_BLOCK = 1024
