@@ -109,7 +109,7 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", secrets: str =
     found = stage(linked(docs, id, text), "linked").select(F.col("id").alias(f"{secrets}__id"), F.col("mark").alias(f"{secrets}__mark"), F.col("weak").alias(f"{secrets}__weak"))
     scanned = docs.withColumn(secrets, base_spans(F.col(text)))
     key = F.col(id).eqNullSafe(F.col(f"{secrets}__id")) & (F.xxhash64(text) == F.col(f"{secrets}__mark"))
-    joined = join_small(scanned, found, key, "left")
+    joined = join_small(scanned, found, key, "left", F.size(f"{secrets}__weak"))
     weak = F.coalesce(f"{secrets}__weak", F.array().cast(f"array<{_SPAN}>"))
     both = F.struct(F.col(secrets).alias("base"), F.array_sort(F.concat(secrets, weak)).alias("all"))
     return joined.withColumn(secrets, both).drop(*(f"{secrets}__{x}" for x in ("id", "mark", "weak")))

@@ -107,9 +107,9 @@ def scan(docs: DataFrame, templates: DataFrame, id: str = "doc_id", text: str =
     # Back to the texts, for the exact check.
     texts = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
     same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("mark") == F.col("mark_"))
-    back = join_small(texts, by_doc, same, "inner").dropDuplicates(["id", "mark"])
+    back = join_small(texts, by_doc, same, "inner", F.size("hits")).dropDuplicates(["id", "mark"])
     back = back.select("id", "mark", words(F.col("text")).alias("words"), F.explode("hits").alias("hit")).select("id", "mark", "words", "hit.template", "hit.at")
-    near = join_small(back, known.select("template", "license", "length", "shingles"), "template", "inner")
+    near = join_small(back, known.select("template", "license", "length", "shingles"), "template", "inner", F.size("shingles"))
     low = F.greatest(F.col("at") - F.col("length"), F.lit(0))
     around = F.slice("words", low + 1, F.col("at") + WINDOW + F.col("length") - low)
     share = F.size(F.array_intersect("shingles", _runs(F.col("around"), SHINGLE_WORDS))) / F.size("shingles")

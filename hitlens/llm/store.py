@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,7 +18,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="hitlens-llm-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
@@ -31,7 +31,9 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_small(left: DataFrame, right: DataFrame, on, how: str, max_rows: int = 100_000) -> DataFrame:
-    """left joined with a staged table of narrow rows: broadcast while it has at most max_rows rows (about
-    10 MB), otherwise a shuffled join, whose hot keys adaptive execution splits. Both give the same rows."""
-    return left.join(F.broadcast(right) if right.count() <= max_rows else right, on, how)
+def join_small(left: DataFrame, right: DataFrame, on, how: str, parts: Column | None = None, most: int = 100_000) -> DataFrame:
+    """left joined with a staged table: broadcast while its rows (with arrays: their elements, `parts`) are at most
+    `most` (some 10 MB of narrow values), otherwise by a shuffle, whose hot keys adaptive execution splits. Both give
+    the same rows."""
+    n = right.agg(F.sum(F.lit(1) if parts is None else 1 + parts)).first()[0] or 0
+    return left.join(F.broadcast(right) if n <= most else right, on, how)
