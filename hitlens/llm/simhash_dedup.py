@@ -126,14 +126,18 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = S
     """The row of smallest id of each class (of rows that share that id, the first by a hash of the row; of equal
     rows, one), with all its columns."""
     columns = docs.columns
-    tied = docs.withColumn("simhash__tie", F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in columns)))
-    prints = stage(tied.select(F.col(id).alias("id"), F.col("simhash__tie").alias("tie"), fingerprints(F.col(text), k).alias("fp")), "simhash")
-    known = classes(prints, radius).withColumnRenamed("fp", "fp_")
+    # A row's key: its id (null as the least long) and a hash of the row, which tells null from that id.
+    own = ["simhash__id", "simhash__tie"]
+    tied = docs.withColumn(own[0], F.coalesce(F.col(id).cast("long"), F.lit(-(1 << 63)))).withColumn(
+        own[1], F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in columns))
+    )
+    prints = stage(tied.select(F.col(id).alias("id"), *own, fingerprints(F.col(text), k).alias("fp")), "simhash")
+    known = classes(prints.select("id", "fp"), radius).withColumnRenamed("fp", "fp_")
     first = (
         prints.join(known, F.col("fp") == F.col("fp_"))
         .groupBy("component")
-        .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tie")).alias("first"))
-        .select(F.col("first.id").alias("simhash__id"), F.col("first.tie").alias("simhash__first"))
+        .agg(F.min(F.struct(F.col("id").isNull().alias("none"), *own)).alias("first"))
+        .select(*(F.col(f"first.{c}").alias(c) for c in own))
     )
-    chosen = tied.join(first, F.col(id).eqNullSafe(F.col("simhash__id")) & (F.col("simhash__tie") == F.col("simhash__first")), "left_semi")
-    return chosen.dropDuplicates([id, "simhash__tie"]).select(*(f"`{c}`" for c in columns))
+    # The rows are shuffled once: both steps need them by the same key.
+    return tied.join(first, own, "left_semi").dropDuplicates(own).select(*(f"`{c}`" for c in columns))
