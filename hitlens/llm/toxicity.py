@@ -18,6 +18,7 @@ empty table gives an empty result; labels, language, source and id are no inputs
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -131,13 +132,12 @@ def _best_threshold(value: np.ndarray, y: np.ndarray) -> float:
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample: int = SAMPLE) -> dict:
     """The model: ordinary and toxic dictionary contents, coefficients. Learns only from rows that are not held out."""
     known = labels.select(F.col(id).alias("id"), F.col(toxic).cast("int").alias("y")).filter("id is not null and y in (0, 1)").dropDuplicates(["id"])
-    rows = (
-        docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-        .filter(~held_out(F.col("id")) & (F.length("text") <= SAMPLE_CHARS))
-        .join(known, "id")
-    )
-    many = {y: rows.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "text").limit(sample).select("id", "text").collect() for y in (0, 1)}
-    many = {y: list(dict.fromkeys(r.text for r in x)) for y, x in many.items()}
+    short = docs.filter(~held_out(F.col(id)) & (F.length(text) <= SAMPLE_CHARS))
+    rows = short.select(F.col(id).alias("id")).join(known, "id")
+    first, second = (rows.filter(F.col("y") == y).distinct().orderBy(F.xxhash64("id"), "id").limit(sample) for y in (0, 1))
+    # Twice `sample` ids at most; the texts themselves are not shuffled.
+    got = short.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(first.union(second)), "id").collect()
+    many = {y: sorted({r.text for r in got if r.y == y}, key=lambda t: (zlib.crc32(t.encode()), t)) for y in (0, 1)}
     if min(map(len, many.values())) < FOLDS:
         return {"ordinary": b"", "toxic": b"", "weights": None}
     # Each sampled text is measured with dictionaries that it did not train.
