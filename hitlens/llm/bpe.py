@@ -113,11 +113,17 @@ def encode(docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text: s
     return short.union(whole.join(long.select("row", "id"), "row").select("id", "ids"))
 
 
-def decode(ids: Column, path: str, pattern: str) -> Column:
-    """The bytes of an array of ids."""
+def decode(ids: Column, path: str) -> Column:
+    """The bytes of an array of ids: those of its tokens, one after the other."""
 
     def batch(column: pa.Array) -> pa.Array:
-        encoding = codec(path, pattern)
-        return pa.array([encoding.decode_bytes(x or []) for x in column.to_pylist()], pa.binary())
+        cache, key = worker_cache(), ("bytes", path)
+        if key not in cache:
+            cache[key] = {i: token for token, i in tiktoken_ranks(path).items()}
+        token, out = cache[key].__getitem__, []
+        for row in column:  # without a Python list of the whole batch
+            values = row.values
+            out.append(b"" if values is None else b"".join(map(token, values.to_numpy(zero_copy_only=False).tolist())))
+        return pa.array(out, pa.binary())
 
     return F.arrow_udf(batch, T.BinaryType())(ids)
