@@ -228,7 +228,8 @@ def passages(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     first = matches.select(F.col("first_doc").alias("doc"), F.col("first_tie").alias("tie"), F.col("first_start").alias("start"), first_end.alias("end"))
     wanted = matches.select("doc", "tie", "start", "end").union(first).distinct().groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "end")).alias("wanted"))
     keyed = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(_LAST)).alias("doc"), _tie(F.col(text)).alias("tie"), F.col(text).alias("text"))
-    around = stage(keyed.join(wanted, ["doc", "tie"]).mapInArrow(_around, _AROUND).dropDuplicates(["doc", "tie", "start", "end"]), "around")
+    # Places have no proven bound: the same shuffled join at every size.
+    around = stage(keyed.join(wanted.hint("merge"), ["doc", "tie"]).mapInArrow(_around, _AROUND).dropDuplicates(["doc", "tie", "start", "end"]), "around")
     theirs = around.select(
         F.col("doc").alias("first_doc"), F.col("tie").alias("first_tie"), F.col("start").alias("first_start"), F.col("end").alias("first_end"),
         F.col("before").alias("first_before"), F.col("after").alias("first_after"),
@@ -267,7 +268,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", n_ch
     )
     cuts = stage(cuts, "cuts")
     keyed = docs.withColumn("suffix__id", F.coalesce(F.col(id).cast("long"), F.lit(_LAST))).withColumn("suffix__crc", _tie(F.col(text)))
-    joined = keyed.join(cuts, (F.col("suffix__id") == F.col(own[0])) & (F.col("suffix__crc") == F.col(own[1])), "left")
+    joined = keyed.join(cuts.hint("merge"), (F.col("suffix__id") == F.col(own[0])) & (F.col("suffix__crc") == F.col(own[1])), "left")
     changed = F.col(own[2]).isNotNull()
     left = joined.withColumn(text, F.when(changed, F.arrow_udf(_cut, T.StringType()).asNondeterministic()(F.col(text), F.col(own[2]))).otherwise(F.col(text)))
     left = left.filter(~changed | F.col(text).rlike(r"[^\x20\x09-\x0D]"))
