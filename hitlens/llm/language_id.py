@@ -76,20 +76,31 @@ def grams(classes: np.ndarray, order: int) -> np.ndarray:
 def _count(batches):
     """(lang, text) rows to the task's n-gram counts: lang, gram, n. Counts of a task are bounded by the classes."""
     total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    waiting: dict[str, list[np.ndarray]] = {}
+    sizes: dict[str, int] = {}
+
+    def add_up(lang: str) -> None:
+        codes, n = np.unique(np.concatenate(waiting.pop(lang)), return_counts=True)
+        if lang in total:
+            codes, at = np.unique(np.concatenate([total[lang][0], codes]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([total[lang][1], n])).astype(np.int64)
+        total[lang], sizes[lang] = (codes, n), 0
+
     for batch in batches:
-        by_lang: dict[str, list] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
-            by_lang.setdefault(lang, []).append(grams(fold(text), ORDER))
-        for lang, many in by_lang.items():
-            codes, n = np.unique(np.concatenate(many), return_counts=True)
-            if lang in total:
-                codes, at = np.unique(np.concatenate([total[lang][0], codes]), return_inverse=True)
-                n = np.bincount(at, np.concatenate([total[lang][1], n])).astype(np.int64)
-            total[lang] = codes, n
+        for at in range(0, len(batch), 500):  # a few texts at once in memory
+            part = batch.slice(at, 500)
+            for lang, text in zip(part.column(0).to_pylist(), texts(part.column(1))):
+                codes = grams(fold(text), ORDER).astype(np.int32)
+                waiting.setdefault(lang, []).append(codes)
+                sizes[lang] = sizes.get(lang, 0) + len(codes)
+                if sizes[lang] > 1 << 20:
+                    add_up(lang)
+    for lang in list(waiting):
+        add_up(lang)
     for lang, (codes, n) in total.items():
         for i in range(0, len(codes), 100_000):
             part = slice(i, i + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes[part])), pa.array(codes[part]), pa.array(n[part])], ["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes[part])), pa.array(codes[part].astype(np.int64)), pa.array(n[part])], ["lang", "gram", "n"])
 
 
 def counts(rows: DataFrame) -> DataFrame:
@@ -203,7 +214,7 @@ def predict(text: Column, model: dict | None) -> Column:
             if cache.get("language", (None,))[0] != name:
                 cache["language"] = (name, Model(sent.value["table"]))
             own, levels = cache["language"][1], sent.value["levels"]
-        for text_ in texts(column):
+        for text_ in (x for at in range(0, len(column), 500) for x in texts(column.slice(at, 500))):
             entropy = own.entropies(text_) if sent is not None else None
             if entropy is None:
                 rows.append({"lang": NONE, "score": 0.0, "entropy": None, "accepted": False})
