@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .store import join_small, stage
 
 WINDOW, STRIDE, BANDS, SHINGLE_WORDS, CONTAINED = 8, 4, 12, 5, 0.8
+#: Word pairs of templates that a window must have: common ones alone ("of the") retrieve too much.
+SHARED = 2
 #: Up to so many different word pairs of templates are sent along to leave out windows that share none; with more of them
 #: every window is looked up. Both give the same rows.
 MAX_PAIRS = 10_000
@@ -66,18 +68,20 @@ def _pairs(of: Column) -> Column:
     return F.when(F.size(of) > 0, many).otherwise(F.array().cast("array<bigint>"))
 
 
-def _bands(rows: DataFrame, stride: int, shared: list[int] | None = None) -> DataFrame:
+def _bands(rows: DataFrame, stride: int, shared: list[int] | None = None, least_shared: int = 1) -> DataFrame:
     """(key columns, pairs) to (key columns, at, band, value): the signatures of windows of WINDOW - 1 pairs.
 
     shared: the templates' pairs. Two signatures can only agree through a pair that both windows have, so windows
-    without any of these are left out; no collision is lost."""
+    without any of these are left out. least_shared: how many of them a window must have; the window over a copy has four,
+    less two for each word that an edit changes there."""
     size = WINDOW - 1
     starts = F.when(F.size("pairs") > 0, F.sequence(F.lit(0), F.greatest(F.size("pairs") - 1, F.lit(0)), F.lit(stride))).otherwise(F.array().cast("array<int>"))
     if shared is not None:
         found = F.filter(F.transform("pairs", lambda h, i: F.when(h.isin(shared), i)), lambda i: i.isNotNull())
         steps = range((size - 1) // stride + 1)
         around = F.flatten(F.transform(found, lambda i: F.array(*(i - i % stride - k * stride for k in steps))))
-        starts = F.filter(F.array_distinct(around), lambda i: i >= 0)
+        enough = lambda i: F.size(F.filter(F.slice("pairs", i + 1, F.lit(size)), lambda h: h.isin(shared))) >= least_shared
+        starts = F.filter(F.array_distinct(around), lambda i: (i >= 0) & enough(i))
     # The last windows may be shorter; those that a longer one before them holds whole are left out.
     starts = F.filter(starts, lambda i: (i == 0) | (i + size - stride < F.size("pairs")))
     keys = [c for c in rows.columns if c != "pairs"]
@@ -99,7 +103,7 @@ def scan(docs: DataFrame, templates: DataFrame, id: str = "doc_id", text: str =
     if not shared:  # no templates
         shared = [0]
     rows = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("mark"), words(F.col(text)).alias("words"))
-    found = _bands(rows.select("id", "mark", _pairs(F.col("words")).alias("pairs")), STRIDE, shared if len(shared) <= MAX_PAIRS else None)
+    found = _bands(rows.select("id", "mark", _pairs(F.col("words")).alias("pairs")), STRIDE, shared if len(shared) <= MAX_PAIRS else None, SHARED)
     hits = join_small(found, wanted, ["band", "value"], "inner").select("id", "mark", "template", "at").distinct()
     by_doc = stage(
         hits.groupBy("id", "mark").agg(F.collect_list(F.struct("template", "at")).alias("hits")).select(F.col("id").alias("id_"), F.col("mark").alias("mark_"), "hits"), "hits"
