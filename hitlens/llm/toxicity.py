@@ -1,14 +1,18 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary texts, one on what sets toxic texts apart (words that stand
-in significantly more contexts of toxic texts than of ordinary ones; contexts are counted once, so copies add nothing). A
+Two zstandard dictionaries are used: one trained on ordinary texts, and a list of the words that set toxic texts apart (that
+stand in significantly more contexts of toxic texts than of ordinary ones; contexts are counted once, so copies add
+nothing). The list stands in for a dictionary trained on toxic texts, which gave worse results (figures: README). A
 text is scored in overlapping windows: the bytes a window needs with the ordinary dictionary alone, less those it needs
 when the toxic one is there too. A logistic curve over the windows' largest savings, their mean and the share of large
 ones gives the score; its coefficients and the threshold that becomes 0.5 (best F1) come from labelled texts, each measured
 with dictionaries that it did not train (cross-fitting).
 
-The model is fitted on the driver from a bounded sample of labelled rows: of each label the `SAMPLE` documents of at most
-`SAMPLE_CHARS` code points with the smallest hash of their id. Scoring reads whole texts, in tasks.
+The model is fitted from a bounded sample of labelled rows: of each label the `SAMPLE` documents with the smallest hash of
+their id. Dictionaries are trained on the driver, from stretches spread over a text of more than `SAMPLE_CHARS` code points;
+the sampled texts are measured whole, in tasks. The labels of all training rows are counted, and each sampled row weighs
+in the curve and the threshold as many rows of its label as it stands for, so that neither depends on the sample's mix. Scoring
+reads whole texts, in tasks.
 
 Edge cases: a null or empty text is one empty window and scores by the curve like any other; without two labels in the
 sample every score is 0; repeated rows score alike; rows without an id are never learned from; an
@@ -30,6 +34,8 @@ from pyspark.sql import types as T
 from .text import texts, worker_cache
 
 SAMPLE, SAMPLE_CHARS, FOLDS = 2_000, 20_000, 3
+#: A longer text trains dictionaries by so many stretches of SAMPLE_CHARS together.
+STRETCHES = 10
 WINDOW, STRIDE, LEVEL = 40, 20, 9
 ORDINARY_BYTES, TOXIC_BYTES = 65_536, 4_096
 #: A word is toxic evidence from this many standard errors and times the ordinary rate on.
@@ -107,53 +113,86 @@ def _evidence(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     return [b" " + w + b" " for s, w in sorted(found) if s > SIGNIFICANT]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Coefficients by Newton's method with a small ridge."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Coefficients by Newton's method with a small ridge, of rows that count `weight` times."""
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w)), x.T @ (y - p) - 0.1 * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w)), x.T @ (weight * (y - p)) - 0.1 * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def _best_threshold(value: np.ndarray, y: np.ndarray) -> float:
-    """The value, midway between two, from which on predicting 1 has the best F1."""
-    order = np.argsort(-value)
-    value, hits = value[order], np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+def _best_threshold(value: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """The value, midway between two, from which on predicting 1 has the best F1, of rows that count `weight` times."""
+    order = np.argsort(-value, kind="stable")
+    value, hits, flagged = value[order], np.cumsum((y * weight)[order]), np.cumsum(weight[order])
+    f1 = 2 * hits / (flagged + hits[-1])
     last = np.append(value[1:] != value[:-1], True)  # ties go together
     best = int(np.argmax(np.where(last, f1, -1)))
     return float((value[best] + value[best + 1]) / 2) if best + 1 < len(value) else float(value[best]) - 1.0
 
 
+def _weights(y: np.ndarray, totals: dict[int, int]) -> np.ndarray:
+    """For each sampled row the rows of its label that it stands for, scaled to a mean of 1."""
+    each = np.where(y == 1, totals[1] / max(1, (y == 1).sum()), totals[0] / max(1, (y == 0).sum()))
+    return each / each.mean()
+
+
+def _stretches(text: Column) -> Column:
+    """The text, or of a long one STRETCHES parts at even distances, by lines."""
+    n, size = F.length(text), SAMPLE_CHARS // STRETCHES
+    start = lambda i: (F.floor(i * (n - size) / (STRETCHES - 1)) + 1).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), lambda i: F.substring(text, start(i), F.lit(size)))
+    return F.when(n > SAMPLE_CHARS, F.array_join(parts, "\n")).otherwise(text)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample: int = SAMPLE) -> dict:
     """The model: ordinary and toxic dictionary contents, coefficients. Learns only from rows that are not held out."""
     known = labels.select(F.col(id).alias("id"), F.col(toxic).cast("int").alias("y")).filter("id is not null and y in (0, 1)").dropDuplicates(["id"])
-    short = docs.filter(~held_out(F.col(id)) & (F.length(text) <= SAMPLE_CHARS))
-    rows = short.select(F.col(id).alias("id")).join(known, "id")
-    first, second = (rows.filter(F.col("y") == y).distinct().orderBy(F.xxhash64("id"), "id").limit(sample) for y in (0, 1))
+    own = docs.filter(~held_out(F.col(id))).select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = own.select("id").join(known, "id").distinct()
+    totals = {0: 0, 1: 0} | {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+    first, second = (rows.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample) for y in (0, 1))
     # Twice `sample` ids at most; the texts themselves are not shuffled.
-    got = short.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(first.union(second)), "id").collect()
-    many = {y: sorted({r.text for r in got if r.y == y}, key=lambda t: (zlib.crc32(t.encode()), t)) for y in (0, 1)}
+    chosen = first.union(second).collect()
+    chosen = docs.sparkSession.createDataFrame([(r.id, r.y) for r in chosen], T.StructType([T.StructField("id", docs.schema[id].dataType), T.StructField("y", T.IntegerType())]))
+    # Copies of a text go to one fold, and count once.
+    drawn = own.join(F.broadcast(chosen), "id").select("y", "text", F.crc32(F.col("text").cast("binary")).alias("fold"), F.xxhash64("text").alias("mark"))
+    got = {(r.y, r.mark): r for r in drawn.select("y", _stretches(F.col("text")).alias("text"), "fold", "mark").collect()}
+    many = {y: sorted(((r.fold, r.text) for (k, _), r in got.items() if k == y)) for y in (0, 1)}
     if min(map(len, many.values())) < FOLDS:
         return {"ordinary": b"", "toxic": b"", "weights": None}
     # Each sampled text is measured with dictionaries that it did not train.
-    x, y = [], []
-    for fold in range(FOLDS):
-        own = Distance(*_dictionaries(*([t for i, t in enumerate(many[k]) if i % FOLDS != fold] for k in (0, 1))))
-        for k, texts_ in many.items():
-            x += [own.features(t) for i, t in enumerate(texts_) if i % FOLDS == fold]
-            y += [float(k)] * (len(x) - len(y))
-    x, y = np.array(x), np.array(y)
-    weights = _logistic(x, y)
-    weights[0] -= _best_threshold(x @ weights, y)
-    ordinary, strong = _dictionaries(many[0], many[1])
+    folds = [_dictionaries(*([t for f, t in many[k] if f % FOLDS != fold] for k in (0, 1))) for fold in range(FOLDS)]
+    measured = drawn.select("y", "mark", _features(F.col("text"), F.col("fold") % FOLDS, folds).alias("x")).collect()
+    measured = sorted({(r.y, r.mark): r.x for r in measured}.items())
+    x, y = np.array([x for _, x in measured]), np.array([float(k) for (k, _), _ in measured])
+    weight = _weights(y, totals)
+    weights = _logistic(x, y, weight)
+    weights[0] -= _best_threshold(x @ weights, y, weight)
+    ordinary, strong = _dictionaries(*([t for _, t in many[k]] for k in (0, 1)))
     return {"ordinary": ordinary, "toxic": strong, "weights": weights.tolist()}
 
 
+def _distance(ordinary: bytes, toxic: bytes) -> Distance:
+    cache, key = worker_cache(), ("toxicity", hash((ordinary, toxic)))
+    if key not in cache:
+        cache[key] = Distance(ordinary, toxic)
+    return cache[key]
+
+
+def _features(text: Column, fold: Column, folds: list[tuple[bytes, bytes]]) -> Column:
+    """The features of a text by the dictionaries of its fold."""
+
+    def batch(column: pa.Array, fold: pa.Array) -> pa.Array:
+        return pa.array([_distance(*folds[f]).features(x) for x, f in zip(texts(column), fold.to_pylist())], pa.list_(pa.float64()))
+
+    return F.arrow_udf(batch, T.ArrayType(T.DoubleType()))(text, fold)
+
+
 def _dictionaries(ordinary: list[str], toxic: list[str]) -> tuple[bytes, bytes]:
     """Contents of the ordinary dictionary, from windows of every text, and of the toxic one."""
     plain, strong = ([t.encode().lower() for t in x] for x in (ordinary, toxic))
@@ -168,10 +207,7 @@ def score(text: Column, model: dict) -> Column:
     def batch(column: pa.Array) -> pa.Array:
         if model["weights"] is None:
             return pa.array(np.zeros(len(column)))
-        cache, key = worker_cache(), ("toxicity", hash((model["ordinary"], model["toxic"])))
-        if key not in cache:
-            cache[key] = Distance(model["ordinary"], model["toxic"])
-        own = cache[key]
+        own = _distance(model["ordinary"], model["toxic"])
         value = np.array([own.features(x) for x in texts(column)]).reshape(-1, len(model["weights"])) @ np.array(model["weights"])
         return pa.array(1 / (1 + np.exp(-np.clip(value, -500, 500))))
 

@@ -39,3 +39,38 @@ def test_odd_rows_without_labels_and_empty_table(spark):
     got = {r.doc_id: r.score for r in frame(spark).withColumn("score", toxicity.score(F.col("text"), model)).collect()}
     assert got[1] == got[2] and all(0 <= s <= 1 for s in got.values())
     assert empty(spark).withColumn("score", toxicity.score(F.col("text"), model)).count() == 0
+
+
+def _labelled(spark, size=1):
+    rows = [(i, f"plain words of text {i} and more of it {i * 7} " * size if i % 10 else f"what a moron {i} and such a moron {i * 7} " * size, "en", "s") for i in range(400)]
+    return frame(spark, rows), spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(400)], "doc_id long, toxic int")
+
+
+def test_sampled_rows_weigh_as_many_as_they_stand_for(spark, monkeypatch):
+    seen, real = [], toxicity._logistic
+    monkeypatch.setattr(toxicity, "_logistic", lambda x, y, weight: seen.append((y, weight)) or real(x, y, weight))
+    docs, labels = _labelled(spark)
+    toxicity.fit(docs, labels, sample=20)
+    (y, weight), train = seen[0], [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    assert len(y) == 40 and y.sum() == 20
+    assert np.isclose(weight[y == 1].sum() / weight.sum(), np.mean([i % 10 == 0 for i in train]))
+
+
+def test_weights_are_repetitions():
+    rng = np.random.default_rng(2)
+    x, weight = np.c_[np.ones(60), rng.normal(size=(60, 2))], rng.integers(1, 6, 60)
+    y = (x[:, 1] + rng.normal(size=60) > 0.5).astype(float)
+    many, one = (np.repeat(v, weight, axis=0) for v in (x, y)), np.ones(weight.sum())
+    more, hits = many
+    w = toxicity._logistic(x, y, weight)
+    assert np.allclose(w, toxicity._logistic(more, hits, one))
+    assert np.isclose(toxicity._best_threshold(x @ w, y, weight), toxicity._best_threshold(more @ w, hits, one))
+
+
+def test_long_texts_are_drawn_and_measured_whole(spark, monkeypatch):
+    seen, real = [], toxicity._logistic
+    monkeypatch.setattr(toxicity, "_logistic", lambda x, y, weight: seen.append(x) or real(x, y, weight))
+    docs, labels = _labelled(spark, 600)
+    assert docs.filter(F.length("text") <= toxicity.SAMPLE_CHARS).count() == 0
+    assert toxicity.fit(docs, labels, sample=6)["weights"]
+    assert len(seen[0]) == 12 and seen[0][:, -1].min() > np.log(toxicity.SAMPLE_CHARS / toxicity.STRIDE)
