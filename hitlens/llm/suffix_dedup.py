@@ -116,7 +116,7 @@ def _neighbours(batches):
         else:
             opening, carried = run is None, run
         new = np.concatenate([[carried is None or key[0] != carried["key"]], key[1:] != key[:-1]])
-        if carried is not None and new[0] and carried["opening"]:
+        if carried is not None and new.any() and carried["opening"]:  # the partition's first run ended here, or right before
             yield row(_EDGE, carried["key"], carried["doc"], carried["place"], carried["n"])
         begins = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
         first_doc, first_place = (np.where(begins < 0, 0 if carried is None else carried[c], x[begins]) for c, x in (("doc", doc), ("place", place)))

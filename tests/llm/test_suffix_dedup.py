@@ -114,3 +114,14 @@ def test_odd_rows_and_empty_table(spark):
     assert 4 in {r.doc_id for r in got} and not {5, 12, 13} & {r.doc_id for r in got}
     assert sum(r.doc_id == 8 for r in got) == 2 and any(r.doc_id is None for r in got) and any(r.text is None for r in got)
     assert sd.remove_repeats(empty(spark)).count() == 0 and sd.passages(empty(spark)).count() == 0
+
+
+def test_opening_run_over_many_batches_gives_its_edge():
+    import pyarrow as pa
+
+    keys = np.array([1, 1, 1, 1, 1, 2, 2, 3], np.int64)
+    whole = [keys, np.arange(8), np.arange(8) * 10]
+    cut = lambda n: [pa.RecordBatch.from_arrays([pa.array(x[i : i + n]) for x in whole], ["key", "doc", "place"]) for i in range(0, 8, n)]
+    rows = lambda n: sorted(tuple(r.values()) for b in sd._neighbours(iter(cut(n))) for r in b.to_pylist())
+    assert all(rows(n) == rows(8) for n in range(1, 8))
+    assert [r[1] for r in rows(2) if r[0] == sd._EDGE] == [1, 3]
