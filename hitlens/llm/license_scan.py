@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 from .store import join_small, stage
 
 WINDOW, STRIDE, BANDS, SHINGLE_WORDS, CONTAINED = 8, 4, 12, 5, 0.8
-#: Word pairs of templates that a window must have: common ones alone ("of the") retrieve too much.
+#: Word pairs of a template that a window must have (all of a template with fewer): a common one alone ("of the") retrieves
+#: too much.
 SHARED = 2
-#: Up to so many different word pairs of templates are sent along to leave out windows that share none; with more of them
-#: every window is looked up. Both give the same rows.
+#: Up to so many different word pairs of templates are sent along to leave out windows that share too few; with more of them
+#: every window is looked up. Both give the same rows, since SHARED is held against each template after the look-up.
 MAX_PAIRS = 10_000
 #: Notices as their licenses word them (fixed values): license, text.
 TEMPLATES = (
@@ -68,19 +69,21 @@ def _pairs(of: Column) -> Column:
     return F.when(F.size(of) > 0, many).otherwise(F.array().cast("array<bigint>"))
 
 
-def _bands(rows: DataFrame, stride: int, shared: list[int] | None = None, least_shared: int = 1) -> DataFrame:
-    """(key columns, pairs) to (key columns, at, band, value): the signatures of windows of WINDOW - 1 pairs.
+def _bands(rows: DataFrame, stride: int, shared: list[int] | None = None, least_shared: int = 1, lone: list[int] | None = None) -> DataFrame:
+    """(key columns, pairs) to (key columns, at, part, band, value): the signatures of windows of WINDOW - 1 pairs.
 
     shared: the templates' pairs. Two signatures can only agree through a pair that both windows have, so windows
     without any of these are left out. least_shared: how many of them a window must have; the window over a copy has four,
-    less two for each word that an edit changes there."""
+    less two for each word that an edit changes there. lone: pairs of templates that have no other; one of them is enough."""
     size = WINDOW - 1
     starts = F.when(F.size("pairs") > 0, F.sequence(F.lit(0), F.greatest(F.size("pairs") - 1, F.lit(0)), F.lit(stride))).otherwise(F.array().cast("array<int>"))
     if shared is not None:
         found = F.filter(F.transform("pairs", lambda h, i: F.when(h.isin(shared), i)), lambda i: i.isNotNull())
         steps = range((size - 1) // stride + 1)
         around = F.flatten(F.transform(found, lambda i: F.array(*(i - i % stride - k * stride for k in steps))))
-        enough = lambda i: F.size(F.filter(F.slice("pairs", i + 1, F.lit(size)), lambda h: h.isin(shared))) >= least_shared
+        part = lambda i: F.slice("pairs", i + 1, F.lit(size))
+        several = lambda i: F.size(F.filter(part(i), lambda h: h.isin(shared))) >= least_shared
+        enough = (lambda i: several(i) | F.exists(part(i), lambda h: h.isin(lone))) if lone else several
         starts = F.filter(F.array_distinct(around), lambda i: (i >= 0) & enough(i))
     # The last windows may be shorter; those that a longer one before them holds whole are left out.
     starts = F.filter(starts, lambda i: (i == 0) | (i + size - stride < F.size("pairs")))
@@ -90,7 +93,7 @@ def _bands(rows: DataFrame, stride: int, shared: list[int] | None = None, least_
         return F.array_min(F.transform(part, lambda h: F.xxhash64(h, F.lit(band))))
 
     windows = rows.select(*keys, "pairs", F.explode(starts).alias("at")).select(*keys, "at", F.slice("pairs", F.col("at") + 1, F.lit(size)).alias("part"))
-    return windows.select(*keys, "at", F.posexplode(F.array(*(least(F.col("part"), b) for b in range(BANDS)))).alias("band", "value"))
+    return windows.select(*keys, "at", "part", F.posexplode(F.array(*(least(F.col("part"), b) for b in range(BANDS)))).alias("band", "value"))
 
 
 def scan(docs: DataFrame, templates: DataFrame, id: str = "doc_id", text: str = "text", contained: float = CONTAINED) -> DataFrame:
@@ -99,12 +102,17 @@ def scan(docs: DataFrame, templates: DataFrame, id: str = "doc_id", text: str =
     known = templates.select("template", "license", words(F.col("text")).alias("words")).filter(F.size("words") > 0)
     known = stage(known.select("template", "license", F.size("words").alias("length"), F.array_distinct(_runs(F.col("words"), SHINGLE_WORDS)).alias("shingles"), _pairs(F.col("words")).alias("pairs")), "templates")
     wanted = stage(_bands(known.select("template", "pairs"), 1).select("template", "band", "value").distinct(), "bands")
-    shared = [r[0] for r in known.select(F.explode("pairs")).distinct().limit(MAX_PAIRS + 1).collect()]
+    own = F.array_distinct("pairs")
+    pairs = known.select(F.explode(own).alias("pair"), (F.size(own) < SHARED).alias("lone")).groupBy("pair").agg(F.max("lone").alias("lone")).limit(MAX_PAIRS + 1).collect()
+    shared, lone = [r.pair for r in pairs], [r.pair for r in pairs if r.lone]
     if not shared:  # no templates
         shared = [0]
     rows = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("mark"), words(F.col(text)).alias("words"))
-    found = _bands(rows.select("id", "mark", _pairs(F.col("words")).alias("pairs")), STRIDE, shared if len(shared) <= MAX_PAIRS else None, SHARED)
-    hits = join_small(found, wanted, ["band", "value"], "inner").select("id", "mark", "template", "at").distinct()
+    found = _bands(rows.select("id", "mark", _pairs(F.col("words")).alias("pairs")), STRIDE, shared if len(shared) <= MAX_PAIRS else None, SHARED, lone)
+    hits = join_small(found, wanted, ["band", "value"], "inner").select("id", "mark", "template", "at", "part")
+    hits = join_small(hits, known.select("template", own.alias("own")), "template", "inner", F.size("own"))
+    enough = F.size(F.filter("part", lambda h: F.array_contains("own", h))) >= F.least(F.lit(SHARED), F.size("own"))
+    hits = hits.filter(enough).select("id", "mark", "template", "at").distinct()
     by_doc = stage(
         hits.groupBy("id", "mark").agg(F.collect_list(F.struct("template", "at")).alias("hits")).select(F.col("id").alias("id_"), F.col("mark").alias("mark_"), "hits"), "hits"
     )

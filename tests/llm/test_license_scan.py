@@ -66,3 +66,14 @@ def test_odd_rows_and_empty_tables(spark):
     assert ls.scan(docs, templates.limit(0)).count() == 0
     twice = frame(spark, [(8, ls.TEMPLATES[0][1], "en", "s"), (8, ls.TEMPLATES[0][1], "en", "s"), (None, "x " + ls.TEMPLATES[0][1], None, None)])
     assert sorted((r.id or 0, r.license) for r in ls.scan(twice, templates).collect()) == [(0, "Apache-2.0"), (8, "Apache-2.0")]
+
+
+def test_short_template_and_both_sides_of_the_switch(spark, monkeypatch):
+    templates = spark.createDataFrame([(0, "short", "MIT License"), *((i + 1, k, t) for i, (k, t) in enumerate(ls.TEMPLATES))], "template int, license string, text string")
+    rows = [(1, "MIT License", "en", "s"), (2, "mit, license!", "en", "s"), (3, "License MIT", "en", "s"), (4, "of the " + ls.TEMPLATES[7][1] + " of the", "en", "s")]
+    rows += [(10 + i, t, "en", "s") for i, t, *_ in rows_of()[:200]]
+    docs = frame(spark, rows)
+    below = sorted(map(tuple, ls.scan(docs, templates).collect()))
+    monkeypatch.setattr(ls, "MAX_PAIRS", 0)
+    assert sorted(map(tuple, ls.scan(docs, templates).collect())) == below
+    assert {r[0] for r in below if r[2] == "short"} == {1, 2} and (4, "MIT") in {(r[0], r[2]) for r in below}
