@@ -46,8 +46,11 @@ class Words:
     which a space meets other white space are encoded pre-token by pre-token.
     """
 
-    def __init__(self, pattern: str, merge):
-        self.split, self.merge = regex.compile(pattern).findall, merge
+    def __init__(self, pattern: str, merge, added: dict[str, int] | None = None):
+        """added: strings that are one token wherever they stand, and their ids. Texts are cut at them first."""
+        self.split, self.merge, self.added = regex.compile(pattern).findall, merge, added or {}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")").split if self.added else None
         self.now: dict[str, bytes] = {}
         self.last: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -82,6 +85,20 @@ class Words:
             self.now[w] = b"".join(parts)
 
     def encode(self, texts_: list[str]) -> list[np.ndarray]:
+        holding = [i for i, x in enumerate(texts_) if any(token in x for token in self.added)]
+        if not holding:
+            return self._encode(texts_)
+        parts = [self.cut(texts_[i]) for i in holding]  # odd places are added tokens
+        rest = [x for i, x in enumerate(texts_) if i not in set(holding)]
+        ids = iter(self._encode(rest + [x for p in parts for x in p[::2]]))
+        out: list = [None] * len(texts_)
+        for i in sorted(set(range(len(texts_))) - set(holding)):
+            out[i] = next(ids)
+        for i, p in zip(holding, parts):
+            out[i] = np.concatenate([np.array([self.added[x]], np.uint32) if k % 2 else next(ids) for k, x in enumerate(p)])
+        return out
+
+    def _encode(self, texts_: list[str]) -> list[np.ndarray]:
         cut = [x.split(" ") for x in texts_]
         found = [list(map(self.now.get, words[1:])) for words in cut]
         new = {w for words, ids in zip(cut, found) if None in ids for w, x in zip(words[1:], ids) if x is None}
@@ -98,13 +115,14 @@ class Words:
 
 
 def tokenizer_words(path: str, pattern: str) -> Words:
-    """The Words of a byte-level BPE file of `tokenizers`, once per Python worker. Special tokens' strings are ordinary
-    text: pre-tokens go to the library's merges as they are, as characters of the byte-level alphabet."""
+    """The Words of a byte-level BPE file of `tokenizers`, once per Python worker. Added tokens are cut out first, as the
+    library's plain encode does; pre-tokens go to its merges as characters of the byte-level alphabet."""
     cache, key = worker_cache(), ("tokenizers", path)
     if key not in cache:
         from tokenizers import Tokenizer
 
-        merge = Tokenizer.from_file(path).model.tokenize
+        whole = Tokenizer.from_file(path)
+        merge, added = whole.model.tokenize, {t.content: i for i, t in whole.get_added_tokens_decoder().items()}
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in shown]
         letters = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
@@ -113,7 +131,7 @@ def tokenizer_words(path: str, pattern: str) -> Words:
             plain = piece.isascii() and piece.isprintable()
             return [t.id for t in merge(piece.replace(" ", chr(letters[32])) if plain else piece.encode().decode("latin-1").translate(letters))]
 
-        cache[key] = Words(pattern, ids)
+        cache[key] = Words(pattern, ids, added)
     return cache[key]
 
 

@@ -14,7 +14,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def ids_of(texts):
     own = Tokenizer.from_file(PATH)
-    own.encode_special_tokens = True
     return [x.ids + [1] for x in own.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
@@ -72,7 +71,9 @@ def test_step_groups_hold_equal_tokens(spark):
 
 
 def test_odd_rows_and_empty_table(spark):
-    rows = odd_rows() + [(20, "x <|endoftext|> y", "en", "s", None, "x", None, "y", 3), (21, "a  b \n c　 d e", "en", "s", None, "x", None, "y", 3)]
+    token = "<|endoftext|>"
+    held = [f"x {token} y", token, f"{token}start", f"end {token}", f"{token}{token} twice {token}\n b", f"<|endoftext| >{token[:-1]}", "a  b \n c　 d e"]
+    rows = odd_rows() + [(20 + i, t, "en", "s", None, "x", None, "y", 3) for i, t in enumerate(held)]
     docs = spark.createDataFrame(rows, frame(spark).schema)
     check(packing.pack(docs, PATH, public_tokenizers.PATTERN).collect(), [r[:4] for r in rows], 0.01)
     assert packing.pack(empty(spark), PATH, public_tokenizers.PATTERN).count() == 0
@@ -81,7 +82,7 @@ def test_odd_rows_and_empty_table(spark):
 def test_remembered_words_equal_whole_texts():
     from .test_bpe import hard_texts
 
-    many = hard_texts() + ["one two three", " one", "one ", "a \nb c", "a\n b", "a  b   c", ""]
+    many = hard_texts() + ["x <|endoftext|> y", "a<|endoftext|>", "one two three", " one", "one ", "a \nb c", "a\n b", "a  b   c", ""]
     want = [x[:-1] for x in ids_of(many)]
     old = packing.REMEMBERED
     for packing.REMEMBERED in (3, 40, old):  # generations go by within a block, and do not
