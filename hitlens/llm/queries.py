@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, credentials, host_quality, language_id, license_scan, packing, scaled_sketch, simhash_dedup, suffix_dedup, toxicity
+from . import bpe, credentials, decontaminate, host_quality, language_id, license_scan, packing, scaled_sketch, simhash_dedup, suffix_dedup, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,5 +84,14 @@ def op10_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_simhash_dedup, op4_license_scan, op5_language_id, op6_host_quality, op7_packing, op8_suffix_dedup, op9_scaled_sketch, op10_credentials)}
-ORACLE: dict[str, str] = {"op6_host_quality": host_quality.oracle(), "op10_credentials": credentials.oracle()}
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.scan(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    n_hit, items = F.col("leaks.n_hit"), F.col("leaks.items")
+    return found.select(
+        "doc_id", F.col("leaks.n_words").alias("n_words"), n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_simhash_dedup, op4_license_scan, op5_language_id, op6_host_quality, op7_packing, op8_suffix_dedup, op9_scaled_sketch, op10_credentials, op12_decontaminate)}
+ORACLE: dict[str, str] = {"op6_host_quality": host_quality.oracle(), "op10_credentials": credentials.oracle(), "op12_decontaminate": decontaminate.oracle()}

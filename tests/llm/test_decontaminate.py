@@ -1,0 +1,110 @@
+import hashlib
+import re
+from collections import Counter
+
+import duckdb
+import pytest
+
+from hitlens.llm import decontaminate as dc
+from hitlens.llm.queries import ORACLE, QUERIES
+
+from .helpers import SF001, SF01, empty, frame, odd_rows
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def brute(docs, bench, n=10):
+    """(n_words, n_hit, items, text without hit runs) of each text, window against window."""
+    windows = {}
+    for item, text in bench:
+        w = WORD.findall((text or "").translate(LOWER))
+        size = min(n, len(w))
+        for i in range(len(w) - size + 1 if w else 0):
+            windows.setdefault(tuple(w[i : i + size]), set()).add(item)
+    sizes, out = {len(w) for w in windows}, []
+    for text in docs:
+        found = list(WORD.finditer((text or "").translate(LOWER)))
+        w, hit, items = [m.group() for m in found], set(), set()
+        for size in sizes:
+            for i in range(len(w) - size + 1):
+                if tuple(w[i : i + size]) in windows:
+                    hit.update(range(i, i + size))
+                    items |= windows[tuple(w[i : i + size])]
+        left, at = "", 0
+        for k in sorted(hit):
+            start = found[k].start() if k - 1 not in hit else at
+            left, at = left + (text[at:start] if k - 1 not in hit else ""), found[k].end()
+        out.append((len(w), len(hit), sorted(str(x) for x in items if x is not None), left + (text or "")[at:]))
+    return out
+
+
+BENCH = [(1, "The quick brown Fox jumps over the lazy dog and then it sleeps again"), (2, "short ITEM here"), (3, "single"), (4, None), (5, ""), (6, "... !!"),
+         (2, "short item here"), (7, "brown fox jumps over the lazy dog and then it sleeps"), (None, "an item that has no id but ten words of text in it"),
+         (1, "second text of the same item, with more than ten words in all of it"), (8, "Ünïcode ✓ 漢字 text"), (9, " ".join(f"long{i}" for i in range(300)))]
+TEXTS = ["the QUICK-brown fox: jumps over the lazy dog, and then it sleeps again. More text", "no leak in this text", None, "", "  ", "A short item here, short-item here!",
+         "brown fox jumps over the lazy dog and then it", "fox jumps over the lazy dog and then it sleeps again", "ünïcode ✓ 漢字 TEXT here; Single", "x " * 20 + "an item that has no id but ten words of text in it",
+         " ".join(f"long{i}" for i in range(40, 90)) + " tail", "single single", "Kelvin İstanbul K single"] * 2
+
+
+def bench_frame(spark, rows=BENCH):
+    return spark.createDataFrame(rows, "item_id long, text string")
+
+
+def docs_frame(spark, texts=TEXTS):
+    rows = [(i, t, "en", "s", None, "x", None, "leaks", 3) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, frame(spark).schema)
+
+
+@pytest.mark.parametrize("block_bytes,piece", [(1 << 24, 10_000), (60, 10_000), (700, 25)])
+def test_against_brute_force(spark, monkeypatch, block_bytes, piece):
+    """Also over several blocks, and with long items cut into pieces."""
+    monkeypatch.setattr(dc, "PIECE_WORDS", piece)
+    got = {r.doc_id: r.leaks for r in dc.scan(docs_frame(spark), bench_frame(spark), block_bytes=block_bytes).collect()}
+    for i, (n_words, n_hit, items, _) in enumerate(brute(TEXTS, BENCH)):
+        assert (got[i].n_words, got[i].n_hit, got[i]["items"]) == (n_words, n_hit, items), TEXTS[i]
+
+
+def test_removal(spark):
+    want = brute(TEXTS, BENCH)
+    docs = docs_frame(spark)
+    cut = dc.remove(docs, bench_frame(spark))
+    assert cut.columns == docs.columns
+    for r in cut.collect():
+        assert r.text == (TEXTS[r.doc_id] if TEXTS[r.doc_id] is None else want[r.doc_id][3])
+    left = dc.remove(docs, bench_frame(spark), whole_documents=True)
+    assert sorted(r.doc_id for r in left.collect()) == [i for i, x in enumerate(want) if not x[1]]
+
+
+def test_a_hash_collision_is_not_reported(monkeypatch):
+    monkeypatch.setattr(dc, "word_hashes", lambda words: dc.np.full(len(words), 7, dc.np.uint64))
+    block = dc.Block([(None if i is None else str(i), b" ".join(dc.words_of((t or "").encode()))) for i, t in BENCH if dc.words_of((t or "").encode())])
+    for text, (n_words, n_hit, items, _) in zip(TEXTS, brute(TEXTS, BENCH)):
+        hit, found = block.look_up(dc.words_of((text or "").encode()), dc.Powers())
+        assert (0 if hit is None else hit.sum(), sorted(found)) == (n_hit, items), text
+
+
+def test_odd_rows_and_empty_tables(spark):
+    rows = odd_rows()
+    got = Counter((r.doc_id, r.text, r.leaks.n_words, r.leaks.n_hit) for r in dc.scan(frame(spark), bench_frame(spark)).collect())
+    want = Counter((r[0], r[1], x[0], x[1]) for r, x in zip(rows, brute([r[1] for r in rows], BENCH)))
+    assert got == want
+    assert dc.scan(empty(spark), bench_frame(spark)).count() == 0
+    none = dc.scan(frame(spark), bench_frame(spark, []).limit(0)).collect()
+    assert len(none) == len(rows) and not any(r.leaks.n_hit for r in none)
+
+
+def test_query_against_sql(spark):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF01}/{t}.parquet'")
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    want = con.sql(ORACLE["op12_decontaminate"]).fetchall()
+    got = [tuple(r[c] for c in names) for r in QUERIES["op12_decontaminate"](spark, SF01).collect()]
+    assert sorted(got) == sorted(want) and sum(r[5] for r in got) > 0
+    assert all((r[4] == hashlib.sha256(b"").hexdigest()) == (r[3] == 0) for r in got)
+
+
+def test_query_plan_has_no_shuffle(spark):
+    plan = QUERIES["op12_decontaminate"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
