@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, credentials, decontaminate, host_quality, language_id, license_scan, packing, scaled_sketch, simhash_dedup, suffix_dedup, toxicity
+from . import bpe, credentials, decontaminate, host_quality, language_id, license_scan, packing, periodic_runs, scaled_sketch, simhash_dedup, suffix_dedup, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +87,34 @@ def op10_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _planted(text: pa.Array, doc_id: pa.Array) -> pa.Array:
+    """The contract's texts: those of every tenth crc32 of the id are periodic from one word on."""
+    out = []
+    for raw, doc in zip(text.cast(pa.binary()).to_pylist(), doc_id.to_pylist()):
+        g, turn = divmod(zlib.crc32(str(doc).encode()), 10)
+        words = raw.split() if raw and doc is not None and turn == 0 else []
+        if words:
+            a = g % len(words)
+            p = 1 + (len(words) - a) // (3 + g % 8)
+            raw = b" ".join(words[:a] + [words[a + i % p] for i in range(len(words) - a)])
+        out.append(raw)
+    return pa.array(out, pa.binary()).cast(pa.string())
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edited = F.arrow_udf(_planted, "string")(F.col("text"), F.col("doc_id"))
+    found = periodic_runs.scan(documents(spark, sf_dir).select("doc_id", edited.alias("text")))
+    runs = F.col("periodic.runs")
+    # by the exact length / period; ties: the earlier run, as runs are ordered by start, then period
+    best = F.reduce(runs, F.get(runs, 0), lambda best, x: F.when(x.length * best.period > best.length * x.period, x).otherwise(best))
+    listed = F.transform(runs, lambda x: F.concat(x.start.cast("string"), F.lit(","), x.length.cast("string"), F.lit(","), x.period.cast("string"), F.lit("\n")))
+    found = found.select("doc_id", runs.alias("runs"), best.alias("best"), F.array_join(listed, "").alias("listed"), F.col("periodic.collapsed").alias("collapsed"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     n_hit, items = F.col("leaks.n_hit"), F.col("leaks.items")
@@ -93,5 +124,5 @@ def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_simhash_dedup, op4_license_scan, op5_language_id, op6_host_quality, op7_packing, op8_suffix_dedup, op9_scaled_sketch, op10_credentials, op12_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_simhash_dedup, op4_license_scan, op5_language_id, op6_host_quality, op7_packing, op8_suffix_dedup, op9_scaled_sketch, op10_credentials, op11_periodic_runs, op12_decontaminate)}
 ORACLE: dict[str, str] = {"op6_host_quality": host_quality.oracle(), "op10_credentials": credentials.oracle(), "op12_decontaminate": decontaminate.oracle()}
