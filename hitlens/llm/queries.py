@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, credentials, decontaminate, host_quality, language_id, license_scan, packing, periodic_runs, scaled_sketch, simhash_dedup, suffix_dedup, toxicity
+from . import bpe, credentials, decontaminate, hard_negatives, host_quality, language_id, license_scan, packing, periodic_runs, scaled_sketch, simhash_dedup, suffix_dedup, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,5 +124,12 @@ def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_simhash_dedup, op4_license_scan, op5_language_id, op6_host_quality, op7_packing, op8_suffix_dedup, op9_scaled_sketch, op10_credentials, op11_periodic_runs, op12_decontaminate)}
-ORACLE: dict[str, str] = {"op6_host_quality": host_quality.oracle(), "op10_credentials": credentials.oracle(), "op12_decontaminate": decontaminate.oracle()}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    id, label = F.col("vec_id"), F.col("label").cast("long")
+    moved = F.when(id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(vectors, id, F.col("embedding"), moved, id % 50 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_simhash_dedup, op4_license_scan, op5_language_id, op6_host_quality, op7_packing, op8_suffix_dedup, op9_scaled_sketch, op10_credentials, op11_periodic_runs, op12_decontaminate, op13_hard_negatives)}
+ORACLE: dict[str, str] = {"op6_host_quality": host_quality.oracle(), "op10_credentials": credentials.oracle(), "op12_decontaminate": decontaminate.oracle(), "op13_hard_negatives": hard_negatives.oracle()}
