@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from hitlens.llm import suffix_dedup as sd
+from hitlens.llm.queries import QUERIES
 
 from .helpers import SF001, empty, frame, rows_of
 
@@ -82,8 +84,6 @@ def test_runs_that_cross_partition_edges(spark):
 
 
 def test_scan_of_a_partition_does_not_depend_on_batches():
-    import pyarrow as pa
-
     keys = np.array([1, 1, 2, 3, 3, 3, 4, 5, 5], np.int64)
     whole = [keys, np.arange(9), np.arange(9) * 10]
     cut = lambda n: [pa.RecordBatch.from_arrays([pa.array(x[i : i + n]) for x in whole], ["key", "doc", "place"]) for i in range(0, 9, n)]
@@ -117,11 +117,56 @@ def test_odd_rows_and_empty_table(spark):
 
 
 def test_opening_run_over_many_batches_gives_its_edge():
-    import pyarrow as pa
-
     keys = np.array([1, 1, 1, 1, 1, 2, 2, 3], np.int64)
     whole = [keys, np.arange(8), np.arange(8) * 10]
     cut = lambda n: [pa.RecordBatch.from_arrays([pa.array(x[i : i + n]) for x in whole], ["key", "doc", "place"]) for i in range(0, 8, n)]
     rows = lambda n: sorted(tuple(r.values()) for b in sd._neighbours(iter(cut(n))) for r in b.to_pylist())
     assert all(rows(n) == rows(8) for n in range(1, 8))
     assert [r[1] for r in rows(2) if r[0] == sd._EDGE] == [1, 3]
+
+
+def test_a_forged_hash_collision_is_not_reported(spark, monkeypatch):
+    """Heads that collide by the thousand: what is reported still equals its first place word for word."""
+    true_runs = sd.runs
+    monkeypatch.setattr(sd, "runs", lambda words, size: true_runs(words, size) % sd.np.uint64(3) if size == sd.HEAD else true_runs(words, size))
+    check(spark, planted(6))
+
+
+def test_registered_query(spark):
+    rows = rows_of(SF001)
+    got = QUERIES["op8_suffix_dedup"](spark, SF001).collect()
+    texts, covered = {i: t for i, t, *_ in rows}, set()
+    for r in got:
+        words = texts[r.doc_id][r.start : r.end].split()
+        assert words == texts[r.first_doc_id].split()[r.first_word : r.first_word + r.n_words] and len(words) == r.n_words
+        before = len(texts[r.doc_id][: r.start].split())
+        covered |= {(r.doc_id, k) for k in range(before, before + r.n_words)}
+    assert repeated_words(rows, sd.MIN_WORDS) <= covered and not covered - repeated_words(rows, sd.HEAD)
+
+
+def test_matches_do_not_depend_on_batches():
+    rng = random.Random(2)
+    rows = sorted({(rng.randrange(3), rng.randrange(2), 0, 0, rng.randrange(2), rng.randrange(600)) for _ in range(60)})
+    whole = [pa.array(x, pa.int64()) for x in zip(*rows)]
+    cut = lambda n: [pa.RecordBatch.from_arrays([x.slice(i, n) for x in whole], list("abcdef")) for i in range(0, len(rows), n)]
+    got = lambda n: [tuple(r.values()) for b in sd._matches(iter(cut(n))) for r in b.to_pylist()]
+    want = []
+    for doc, tie, first_doc, first_tie, distance, pos in rows:
+        key = (doc, tie, first_doc, first_tie, distance)
+        if want and want[-1][0] == key and pos <= want[-1][2]:
+            want[-1][2] = pos + sd.HEAD
+        else:
+            want.append([key, pos, pos + sd.HEAD])
+    want = [(k[0], k[1], a, b, k[2], k[3], a - k[4]) for k, a, b in want]
+    assert all(got(n) == want for n in (1, 2, 3, 7, 60))
+
+
+def test_rows_without_an_id_are_documents_by_their_text(spark):
+    rng = random.Random(9)
+    passage = " ".join(f"p{rng.randrange(9999)}" for _ in range(70))
+    last = (1 << 63) - 1
+    rows = [(None, f"one {passage} two", "en", "s"), (None, f"three {passage} four", "en", "s"), (last, "plain text of the last id", "en", "s"), (5, f"five {passage} six", "en", "s")]
+    got = {(r.doc, r.first_doc, r.n_words) for r in sd.passages(frame(spark, rows)).collect()}
+    assert got == {(None, 5, 70)}
+    out = sorted(r.text for r in sd.remove_repeats(frame(spark, rows)).collect())
+    assert out == sorted([f"five {passage} six", "one  two", "three  four", "plain text of the last id"])
