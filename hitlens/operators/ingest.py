@@ -25,25 +25,36 @@ def decode_hits(raw: DataFrame, body: str = "body") -> DataFrame:
     of another type are rejected. The parser alone lets trailing text pass,
     so the body is parsed inside an array and inside an object; both must
     parse, and the array must hold one element.
+
+    The parsed body is bound once (the lambda's argument) and unpacked by a
+    generator, which no predicate is pushed through, so a row is parsed twice
+    whatever is read from it.
     """
     text = F.col(body)
-    out = (raw.withColumn("_in_array", F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
-           .withColumn("_in_object", F.try_parse_json(F.concat(F.lit('{"b":'), text, F.lit("}")))))
-    one = F.try_variant_get("_in_array", "$[0]", "variant")
-    is_object = (F.col("_in_array").isNotNull() & F.col("_in_object").isNotNull()
-                 & F.try_variant_get("_in_array", "$[1]", "variant").isNull()
-                 & F.schema_of_variant(one).startswith("OBJECT"))
-    kinds = [F.schema_of_variant(F.try_variant_get("_in_array", f"$[0].{src}", "variant"))
-             for src, _ in HIT_FIELDS]
+    parsed = F.struct(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).alias("in_array"),
+                      F.try_parse_json(F.concat(F.lit('{"b":'), text, F.lit("}"))).isNotNull().alias("in_object"))
+    return raw.select("*", F.inline_outer(F.transform(F.array(parsed), _hit)))
+
+
+def _hit(parsed: Column) -> Column:
+    """The fields and the reason of one parsed body."""
+    array = parsed["in_array"]
+
+    def at(path: str, kind: str = "variant") -> Column:
+        return F.try_variant_get(array, path, kind)
+
+    is_object = (array.isNotNull() & parsed["in_object"] & at("$[1]").isNull()
+                 & F.schema_of_variant(at("$[0]")).startswith("OBJECT"))
+    kinds = [F.schema_of_variant(at(f"$[0].{src}")) for src, _ in HIT_FIELDS]
     missing = wrong = F.lit(False)
     for kind in kinds:
         missing = missing | kind.isNull() | (kind == "VOID")
         wrong = wrong | (kind != "STRING")
     reason = (F.when(~F.coalesce(is_object, F.lit(False)), F.lit(MALFORMED))
               .when(missing, F.lit(MISSING_FIELD)).when(wrong, F.lit(WRONG_TYPE)))
-    fields = [F.when(kind == "STRING", F.try_variant_get("_in_array", f"$[0].{src}", "string")).alias(dst)
+    fields = [F.when(kind == "STRING", at(f"$[0].{src}", "string")).alias(dst)
               for (src, dst), kind in zip(HIT_FIELDS, kinds)]
-    return out.select(*raw.columns, *fields, reason.alias("reason"))
+    return F.struct(*fields, reason.alias("reason"))
 
 
 def good_hits(decoded: DataFrame, body: str = "body") -> DataFrame:

@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import FIVE_MINUTES, StatDefinition, with_window
 
-# Level names of the long-form output and the ``grouping_id()`` of each
-# grouping set over (site_id, stat_time, url, ip_address, user_agent).
-LEVELS = {"site": 7, "url": 3, "ip": 5, "browser": 6}
+# Level names of the long-form output, and the columns their keys come from.
+LEVELS = ("site", "url", "ip", "browser")
 KEY_OF_LEVEL = {"url": "url", "ip": "ip_address", "browser": "user_agent"}
 # Rows that the histogram keys of a site and window are spread over.
 FRAGMENTS = 16
@@ -59,21 +58,29 @@ def partial_stats_browser(logs: DataFrame, stat: StatDefinition) -> DataFrame:
     return partial_stats_keyed(logs, stat, "user_agent", "browser")
 
 
-def stats_all_levels(logs: DataFrame, stat: StatDefinition, closed_left: bool = False) -> DataFrame:
-    """All four statistics levels in one pass:
+def stats_all_levels(logs: DataFrame, stat: StatDefinition, closed_left: bool = False,
+                     levels: tuple[str, ...] = LEVELS) -> DataFrame:
+    """The statistics levels asked for (all four) in one pass:
     (level, site_id, stat_time, key, requests), key null on the site level."""
-    w = windowed(logs, stat, closed_left).select(
-        "site_id", "stat_time", "url", "ip_address", "user_agent")
-    gid = F.col("_gid")
-    level = F.when(gid == LEVELS["site"], "site").when(gid == LEVELS["url"], "url") \
-        .when(gid == LEVELS["ip"], "ip").when(gid == LEVELS["browser"], "browser")
-    keys = ["site_id", "stat_time", "url", "ip_address", "user_agent"]
-    sets = [["site_id", "stat_time"], ["site_id", "stat_time", "url"],
-            ["site_id", "stat_time", "ip_address"], ["site_id", "stat_time", "user_agent"]]
-    agg = w.groupingSets([[F.col(c) for c in s] for s in sets], *keys).agg(
+    w = windowed(logs, stat, closed_left)
+    if len(levels) == 1:  # one level needs no grouping sets
+        key = KEY_OF_LEVEL.get(levels[0])
+        keyed = w.select("site_id", "stat_time", (F.col(key) if key else F.lit(None).cast("string")).alias("key"))
+        agg = keyed.groupBy("site_id", "stat_time", "key").agg(F.count(F.lit(1)).alias("requests"))
+        return agg.select(F.lit(levels[0]).alias("level"), "site_id", "stat_time", "key", "requests")
+    columns = [KEY_OF_LEVEL[x] for x in levels if x in KEY_OF_LEVEL]
+    keys = ["site_id", "stat_time", *columns]
+    sets = [[F.col(c) for c in ("site_id", "stat_time", KEY_OF_LEVEL.get(x)) if c] for x in levels]
+    agg = w.select(*keys).groupingSets(sets, *keys).agg(
         F.count(F.lit(1)).alias("requests"), F.grouping_id().alias("_gid"))
-    return agg.select(level.alias("level"), "site_id", "stat_time",
-                      F.coalesce("url", "ip_address", "user_agent").alias("key"), "requests")
+    # grouping_id() has a bit for each key that a set leaves out, the last key lowest
+    whole = (1 << len(columns)) - 1
+    level = F.lit(None).cast("string")
+    for x in levels:
+        own = KEY_OF_LEVEL.get(x)
+        gid = whole - (1 << (len(columns) - 1 - columns.index(own)) if own else 0)
+        level = F.when(F.col("_gid") == gid, F.lit(x)).otherwise(level)
+    return agg.select(level.alias("level"), "site_id", "stat_time", F.coalesce(*columns).alias("key"), "requests")
 
 
 def long_form(levels: DataFrame, stat: StatDefinition) -> DataFrame:

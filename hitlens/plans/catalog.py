@@ -45,8 +45,8 @@ def q_logs_in_window(spark, sf_dir):
 # ---------------------------------------------------------------- statistics
 
 def _stored_level(spark, sf_dir, stat, level):
-    """A level's table as the job stores it: a cut of the one-pass long form."""
-    return st.level_table(st.long_form(st.stats_all_levels(model.logs(spark, sf_dir), stat), stat), level)
+    """A level's table as the job stores it, through the long form of that level alone."""
+    return st.level_table(st.long_form(st.stats_all_levels(model.logs(spark, sf_dir), stat, levels=(level,)), stat), level)
 
 
 @query("partial_stats_requests")
