@@ -141,6 +141,17 @@ def sign_up_outcomes(requests: DataFrame, by_email: DataFrame, new_id,
             .drop("_winner", "errors"))
 
 
+def site_create_outcomes(requests: DataFrame, new_id, new_tracking) -> DataFrame:
+    """Every creation request once: 200 and the created site (id, domain,
+    tracking id, creation time), or 400 and the text for a malformed user id."""
+    ok = is_uuid(F.col("user_id"))
+    st = F.when(ok, F.lit(status.OK)).otherwise(F.lit(status.BAD_REQUEST))
+    out = requests.select("request_id", "user_id", "domain", F.when(ok, new_id).alias("id"),
+                          F.when(ok, new_tracking).alias("tracking_id"), st.alias("status"))
+    return (out.withColumn("message", bad_id_message("status"))
+            .withColumn("created_date", F.when(F.col("id").isNotNull(), time_of_uuid(F.col("id")))))
+
+
 def new_sites(requests: DataFrame, new_id, new_tracking) -> DataFrame:
     """Site creation: one base row per request (user id checked); the access
     tables follow by projection."""

@@ -280,6 +280,11 @@ def q_site_create(spark, sf_dir):
     return reg.new_sites(model.site_requests(spark, sf_dir), F.col("new_id"), F.col("new_tracking"))
 
 
+@query("site_create_outcomes")
+def q_site_create_outcomes(spark, sf_dir):
+    return reg.site_create_outcomes(model.site_requests(spark, sf_dir), F.col("new_id"), F.col("new_tracking"))
+
+
 @query("user_registry_after_sign_up")
 def q_user_registry_after_sign_up(spark, sf_dir):
     """The e-mail registry that the accepted sign-ups leave."""

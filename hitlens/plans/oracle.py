@@ -340,6 +340,15 @@ ORACLE["list_sites_outcomes"] = with_(SITES, LISTED) + f"""SELECT lr.request_id,
 ORACLE["site_create"] = f"""SELECT {site_id('o_orderkey')} AS id, 'site' || CAST(o_orderkey AS VARCHAR) || '.example.com' AS domain,
   {user_id('o_custkey')} AS user_id, {uuid_from_text('o_orderkey')} AS tracking_id
 FROM orders WHERE o_orderkey % 10 <> 0"""
+_BAD_OWNER = "o_orderkey % 10 = 0"
+ORACLE["site_create_outcomes"] = f"""SELECT o_orderkey AS request_id,
+  CASE WHEN {_BAD_OWNER} THEN 'not-an-id' ELSE {user_id('o_custkey')} END AS user_id,
+  'site' || CAST(o_orderkey AS VARCHAR) || '.example.com' AS domain,
+  CASE WHEN NOT {_BAD_OWNER} THEN {site_id('o_orderkey')} END AS id,
+  CASE WHEN NOT {_BAD_OWNER} THEN {uuid_from_text('o_orderkey')} END AS tracking_id,
+  CASE WHEN {_BAD_OWNER} THEN 400 ELSE 200 END AS status, CASE WHEN {_BAD_OWNER} THEN '{BAD_UUID}' END AS message,
+  CASE WHEN NOT {_BAD_OWNER} THEN date_trunc('millisecond', o_orderdate) END AS created_date
+FROM orders"""
 ORACLE["user_registry_after_sign_up"] = with_(USERS, REQ) + f"""SELECT email, id AS user_id FROM users
 UNION ALL SELECT email, {time_uuid('requested_at', 'request_id')} FROM firsts"""
 
