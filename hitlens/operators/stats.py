@@ -83,6 +83,29 @@ def stats_all_levels(logs: DataFrame, stat: StatDefinition, closed_left: bool =
     return agg.select(level.alias("level"), "site_id", "stat_time", F.coalesce(*columns).alias("key"), "requests")
 
 
+def stats_of_buckets(logs: DataFrame, stat: StatDefinition, closed_left: bool = False,
+                     levels: tuple[str, ...] = LEVELS) -> DataFrame:
+    """The rows of ``stats_all_levels`` from hits bucketed by (site, salt):
+    they are counted where they lie, without a shuffle.
+
+    Levels are exploded, which keeps the bucketing (an Expand would not). A
+    cold site's counts are final; only the counts of salted sites, at
+    most one a key and salt, are shuffled and added up. Windows must not span the
+    table's days, as a site may be salted on one day and not on another.
+    """
+    if 86_400_000 % stat.range_ms:
+        raise ValueError(f"windows of {stat.stat_type} span days")
+    rows = F.array(*[F.struct(F.lit(x).alias("level"), (F.col(KEY_OF_LEVEL[x]) if x in KEY_OF_LEVEL else F.lit(None).cast("string")).alias("key"))
+                     for x in levels])
+    counted = (windowed(logs, stat, closed_left).select("site_id", "salt", "stat_time", F.explode(rows).alias("lv"))
+               .select("site_id", "salt", "stat_time", "lv.level", "lv.key")
+               .groupBy("site_id", "salt", "stat_time", "level", "key").agg(F.count(F.lit(1)).alias("requests")))
+    columns = ["level", "site_id", "stat_time", "key", "requests"]
+    hot = (counted.where("salt >= 0").groupBy("level", "site_id", "stat_time", "key")
+           .agg(F.sum("requests").cast("bigint").alias("requests")))
+    return counted.where("salt < 0").select(*columns).unionByName(hot.select(*columns))
+
+
 def long_form(levels: DataFrame, stat: StatDefinition) -> DataFrame:
     """``stats_all_levels`` stamped for storage as one table (see
     ``schemas.STATS_LEVELS``)."""

@@ -7,6 +7,7 @@ returns aliased columns that match ``hitlens.plans.oracle``.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import FIVE_MINUTES, ONE_DAY, in_window_range
 from ..operators import stats as st
+from ..session import checkpoint_dir
 from ..sources import model
+from ..sources.bucketed_logs import BucketedLogs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -108,6 +111,15 @@ def q_stats_all_levels(spark, sf_dir):
     return st.stats_all_levels(model.logs(spark, sf_dir), ONE_DAY)
 
 
+@query("stats_all_levels_bucketed")
+def q_stats_all_levels_bucketed(spark, sf_dir):
+    """All levels from a stored, bucketed copy of the hits, counted without a shuffle of hits."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/bucketed-{uuid.uuid4().hex}"
+    stored = BucketedLogs.open(spark, folder, buckets=max(8, spark.sparkContext.defaultParallelism))
+    stored.write(model.logs(spark, sf_dir))
+    return st.stats_of_buckets(stored.read(), ONE_DAY)
+
+
 @query("global_stats")
 def q_global_stats(spark, sf_dir):
     return st.global_stats(st.partial_stats_requests(model.logs(spark, sf_dir), FIVE_MINUTES))

@@ -95,6 +95,8 @@ FROM w
 GROUP BY GROUPING SETS ((site_id, stat_time), (site_id, stat_time, url),
                         (site_id, stat_time, ip_address), (site_id, stat_time, user_agent))"""
 
+ORACLE["stats_all_levels_bucketed"] = ORACLE["stats_all_levels"]
+
 ORACLE["global_stats"] = with_(LOGS, windowed(FIVE_MINUTES)) + """SELECT site_id,
   CAST(count(*) AS BIGINT) AS requests FROM w GROUP BY site_id"""
 ORACLE["global_stats_url"] = with_(LOGS, windowed(FIVE_MINUTES)) + """SELECT site_id, url,
