@@ -28,8 +28,9 @@ class StatDefinition:
         return f"{self.range_ms} milliseconds"
 
 
-# The schedule of the reference (every five minutes) plus a day.
+# The schedule of the reference (every five minutes) plus an hour and a day.
 FIVE_MINUTES = StatDefinition("5_minutes", 300_000)
+ONE_HOUR = StatDefinition("1_hour", 3_600_000)
 ONE_DAY = StatDefinition("1_day", 86_400_000)
 
 

@@ -4,11 +4,14 @@ being dropped silently."""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import status
 from ..functions.timeid import is_uuid
+from .asof import resolve_as_of
 
 # Body field -> column (camelCase on the wire, snake_case in tables).
 HIT_FIELDS = (("url", "url"), ("ipAddress", "ip_address"), ("userAgent", "user_agent"))
@@ -106,13 +109,16 @@ def outcome_label(reason: Column, st: Column) -> Column:
 
 
 def ingest(raw: DataFrame, by_tracking: DataFrame, body: str = "body",
-           broadcast: bool = False) -> DataFrame:
+           broadcast: bool = False, expiry: dt.timedelta | None = None) -> DataFrame:
     """The whole hit path for a batch in one pass: decode, check and resolve
     the id of the decodable ones (one join). Every input row comes out once,
-    with ``outcome``, ``status`` and, when accepted, ``site_id``."""
-    decoded = decode_hits(raw, body).drop(body)
-    resolved = resolve_hits(decoded, by_tracking, eligible=F.col("reason").isNull(),
-                            broadcast=broadcast)
+    with ``outcome``, ``status`` and, when accepted, ``site_id``. With
+    ``expiry``, ``by_tracking`` holds validity intervals (``asof``)."""
+    decoded, whole = decode_hits(raw, body).drop(body), F.col("reason").isNull()
+    if expiry is None:
+        resolved = resolve_hits(decoded, by_tracking, eligible=whole, broadcast=broadcast)
+    else:
+        resolved = resolve_as_of(decoded, by_tracking, eligible=whole, broadcast=broadcast, expiry=expiry)
     return (resolved.withColumn("outcome", outcome_label(F.col("reason"), F.col("status")))
             .drop("reason"))
 

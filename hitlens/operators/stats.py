@@ -59,18 +59,25 @@ def partial_stats_browser(logs: DataFrame, stat: StatDefinition) -> DataFrame:
 
 
 def stats_all_levels(logs: DataFrame, stat: StatDefinition, closed_left: bool = False,
-                     levels: tuple[str, ...] = LEVELS) -> DataFrame:
+                     levels: tuple[str, ...] = LEVELS, edges: bool = False) -> DataFrame:
     """The statistics levels asked for (all four) in one pass:
-    (level, site_id, stat_time, key, requests), key null on the site level."""
-    w = windowed(logs, stat, closed_left)
+    (level, site_id, stat_time, key, requests), key null on the site level.
+    With ``edges`` also the hits of each window's first millisecond, as rows
+    of their own (``edge`` true)."""
+    w = windowed(logs, stat, closed_left or edges)
+    base = ["site_id", "stat_time"]
+    if edges:
+        begin = F.col("stat_time") - F.expr(f"INTERVAL {stat.range_ms} MILLISECONDS")
+        w, base = w.withColumn("edge", F.col("log_time") < begin + F.expr("INTERVAL 1 MILLISECOND")), [*base, "edge"]
+    out = ["level", "site_id", "stat_time", "key", "requests", *base[2:]]
     if len(levels) == 1:  # one level needs no grouping sets
         key = KEY_OF_LEVEL.get(levels[0])
-        keyed = w.select("site_id", "stat_time", (F.col(key) if key else F.lit(None).cast("string")).alias("key"))
-        agg = keyed.groupBy("site_id", "stat_time", "key").agg(F.count(F.lit(1)).alias("requests"))
-        return agg.select(F.lit(levels[0]).alias("level"), "site_id", "stat_time", "key", "requests")
+        keyed = w.select(*base, (F.col(key) if key else F.lit(None).cast("string")).alias("key"))
+        agg = keyed.groupBy(*base, "key").agg(F.count(F.lit(1)).alias("requests"))
+        return agg.withColumn("level", F.lit(levels[0])).select(*out)
     columns = [KEY_OF_LEVEL[x] for x in levels if x in KEY_OF_LEVEL]
-    keys = ["site_id", "stat_time", *columns]
-    sets = [[F.col(c) for c in ("site_id", "stat_time", KEY_OF_LEVEL.get(x)) if c] for x in levels]
+    keys = [*base, *columns]
+    sets = [[F.col(c) for c in (*base, KEY_OF_LEVEL.get(x)) if c] for x in levels]
     agg = w.select(*keys).groupingSets(sets, *keys).agg(
         F.count(F.lit(1)).alias("requests"), F.grouping_id().alias("_gid"))
     # grouping_id() has a bit for each key that a set leaves out, the last key lowest
@@ -80,7 +87,7 @@ def stats_all_levels(logs: DataFrame, stat: StatDefinition, closed_left: bool =
         own = KEY_OF_LEVEL.get(x)
         gid = whole - (1 << (len(columns) - 1 - columns.index(own)) if own else 0)
         level = F.when(F.col("_gid") == gid, F.lit(x)).otherwise(level)
-    return agg.select(level.alias("level"), "site_id", "stat_time", F.coalesce(*columns).alias("key"), "requests")
+    return agg.withColumn("level", level).withColumn("key", F.coalesce(*columns)).select(*out)
 
 
 def stats_of_buckets(logs: DataFrame, stat: StatDefinition, closed_left: bool = False,
@@ -129,10 +136,10 @@ def level_table(long: DataFrame, level: str) -> DataFrame:
                        F.col("requests").cast("int").alias("requests"))
 
 
-def _fragment(key: Column, fragments: int) -> Column:
+def _fragment(key: Column, fragments: Column) -> Column:
     """Map fragment of a histogram key: md5 bucket, so every engine agrees."""
     bucket = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
-    return F.pmod(bucket, F.lit(fragments)).cast("int")
+    return F.pmod(bucket, fragments).cast("int")
 
 
 def partial_stats(levels: DataFrame, stat: StatDefinition, fragments: int = FRAGMENTS) -> DataFrame:
@@ -145,22 +152,50 @@ def partial_stats(levels: DataFrame, stat: StatDefinition, fragments: int = FRAG
     stands on fragment 0 alone (0 elsewhere), so sums over rows are right;
     ``whole_partial_stats`` reads one row per site and window.
     """
+    rows = levels.where(F.col("level").isin("ip", "browser", "site"))
+    return _maps(rows, stat, F.lit(fragments))
+
+
+def _maps(rows: DataFrame, stat: StatDefinition, fragments: Column, *more: str) -> DataFrame:
+    """Map rows of (site, window, fragment) out of level rows."""
     is_entry = F.col("level").isin("ip", "browser")
-    rows = levels.where(is_entry | (F.col("level") == "site")).withColumn(
-        "fragment", F.when(is_entry, _fragment(F.coalesce("key", F.lit("")), fragments)).otherwise(F.lit(0)))
+    rows = rows.withColumn("fragment", F.when(is_entry, _fragment(F.coalesce("key", F.lit("")), fragments)).otherwise(F.lit(0)))
 
     def hist(level: str) -> Column:
         entry = F.struct(F.col("key"), F.col("requests").cast("int"))
         return F.map_from_entries(F.collect_list(F.when((F.col("level") == level) & F.col("key").isNotNull(), entry)))
 
-    out = (rows.groupBy("site_id", "stat_time", "fragment")
+    out = (rows.groupBy("site_id", "stat_time", "fragment", *more)
            .agg(F.coalesce(F.sum(F.when(F.col("level") == "site", F.col("requests"))), F.lit(0))
                 .cast("bigint").alias("requests"),
                 hist("ip").alias("ip"), hist("browser").alias("browser")))
-    return stamp(out, stat).select("site_id", "year", "stat_time", "stat_type", "fragment",
+    return stamp(out, stat).select("site_id", "year", "stat_time", "stat_type", "fragment", *more,
                                    "ip", "browser", "requests")
 
 
+# Histogram keys of a site and window that one fragment holds.
+KEYS_PER_FRAGMENT = 10_000
+
+
+def partial_stats_sized(levels: DataFrame, stat: StatDefinition, keys_per_fragment: int = KEYS_PER_FRAGMENT) -> DataFrame:
+    """``partial_stats`` with as many fragments as a site and window needs:
+    one row for nearly all, many for a site with many keys, so its maps are
+    built by many tasks and none outgrows a row. ``fragments`` is stored in
+    the row; sums over rows and ``whole_partial_stats`` stay as they are.
+
+    The keys are the level rows themselves, so their counts are exact and
+    cost one aggregate. Only sites of more than one fragment are joined back: at most
+    one for every ``keys_per_fragment`` level rows.
+    """
+    is_entry = F.col("level").isin("ip", "browser")
+    counts = levels.where(is_entry).groupBy("site_id", "stat_time").agg(F.count(F.lit(1)).alias("_n"))
+    wide = counts.where(F.col("_n") > keys_per_fragment).select(
+        F.col("site_id").alias("_site"), F.col("stat_time").alias("_time"), F.ceil(F.col("_n") / keys_per_fragment).cast("int").alias("_wide"))
+    rows = levels.where(is_entry | (F.col("level") == "site")).join(
+        wide, F.col("site_id").eqNullSafe(F.col("_site")) & (F.col("stat_time") == F.col("_time")), "left")
+    return _maps(rows.withColumn("fragments", F.coalesce("_wide", F.lit(1))), stat, F.col("fragments"), "fragments")
+
+
 def whole_partial_stats(partial: DataFrame) -> DataFrame:
     """One row per site and window out of the fragments: the reference's row.
     For sites whose histograms fit one row."""
@@ -191,6 +226,16 @@ def global_stats_url(partial_url: DataFrame, base_type: str = FIVE_MINUTES.stat_
             .groupBy("site_id", "url").agg(F.sum("requests").cast("bigint").alias("requests")))
 
 
+def sum_levels(levels: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Totals as the sum of levels that share no hit: closed totals, day
+    totals, windows of open days. Each level is replaced as a whole when its hits
+    change, and none is added to in place."""
+    rows = levels[0].select(*keys, "requests")
+    for more in levels[1:]:
+        rows = rows.unionByName(more.select(*keys, "requests"))
+    return rows.groupBy(*keys).agg(F.sum("requests").cast("bigint").alias("requests"))
+
+
 # Windows per calendar block: the calendar is generated as blocks first,
 # then the windows of each block in parallel.
 CALENDAR_BLOCK = 1024

@@ -13,7 +13,8 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.windows import FIVE_MINUTES, ONE_DAY, in_window_range
+from ..functions.windows import FIVE_MINUTES, ONE_DAY, ONE_HOUR, in_window_range
+from ..operators import lattice
 from ..operators import stats as st
 from ..session import checkpoint_dir
 from ..sources import model
@@ -120,6 +121,14 @@ def q_stats_all_levels_bucketed(spark, sf_dir):
     return st.stats_of_buckets(stored.read(), ONE_DAY)
 
 
+@query("stats_days_from_minutes")
+def q_stats_days_from_minutes(spark, sf_dir):
+    """Days out of hours out of five minutes, with hits on window boundaries."""
+    rows = lattice.levels_and_edges(model.boundary_logs(spark, sf_dir), FIVE_MINUTES)
+    hours = lattice.coarsen(rows, FIVE_MINUTES, ONE_HOUR)
+    return lattice.coarsen(hours, ONE_HOUR, ONE_DAY).where("NOT edge").drop("edge")
+
+
 @query("global_stats")
 def q_global_stats(spark, sf_dir):
     return st.global_stats(st.partial_stats_requests(model.logs(spark, sf_dir), FIVE_MINUTES))
@@ -130,6 +139,32 @@ def q_global_stats_url(spark, sf_dir):
     return st.global_stats_url(st.partial_stats_url(model.logs(spark, sf_dir), FIVE_MINUTES))
 
 
+def _three_levels(partial, keys):
+    """Partials of five minutes as closed totals, day totals and windows, by
+    the day of the window; then their sum."""
+    day = F.dayofmonth("stat_time")
+    closed = st.sum_levels([partial.where(day <= 10)], keys)
+    days = st.sum_levels([partial.where(day.between(11, 20)).withColumn("stat_date", F.to_date("stat_time"))], [*keys, "stat_date"])
+    return st.sum_levels([closed, days, partial.where(day > 20)], keys)
+
+
+@query("global_stats_levels")
+def q_global_stats_levels(spark, sf_dir):
+    return _three_levels(st.partial_stats_requests(model.logs(spark, sf_dir), FIVE_MINUTES), ["site_id"])
+
+
+@query("global_stats_url_levels")
+def q_global_stats_url_levels(spark, sf_dir):
+    return _three_levels(st.partial_stats_url(model.logs(spark, sf_dir), FIVE_MINUTES), ["site_id", "url"])
+
+
+@query("partial_stats_sized")
+def q_partial_stats_sized(spark, sf_dir):
+    """Fragments by the number of a site's keys, here of four keys each, so that sites of one and of several occur."""
+    levels = st.stats_all_levels(model.logs(spark, sf_dir), ONE_DAY, levels=("site", "ip", "browser"))
+    return _maps_as_text(st.partial_stats_sized(levels, ONE_DAY, keys_per_fragment=4), "fragment", "fragments")
+
+
 @query("stats_reference")
 def q_stats_reference(spark, sf_dir):
     return st.stats_reference(model.logs(spark, sf_dir), FIVE_MINUTES)
@@ -157,6 +192,7 @@ from ..functions.timeid import is_uuid, time_of_uuid, time_uuid  # noqa: E402
 from ..operators import ingest as ing  # noqa: E402
 from ..operators import loadstats as ls  # noqa: E402
 from ..operators import registry as reg  # noqa: E402
+from ..operators.asof import resolve_as_of  # noqa: E402
 
 
 @query("ingest_decode")
@@ -194,6 +230,13 @@ def q_unresolved_hits(spark, sf_dir):
     return r.where(F.col("status") != _status.ACCEPTED).select("hit_id", "tracking_id", "status")
 
 
+@query("resolve_hits_as_of")
+def q_resolve_hits_as_of(spark, sf_dir):
+    """Every decodable hit by the registry of its own time."""
+    hits = ing.good_hits(ing.decode_hits(model.raw_hits(spark, sf_dir)))
+    return resolve_as_of(hits, model.site_intervals(spark, sf_dir)).select("hit_id", "tracking_id", "log_time", "site_id", "status")
+
+
 @query("dedupe_hits")
 def q_dedupe_hits(spark, sf_dir):
     return ing.dedupe(model.redelivered_logs(spark, sf_dir), ["log_id"])

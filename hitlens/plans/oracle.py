@@ -79,6 +79,20 @@ FROM e GROUP BY site_id, stat_time, fragment"""
 
 ORACLE["partial_stats"] = _partial_stats(FRAGMENTS)
 ORACLE["partial_stats_4"] = _partial_stats(4)
+ORACLE["partial_stats_sized"] = with_(LOGS, windowed(ONE_DAY), """lv AS (
+  SELECT site_id, stat_time, 'ip' AS level, ip_address AS key, count(*) AS n FROM w GROUP BY ALL
+  UNION ALL
+  SELECT site_id, stat_time, 'browser', user_agent, count(*) FROM w GROUP BY ALL),
+f AS (SELECT site_id, stat_time, CAST(ceil(count(*) / 4.0) AS INTEGER) AS fragments FROM lv GROUP BY site_id, stat_time),
+e AS (
+  SELECT lv.*, fragments, CAST(('0x' || substr(md5(key), 1, 8))::BIGINT % fragments AS INTEGER) AS fragment, 0 AS requests
+  FROM lv JOIN f USING (site_id, stat_time)
+  UNION ALL
+  SELECT site_id, stat_time, 'site', NULL, NULL, fragments, 0, count(*) FROM w JOIN f USING (site_id, stat_time) GROUP BY site_id, stat_time, fragments)""") + f"""SELECT site_id,
+  {stamp(ONE_DAY)}, fragment, fragments, CAST(sum(requests) AS BIGINT) AS requests,
+  coalesce(string_agg(key || '=' || n, ',' ORDER BY key) FILTER (WHERE level = 'ip'), '') AS ip,
+  coalesce(string_agg(key || '=' || n, ',' ORDER BY key) FILTER (WHERE level = 'browser'), '') AS browser
+FROM e GROUP BY site_id, stat_time, fragment, fragments"""
 ORACLE["partial_stats_whole"] = with_(LOGS, windowed(ONE_DAY), """h AS (
   SELECT site_id, stat_time, 'ip' AS level, ip_address AS key, count(*) AS n FROM w GROUP BY ALL
   UNION ALL SELECT site_id, stat_time, 'browser', user_agent, count(*) FROM w GROUP BY ALL)""") + f"""SELECT site_id, {stamp(ONE_DAY)},
@@ -95,6 +109,10 @@ FROM w
 GROUP BY GROUPING SETS ((site_id, stat_time), (site_id, stat_time, url),
                         (site_id, stat_time, ip_address), (site_id, stat_time, user_agent))"""
 
+_BOUNDARY = """FROM (
+  SELECT * REPLACE (CASE WHEN event_id % 60 = 0 THEN CAST(date_trunc('day', ts) AS TIMESTAMP)
+    WHEN event_id % 20 = 0 THEN make_timestamp(epoch_us(ts) // 300000000 * 300000000) ELSE ts END AS ts) FROM events)"""
+ORACLE["stats_days_from_minutes"] = ORACLE["stats_all_levels"].replace("FROM events", _BOUNDARY, 1)
 ORACLE["stats_all_levels_bucketed"] = ORACLE["stats_all_levels"]
 
 ORACLE["global_stats"] = with_(LOGS, windowed(FIVE_MINUTES)) + """SELECT site_id,
@@ -103,6 +121,9 @@ ORACLE["global_stats_url"] = with_(LOGS, windowed(FIVE_MINUTES)) + """SELECT sit
   CAST(count(*) AS BIGINT) AS requests FROM w GROUP BY site_id, url"""
 
 
+ORACLE["global_stats_levels"], ORACLE["global_stats_url_levels"] = ORACLE["global_stats"], ORACLE["global_stats_url"]
+
+
 def _calendar(stat):
     r_us = stat.range_ms * 1000
     return f"""cal AS (
@@ -210,6 +231,21 @@ ORACLE["ingest_outcomes"] = with_(LOGS, RAW) + """SELECT outcome, status, count(
 ORACLE["resolve_hits"] = with_(LOGS, RAW) + """SELECT hit_id, site_id, log_time, url, ip_address, user_agent, status
 FROM res WHERE status = 202"""
 ORACLE["unresolved_hits"] = with_(LOGS, RAW) + """SELECT hit_id, tracking_id, status FROM res WHERE status <> 202"""
+HISTORY = f"""intervals AS (
+  SELECT {uuid_from_text('CAST(s_suppkey AS VARCHAR)')} AS tracking_id, CAST(s_suppkey AS VARCHAR) AS site_id,
+    TIMESTAMP '2024-01-01' + to_days(CAST(s_suppkey % 10 AS INTEGER)) AS valid_from,
+    CASE WHEN s_suppkey % 3 = 0 THEN TIMESTAMP '2024-01-01' + to_days(CAST(s_suppkey % 10 + 10 AS INTEGER)) END AS valid_to
+  FROM supplier
+  UNION ALL
+  SELECT {uuid_from_text('CAST(s_suppkey AS VARCHAR)')}, 'new-' || s_suppkey, TIMESTAMP '2024-01-01' + to_days(CAST(s_suppkey % 10 + 15 AS INTEGER)), NULL
+  FROM supplier WHERE s_suppkey % 6 = 0)"""
+ORACLE["resolve_hits_as_of"] = with_(LOGS, RAW, HISTORY) + f"""SELECT hit_id, tracking_id, log_time, CASE WHEN holds THEN site_id END AS site_id,
+  CASE WHEN NOT valid THEN 400 WHEN holds THEN 202 ELSE 404 END AS status
+FROM (
+  SELECT d.hit_id, d.tracking_id, d.log_time, i.site_id, {is_uuid('d.tracking_id')} AS valid,
+    coalesce({is_uuid('d.tracking_id')} AND i.site_id IS NOT NULL AND (i.valid_to IS NULL OR d.log_time < i.valid_to + INTERVAL 60 MINUTE), false) AS holds
+  FROM (SELECT * FROM dec2 WHERE reason IS NULL) d
+  ASOF LEFT JOIN intervals i ON d.tracking_id = i.tracking_id AND d.log_time >= i.valid_from)"""
 ORACLE["dedupe_hits"] = with_(LOGS) + """SELECT DISTINCT * FROM (
   SELECT * FROM logs UNION ALL SELECT * FROM logs WHERE CAST(log_id AS BIGINT) % 10 = 0)"""
 

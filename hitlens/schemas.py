@@ -23,10 +23,12 @@ USERS_BY_CREDENTIALS = _s(("email", TEXT), ("user_id", TEXT))  # password never
 SITES_BY_ID = _s(("id", TEXT), ("domain", TEXT), ("user_id", TEXT), ("tracking_id", TEXT))
 SITES_BY_TRACKING_ID = _s(("tracking_id", TEXT), ("site_id", TEXT))
 SITES_BY_USERS = _s(("user_id", TEXT), ("site_id", TEXT))
+# The times that a tracking id belonged to a site; valid_to is null while it does.
+SITE_HISTORY = _s(("tracking_id", TEXT), ("site_id", TEXT), ("valid_from", TS), ("valid_to", TS))
 LOGS = _s(("site_id", TEXT), ("log_id", TEXT), ("log_time", TS), ("url", TEXT),
           ("ip_address", TEXT), ("user_agent", TEXT))
 PARTIAL_STATS = _s(("site_id", TEXT), ("year", INT), ("stat_time", TS), ("stat_type", TEXT),
-                   ("fragment", INT), ("ip", HISTOGRAM), ("browser", HISTOGRAM),
+                   ("fragment", INT), ("fragments", INT), ("ip", HISTOGRAM), ("browser", HISTOGRAM),
                    ("requests", BIGINT))
 PARTIAL_STATS_URL = _s(("site_id", TEXT), ("year", INT), ("stat_time", TS), ("stat_type", TEXT),
                        ("url", TEXT), ("requests", INT))
@@ -50,10 +52,6 @@ STATS_LEVELS = _s(("site_id", TEXT), ("year", INT), ("key", TEXT), ("requests",
                   ("level", TEXT), ("stat_type", TEXT), ("stat_date", DateType()), ("stat_time", TS))
 PARTIAL_STATS_STORED = StructType(PARTIAL_STATS.fields + [StructField("stat_date", DateType(), True)])
 LEDGER_STORED = StructType(STATS_REFERENCE.fields + [StructField("stat_date", DateType(), True)])
-# Totals by day of the base type, partitioned by (stat_type, stat_date).
-GLOBAL_STATS_DAILY = StructType(GLOBAL_STATS.fields + [StructField("stat_type", TEXT, True), StructField("stat_date", DateType(), True)])
-GLOBAL_STATS_URL_DAILY = StructType(GLOBAL_STATS_URL.fields + [StructField("stat_type", TEXT, True), StructField("stat_date", DateType(), True)])
-
 # Raw hit as posted: JSON body with three required fields.
 HIT_BODY = _s(("url", TEXT), ("ipAddress", TEXT), ("userAgent", TEXT))
 # A message stream as any broker source delivers it.

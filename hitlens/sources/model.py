@@ -18,6 +18,7 @@ from .tables import read_table
 # Fixed values of the fixture rules.
 USER_EPOCH = dt.datetime(2020, 1, 1)   # user n registered at USER_EPOCH + n minutes
 REQUEST_EPOCH = dt.datetime(2024, 2, 1)  # sign-up request n sent at REQUEST_EPOCH + n seconds
+HISTORY_EPOCH = dt.datetime(2024, 1, 1)  # the first tracking ids are registered
 UNKNOWN_NODE_OFFSET = 1_000_000_000    # node offset that yields ids nobody owns
 
 
@@ -88,6 +89,31 @@ def sites_by_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("s_suppkey").cast("string").alias("site_id"))
 
 
+def site_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validity intervals from ``supplier``: the tracking id of site n is
+    registered n % 10 days into 2024; every 3rd is removed 10 days later, and
+    every 6th of all belongs to a new site from 5 days after that on."""
+    sp = read_table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+
+    def day(n: Column) -> Column:
+        return ntz_lit(HISTORY_EPOCH) + F.make_dt_interval(n.cast("int"))
+
+    first = sp.select(uuid_from_text(k.cast("string")).alias("tracking_id"), k.cast("string").alias("site_id"),
+                      day(k % 10).alias("valid_from"), F.when(k % 3 == 0, day(k % 10 + 10)).alias("valid_to"))
+    again = sp.where(k % 6 == 0).select(uuid_from_text(k.cast("string")).alias("tracking_id"), F.concat(F.lit("new-"), k.cast("string")).alias("site_id"),
+                                        day(k % 10 + 15).alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"))
+    return first.unionByName(again)
+
+
+def boundary_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``logs`` with every 20th hit moved to the beginning of its five minutes
+    and every 60th to the beginning of its day."""
+    k, t = F.col("log_id").cast("bigint"), F.col("log_time")
+    moved = F.when(k % 60 == 0, F.date_trunc("day", t).cast("timestamp_ntz")).when(k % 20 == 0, F.window(t, "5 minutes")["start"]).otherwise(t)
+    return logs(spark, sf_dir).withColumn("log_time", moved)
+
+
 # ---------------------------------------------------------------- users
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:

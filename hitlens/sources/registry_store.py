@@ -18,6 +18,7 @@ is stored and what is returned come from that one copy, which stays in
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from dataclasses import dataclass
 from typing import Callable
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import status
-from ..functions.timeid import is_uuid, time_of_uuid
+from ..functions.timeid import is_uuid, ntz_from_ltz, ntz_lit, time_of_uuid
 from ..operators import registry as reg
 from ..session import staging
 from . import sinks
@@ -37,7 +38,8 @@ TABLES = {"users_by_id": (schemas.USERS_BY_ID, "id"),
           "users_by_credentials": (schemas.USERS_BY_CREDENTIALS, "email"),
           "sites_by_id": (schemas.SITES_BY_ID, "id"),
           "sites_by_tracking_id": (schemas.SITES_BY_TRACKING_ID, "tracking_id"),
-          "sites_by_users": (schemas.SITES_BY_USERS, "user_id")}
+          "sites_by_users": (schemas.SITES_BY_USERS, "user_id"),
+          "site_history": (schemas.SITE_HISTORY, "tracking_id")}
 # base table -> its access tables, as projections
 ACCESS = {"users_by_id": {"users_by_credentials": reg.users_by_credentials},
           "sites_by_id": {"sites_by_tracking_id": reg.sites_by_tracking_id, "sites_by_users": reg.sites_by_users}}
@@ -174,7 +176,9 @@ class RegistryStore:
         every request's outcome, with the created site."""
         def change(at, stage, keep):
             out = keep(reg.site_create_outcomes(requests, new_id, new_tracking))
-            return out, self._with_access("sites_by_id", None, out.where(F.col("status") == status.OK).select(*schemas.SITES_BY_ID.names))
+            new = out.where(F.col("status") == status.OK)
+            begun = new.select("tracking_id", F.col("id").alias("site_id"), F.col("created_date").alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"))
+            return out, self._with_access("sites_by_id", None, new.select(*schemas.SITES_BY_ID.names)) | {"site_history": (None, begun)}
 
         return self._apply(change)
 
@@ -192,13 +196,21 @@ class RegistryStore:
 
         return self._apply(change)
 
-    def delete(self, name: str, deletes: DataFrame, broadcast: bool = False) -> DataFrame:
+    def delete(self, name: str, deletes: DataFrame, broadcast: bool = False, when: dt.datetime | None = None) -> DataFrame:
         """Delete-if-present from the base and its access tables; returns
-        every request's outcome."""
+        every request's outcome. A deleted site's tracking id was valid until
+        ``when`` (UTC, now by default): ``site_history`` keeps that."""
+        ended = ntz_lit(when) if when else ntz_from_ltz(F.current_timestamp())
+
         def change(at, stage, keep):
             rows = stage(self.rows_of(name, deletes.where(is_uuid(F.col("id"))), at=at), "rows")
             _, outcomes = reg.apply_deletes(rows, deletes, broadcast=broadcast)
             gone = stage(rows.join(deletes.select("id").distinct(), "id", "left_semi"), "gone")
-            return keep(outcomes), self._with_access(name, gone, None)
+            changes = self._with_access(name, gone, None)
+            if name == "sites_by_id":
+                valid = self.rows_of("site_history", gone, "tracking_id", at).where("valid_to IS NULL")
+                valid = stage(valid.join(gone.select("tracking_id", F.col("id").alias("site_id")), ["tracking_id", "site_id"], "left_semi"), "valid")
+                changes["site_history"] = (valid, valid.withColumn("valid_to", ended))
+            return keep(outcomes), changes
 
         return self._apply(change)

@@ -67,6 +67,15 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
+def children(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """What the folders below ``path`` are named after a prefix."""
+    fs, target = _file_system(spark, path)
+    if not fs.exists(target):
+        return []
+    names = (unquote(x.getPath().getName()) for x in fs.listStatus(target))
+    return sorted(x.removeprefix(prefix) for x in names if x.startswith(prefix))
+
+
 def read_days(spark: SparkSession, path: str, schema, stat_type: str, days) -> DataFrame | None:
     """The day partitions of one stat type. Only their folders are listed, so
     a tick's read does not grow with the history."""

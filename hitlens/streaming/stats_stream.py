@@ -19,9 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.timeid import ltz_from_ntz, ntz_from_ltz, ntz_lit
+from ..functions.timeid import ltz_from_ntz, ntz_from_ltz
 from ..functions.windows import FIVE_MINUTES, StatDefinition
-from ..operators import stats as st
 from ..session import staging
 
 
@@ -44,10 +43,10 @@ def level_counts(hits: DataFrame, stat: StatDefinition, watermark: str) -> DataF
 
 
 def write_levels_batch(levels: DataFrame, stat: StatDefinition, root: str,
-                       fragments: int = st.FRAGMENTS,
+                       fragments: int | None = None,
                        base_type: str = FIVE_MINUTES.stat_type) -> None:
     """Write one micro-batch of finished windows with the batch job's
-    writers: partials, totals by day (for the base type), ledger last.
+    writers: partials, ledger last.
 
     Windows are emitted in order, so a window without hits before the last
     one emitted will never come: it gets its ledger row (0) here, as in the
@@ -56,6 +55,7 @@ def write_levels_batch(levels: DataFrame, stat: StatDefinition, root: str,
     from ..plans import stats_job as job
 
     spark, store = levels.sparkSession, job.StatsStore(root)
+    store.record_base(spark, base_type)
     with staging(spark) as stage:
         levels = stage(levels, "levels")
         counts = (levels.where(F.col("level") == "site").groupBy("stat_time")
@@ -63,12 +63,8 @@ def write_levels_batch(levels: DataFrame, stat: StatDefinition, root: str,
         first, last = counts.agg(F.min("stat_time"), F.max("stat_time")).first()
         if last is None:
             return
-        # from the last window that the ledger has
-        known = store.read(spark, "stats_reference")
-        if known is not None:
-            newest = known.where((F.col("stat_type") == stat.stat_type) & (F.col("stat_time") < ntz_lit(first))) \
-                .agg(F.max("stat_time")).first()[0]
-            first = first if newest is None else newest + dt.timedelta(milliseconds=stat.range_ms)
+        newest = job.newest_window(spark, store, stat, first)  # from the last window that the ledger has
+        first = first if newest is None else newest + dt.timedelta(milliseconds=stat.range_ms)
         days = job.days_between(first, last)
         due = job._calendar(spark, stat, first, last)
         done = job.done_windows(spark, store, stat, days)
@@ -77,15 +73,13 @@ def write_levels_batch(levels: DataFrame, stat: StatDefinition, root: str,
             due = due.join(done.join(emitted, "stat_time", "left_anti"), ["stat_type", "stat_time"], "left_anti")
         ledger = stage(due.join(counts, "stat_time", "left")
                        .select("stat_type", "stat_time", F.coalesce("n", F.lit(0)).alias("affected_records")), "counts")
-        job.write_window_outputs(levels, stat, store, fragments)
-        if stat.stat_type == base_type:
-            job.write_daily(spark, store, stat, days)
+        job.write_windows(spark, levels, ledger, stat, store, days, fragments)
         job.write_ledger(spark, store, stat, ledger, days)
 
 
 def start_stats_stream(hits: DataFrame, stat: StatDefinition, root: str, checkpoint: str,
                        watermark: str = "10 minutes", trigger: dict | None = None,
-                       fragments: int = st.FRAGMENTS,
+                       fragments: int | None = None,
                        base_type: str = FIVE_MINUTES.stat_type) -> StreamingQuery:
     """Start the streaming statistics query over a streaming ``logs`` frame."""
     counts = level_counts(hits, stat, watermark)
