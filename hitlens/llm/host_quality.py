@@ -1,13 +1,20 @@
 """Quality rules with host verdicts.
 
-Each document is measured on its whole text and tested by four rules. Failures are summed by host, each
-host's failure rate is shrunk towards the corpus by a beta prior fitted to the hosts (moments), and a host
-whose shrunk rate exceeds `max_rate` for a rule is rejected. Its documents go with it; the verdict is joined
-back. Per-host counts combine map-side, so a host with a third of all rows is one row per task.
+Each document is measured on its whole text and tested by four rules, each a share that must not pass a limit. Failures are
+summed by host, and each host's failure rate is shrunk towards the corpus by a beta prior fitted to the hosts: the intraclass correlation
+of the one-way analysis of variance, which takes the sampling noise of small hosts off, gives the prior's weight. Hosts
+that differ by noise alone are all put at the corpus rate.
 
-Edge cases: a null or empty text has no words and fails the base rule; a null host is a host of its own;
+The host's verdict is a tighter limit: at a host whose shrunk rate for a rule is above the corpus rate, the limit falls
+by the square root of their quotient, down to `LEAST_CUT` of itself. It is joined back to the documents, so a document that fails a rule goes wherever it
+comes from, one that comes near to failing goes at a bad host, and a clean one stays at any host.
+
+Scale: texts are walked once; their measures are staged beside them. Per-host counts combine map-side, so a host with a third of all
+rows is one row per task. Only documents within reach of a tighter limit meet the hosts; the others are not shuffled.
+
+Edge cases: a null or empty text has no words and fails the base rules; a null host is a host of its own;
 repeated rows are measured and counted each; an empty table gives an empty result; other columns are kept
-untouched (the operator's own columns live in one struct, `quality`, whose name can be changed).
+untouched, whatever their names (the operator's own columns live in one struct, `quality`, whose name can be changed).
 """
 
 from __future__ import annotations
@@ -18,14 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import join_small, stage
+from .store import stage
 from .text import texts
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 RULES = ("short", "repetition", "symbols", "dup_lines")
-#: Failure rate above which a host is rejected, and the prior's weight in documents when the hosts' rates
-#: show no spread (one host, or all alike).
-MAX_RATE, DEFAULT_WEIGHT, MAX_WEIGHT = 0.6, 50.0, 1e6
+#: Thousandths of a rule's limit that are left at the worst hosts, and bounds of the prior's weight in documents.
+LEAST_CUT, LEAST_WEIGHT, MAX_WEIGHT = 700, 1.0, 1e6
 
 
 def measure(text: str) -> tuple[int, int, int, int, int, int]:
@@ -60,67 +66,79 @@ def measures(text: Column) -> Column:
     return F.arrow_udf(_measure_batch, kind)(text)
 
 
-def rule(name: str, m: Column) -> Column:
-    """Whether a document with measures m fails the rule."""
+def share(name: str, m: Column) -> tuple[Column, Column]:
+    """(a, b): a document with measures m fails the rule where a > b."""
     return {
-        "short": m["n_words"] < 50,
-        "repetition": 100 * m["n_repeat_words"] > 50 * m["n_words"],
-        "symbols": 5 * m["n_symbols"] > m["word_chars"],
-        "dup_lines": 2 * m["n_dup_lines"] > m["n_lines"],
+        "short": (F.lit(50), m["n_words"]),
+        "repetition": (100 * m["n_repeat_words"], 50 * m["n_words"]),
+        "symbols": (20 * m["n_symbols"], m["word_chars"]),
+        "dup_lines": (2 * m["n_dup_lines"], m["n_lines"]),
     }[name]
 
 
+def rule(name: str, m: Column, cut: Column | int = 1000) -> Column:
+    """Whether a document with measures m fails the rule at so many thousandths of its limit."""
+    a, b = share(name, m)
+    return 1000 * a > cut * b
+
+
 def base_failed(m: Column) -> Column:
     return rule("short", m) | rule("repetition", m)
 
 
-def host_verdicts(measured: DataFrame, host: str, m: str, max_rate: float = MAX_RATE) -> DataFrame:
-    """One row per host and rule: host, rule, n_docs, n_failed, rate (shrunk), rejected."""
+def host_verdicts(measured: DataFrame, host: str, m: str) -> DataFrame:
+    """One row per host and rule: host, rule, n_docs, n_failed, rate (shrunk), cut (thousandths of the rule's limit)."""
     by_host = measured.groupBy(F.col(host).alias("host")).agg(
         F.count(F.lit(1)).alias("n_docs"), *(F.sum(rule(r, F.col(m)).cast("long")).alias(r) for r in RULES)
     )
     long = by_host.select(
         "host", "n_docs", F.explode(F.map_from_arrays(F.array(*map(F.lit, RULES)), F.array(*RULES))).alias("rule", "n_failed")
     )
-    rate = F.col("n_failed") / F.col("n_docs")
-    # Moments of the hosts' rates, each host once: mean p, variance v, weight p (1 - p) / v - 1.
-    p, v = F.col("p"), F.col("v")
-    prior = (
-        long.groupBy("rule")
-        .agg(F.avg(rate).alias("p"), F.var_pop(rate).alias("v"))
-        .select(
-            F.col("rule"),
-            p.alias("prior_rate"),
-            F.when(v > 0, F.least(F.lit(MAX_WEIGHT), F.greatest(F.lit(1.0), p * (1 - p) / v - 1)))
-            .otherwise(DEFAULT_WEIGHT)
-            .alias("prior_weight"),
-        )
-    )
-    shrunk = (F.col("n_failed") + F.col("prior_rate") * F.col("prior_weight")) / (F.col("n_docs") + F.col("prior_weight"))
+    n, f = F.col("n_docs").cast("double"), F.col("n_failed").cast("double")
+    sums = long.groupBy("rule").agg(F.sum(n).alias("n"), F.sum(f).alias("f"), F.sum(f * f / n).alias("q"), F.sum(n * n).alias("n2"), F.count(F.lit(1)).cast("double").alias("k"))
+    # Mean squares between and within hosts, and the hosts' mean size as the analysis of variance weighs it.
+    between = "((q - f * f / n) / (k - 1))"
+    within, size = "((f - q) / (n - k))", "((n - n2 / n) / (k - 1))"
+    weight = f"""CASE WHEN k > 1 AND n > k THEN CASE WHEN {between} > {within}
+        THEN least({MAX_WEIGHT}D, greatest({LEAST_WEIGHT}D, ({between} + ({size} - 1) * {within}) / ({between} - {within}) - 1)) ELSE {MAX_WEIGHT}D END ELSE {MAX_WEIGHT}D END"""
+    prior = sums.select("rule", F.expr("f / n").alias("prior_rate"), F.expr(weight).alias("prior_weight"))
+    shrunk = (f + F.col("prior_rate") * F.col("prior_weight")) / (n + F.col("prior_weight"))
+    cut = F.when(F.col("rate") > F.col("prior_rate"), F.greatest(F.lit(LEAST_CUT), F.floor(1000 * F.sqrt(F.col("prior_rate") / F.col("rate")) + 0.5).cast("int"))).otherwise(1000)
     return (
         long.join(F.broadcast(prior), "rule")  # one row per rule
         .withColumn("rate", shrunk)
-        .select("host", "rule", "n_docs", "n_failed", "rate", (F.col("rate") > max_rate).alias("rejected"))
+        .select("host", "rule", "n_docs", "n_failed", "rate", cut.alias("cut"))
     )
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", quality: str = "quality", max_rate: float = MAX_RATE) -> DataFrame:
-    """docs and a struct column `quality`: the measures, base_failed, host_rejected and kept."""
-    raw, flag = f"{quality}__measures", f"{quality}__host"
+def judge(docs: DataFrame, text: str = "text", host: str = "source", quality: str = "quality", drop_text: bool = False) -> DataFrame:
+    """docs (without their texts, if asked) and a struct column `quality`: the measures, base_failed and kept."""
+    taken = {c.lower() for c in docs.columns}
+    raw, key, cuts = "measures", "host_key", "host_cuts"
+    while taken & {raw, key, cuts}:
+        raw, key, cuts = raw + "_", key + "_", cuts + "_"
     measured = docs.withColumn(raw, measures(F.col(text)))
-    verdicts = host_verdicts(measured, host, raw, max_rate)
-    rejected = stage(verdicts.filter("rejected").select(F.col("host").alias(flag)).distinct(), "hosts")
-    marked = join_small(
-        measured,
-        rejected.select(F.struct(flag).alias(flag)),
-        F.struct(F.col(host).alias(flag)).eqNullSafe(F.col(flag)),
-        "left",
-    )
-    failed, out = base_failed(F.col(raw)), F.col(flag).isNotNull()
-    fields = [F.col(raw)[m].alias(m) for m in MEASURES]
-    return marked.withColumn(
-        quality, F.struct(*fields, failed.alias("base_failed"), out.alias("host_rejected"), (~failed & ~out).alias("kept"))
-    ).drop(raw, flag)
+    measured = stage(measured.drop(text) if drop_text else measured, "measured")
+    tighter = host_verdicts(measured, host, raw).filter("cut < 1000")
+    tighter = tighter.groupBy(F.struct("host").alias(key)).pivot("rule", list(RULES)).agg(F.first("cut"))
+    tighter = tighter.select(key, F.struct(*(F.coalesce(F.col(r), F.lit(1000)).alias(r) for r in RULES)).alias(cuts))
+    m = F.col(raw)
+    base = base_failed(m)
+
+    def verdict(frame: DataFrame, cut) -> DataFrame:
+        failed = base
+        for r in RULES:
+            failed = failed | rule(r, m, cut(r))
+        fields = [m[x].alias(x) for x in MEASURES]
+        return frame.withColumn(quality, F.struct(*fields, base.alias("base_failed"), (~failed).alias("kept"))).drop(raw, key, cuts)
+
+    # A host changes the verdict of documents that pass every rule and would fail one at the least cut.
+    failed, near = F.lit(False), F.lit(False)
+    for r in RULES:
+        failed, near = failed | rule(r, m), near | rule(r, m, LEAST_CUT)
+    open_ = near & ~failed
+    met = measured.filter(open_).join(tighter, F.struct(F.col(host).alias("host")).eqNullSafe(F.col(key)), "left")
+    return verdict(measured.filter(~open_), lambda r: F.lit(1000)).unionByName(verdict(met, lambda r: F.coalesce(F.col(cuts)[r], F.lit(1000))))
 
 
 def keep(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
@@ -134,13 +152,12 @@ def keep(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame
 def oracle() -> str:
     """The query's result as DuckDB SQL."""
     word = r"[^\x20\x09-\x0D]+"
-    rules = {
-        "short": "n_words < 50",
-        "repetition": "100 * n_repeat_words > 50 * n_words",
-        "symbols": "5 * n_symbols > word_chars",
-        "dup_lines": "2 * n_dup_lines > n_lines",
-    }
-    rates = " union all ".join(f"select source, '{r}' as rule, count(*) as n, count(*) filter ({test}) as f from m group by source" for r, test in rules.items())
+    shares = {"short": ("50", "n_words"), "repetition": ("100 * n_repeat_words", "50 * n_words"), "symbols": ("20 * n_symbols", "word_chars"), "dup_lines": ("2 * n_dup_lines", "n_lines")}
+    rates = " union all ".join(f"select source, '{r}' as rule, cast(count(*) as double) as n, cast(count(*) filter ({a} > {b}) as double) as f from m group by source" for r, (a, b) in shares.items())
+    base = " or ".join(f"{a} > {b}" for a, b in (shares["short"], shares["repetition"]))
+    fails = " or ".join(f"1000 * {a} > coalesce(cut_{r}, 1000) * {b}" for r, (a, b) in shares.items())
+    cuts = ", ".join(f"max(cut) filter (rule = '{r}') as cut_{r}" for r in shares)
+    between, within, size = "((q - f * f / n) / (k - 1))", "((f - q) / (n - k))", "((n - n2 / n) / (k - 1))"
     return f"""
     with d as (select doc_id, source, coalesce(text, '') as t from documents),
     w as (select doc_id, source, t, regexp_extract_all(t, '{word}') as ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')) as ls from d),
@@ -151,9 +168,11 @@ def oracle() -> str:
         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols, len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(n, 0) as n_repeat_words, len(ls) as n_lines
         from w left join covered using (doc_id)),
     r as ({rates}),
-    prior as (select rule, avg(f / n) as p, var_pop(f / n) as v from r group by rule),
-    weight as (select rule, p, case when v > 0 then least({MAX_WEIGHT}, greatest(1.0, p * (1 - p) / v - 1)) else {DEFAULT_WEIGHT} end as k from prior),
-    bad as (select distinct source, true as bad from r join weight using (rule) where (f + p * k) / (n + k) > {MAX_RATE})
-    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({rules['short']} or {rules['repetition']}) as base_failed,
-        not ({rules['short']} or {rules['repetition']}) and bad is null as kept
-    from m left join bad on m.source is not distinct from bad.source"""
+    sums as (select rule, sum(n) as n, sum(f) as f, sum(f * f / n) as q, sum(n * n) as n2, cast(count(*) as double) as k from r group by rule),
+    prior as (select rule, f / n as p, case when k > 1 and n > k then case when {between} > {within}
+        then least({MAX_WEIGHT}, greatest({LEAST_WEIGHT}, ({between} + ({size} - 1) * {within}) / ({between} - {within}) - 1)) else {MAX_WEIGHT} end else {MAX_WEIGHT} end as weight from sums),
+    rate as (select source, rule, p, (f + p * weight) / (n + weight) as rate from r join prior using (rule)),
+    cut as (select source, rule, case when rate > p then greatest({LEAST_CUT}, cast(floor(1000 * sqrt(p / rate) + 0.5) as integer)) else 1000 end as cut from rate),
+    host as (select source, {cuts} from cut group by source)
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({base}) as base_failed, not ({base} or {fails}) as kept
+    from m left join host on m.source is not distinct from host.source"""

@@ -55,7 +55,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "source")
     fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return host_quality.judge(docs).select("doc_id", *(F.col(f"quality.{x}").alias(x) for x in fields))
+    return host_quality.judge(docs, drop_text=True).select("doc_id", *(F.col(f"quality.{x}").alias(x) for x in fields))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
