@@ -1,9 +1,12 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are used: one trained on ordinary texts, and a list of the words that set toxic texts apart (that
-stand in significantly more contexts of toxic texts than of ordinary ones; contexts are counted once, so copies add
-nothing). The list stands in for a dictionary trained on toxic texts, which gave worse results (figures: README). A
-text is scored in overlapping windows: the bytes a window needs with the ordinary dictionary alone, less those it needs
+Two zstandard dictionaries are trained. The ordinary one is trained on windows of ordinary texts. The toxic one is trained on
+*residual* windows of toxic texts: those that a dictionary trained on the toxic texts of the other folds shortens by `RESIDUAL` bytes more
+than one trained, alike and at the same size, on as many windows of ordinary texts. So what both kinds of text share, and what a single
+text says, stays out. Between words stands a mark of three bytes instead of white space, so that a match that begins or ends with a word
+is worth more than one inside words.
+
+A text is scored in overlapping windows: the bytes a window needs with the ordinary dictionary alone, less those it needs
 when the toxic one is there too. A logistic curve over the windows' largest savings, their mean and the share of large
 ones gives the score; its coefficients and the threshold that becomes 0.5 (best F1) come from labelled texts, each measured
 with dictionaries that it did not train (cross-fitting).
@@ -23,7 +26,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +38,12 @@ from .text import texts, worker_cache
 SAMPLE, SAMPLE_CHARS, FOLDS = 2_000, 20_000, 3
 #: A longer text trains dictionaries by so many stretches of SAMPLE_CHARS together.
 STRETCHES = 10
-WINDOW, STRIDE, LEVEL = 40, 20, 9
-ORDINARY_BYTES, TOXIC_BYTES = 65_536, 4_096
-#: A word is toxic evidence from this many standard errors and times the ordinary rate on.
-SIGNIFICANT, RATIO = 3.0, 3.0
-_EDGE = b".,;:!?\"'()*#$%&|"
+WINDOW, STRIDE, LEVEL = 56, 28, 9
+MARK = b"   "
+#: Bytes of the dictionaries: ordinary, of the two that are compared for residual windows, toxic (its best segments, at its end).
+ORDINARY_BYTES, COMPARED_BYTES, TOXIC_BYTES = 65_536, 16_384, 2_048
+#: Bytes of a training window, at least, from each word on, and bytes more that make it residual.
+TRAINED, RESIDUAL = 28, 4
 
 
 def held_out(id: Column) -> Column:
@@ -48,41 +51,62 @@ def held_out(id: Column) -> Column:
     return F.coalesce(F.crc32(id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def marked(text: str) -> bytes:
+    """The text's words in lower case, a mark before, after and between them."""
+    return MARK + MARK.join(text.encode().lower().split()) + MARK
+
+
 def windows(raw: bytes) -> list[bytes]:
     return [raw[i : i + WINDOW] for i in range(0, max(1, len(raw) - WINDOW + STRIDE), STRIDE)]
 
 
-def _words(raw: bytes) -> list[bytes]:
-    return [w for w in (x.strip(_EDGE) for x in raw.split()) if w]
+def word_windows(raw: bytes) -> list[bytes]:
+    """From each word on, words until TRAINED bytes are reached, marks included; of a last long word its beginning."""
+    words, out = raw.split(), []
+    for i in range(len(words)):
+        window, j = MARK + words[i], i + 1
+        while len(window) < TRAINED and j < len(words):
+            window, j = window + MARK + words[j], j + 1
+        out.append(window[: TRAINED + 12] + MARK)
+    return out
 
 
-def _content(samples: list[bytes], size: int) -> bytes:
+def _trained(samples: list[bytes], size: int, k: int, d: int) -> bytes:
     """The content of a dictionary trained on samples; of too few for training, the samples themselves."""
     import zstandard
 
-    whole = b"".join(samples)
-    if len(whole) > 8 * size:
-        try:
-            trained = zstandard.train_dictionary(size, samples, k=48, d=8).as_bytes()
-            return trained[max(0, len(trained) - size * 15 // 16) :]  # without the header and its entropy tables
-        except zstandard.ZstdError:
-            pass
-    return whole[-size:]
+    try:
+        trained = zstandard.train_dictionary(size, samples, k=k, d=d).as_bytes()
+        return trained[max(0, len(trained) - size * 15 // 16) :]  # without the header and its entropy tables
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(samples)[-size:]
+
+
+def _compressor(content: bytes):
+    import zstandard
+
+    dictionary = zstandard.ZstdCompressionDict(b"\0" * 8 + content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)  # it needs eight bytes
+    dictionary.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+
+def residual(toxic: list[bytes], plain: list[bytes], ordinary: bytes) -> list[bytes]:
+    """The distinct windows of toxic texts that those of other folds explain better than ordinary texts do."""
+    sides = [[sorted({w for i, raw in enumerate(many) if i % FOLDS == k for w in word_windows(raw)}) for k in range(FOLDS)] for many in (toxic, plain)]
+    out = []
+    for k in range(FOLDS):
+        others = [w for j in range(FOLDS) if j != k for w in sides[0][j]]
+        against = sorted((w for j in range(FOLDS) if j != k for w in sides[1][j]), key=zlib.crc32)[: len(others)]
+        with_toxic, with_plain = (_compressor(_trained(x, COMPARED_BYTES, 16, 8) + ordinary).compress for x in (others, against))
+        out += [w for w in sides[0][k] if len(with_plain(w)) - len(with_toxic(w)) >= RESIDUAL]
+    return out
 
 
 class Distance:
     """The two dictionaries, ready to compress windows."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
-        import zstandard
-
-        def compressor(content: bytes):
-            dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            dictionary.precompute_compress(level=LEVEL)
-            return zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False)
-
-        pad = b"\0" * 8  # a dictionary needs eight bytes
-        self.ordinary, self.both = compressor(pad + ordinary), compressor(pad + toxic + ordinary)
+        self.ordinary, self.both = _compressor(ordinary), _compressor(toxic + ordinary)
 
     def savings(self, raw: bytes) -> np.ndarray:
         parts = windows(raw)
@@ -90,29 +114,10 @@ class Distance:
         return np.array([len(own(x)) - len(other(x)) for x in parts], float)
 
     def features(self, text: str) -> list[float]:
-        saved = np.sort(self.savings(text.encode().lower()))[::-1]
+        saved = np.sort(self.savings(marked(text)))[::-1]
         return [1.0, saved[0], saved[:3].mean(), saved.mean(), (saved >= 3).mean(), math.log(len(saved))]
 
 
-def _evidence(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """The words that set toxic texts apart, with the text's spaces around them, strongest last."""
-    sides = []
-    for many in (toxic, ordinary):
-        pairs = set()
-        for raw in many:
-            words = _words(raw)
-            pairs.update(zip([b"", *words], words))
-        sides.append((Counter(w for _, w in pairs), len(pairs)))
-    (a, n), (b, m) = sides
-
-    def strength(word: bytes) -> float:
-        x, y = a[word] + 0.5, b[word] + 0.5
-        return math.log(x / (n - x + 1) / (y / (m - y + 1))) / math.sqrt(1 / x + 1 / y)
-
-    found = [(strength(w), w) for w, k in a.items() if k * m > RATIO * b[w] * n]
-    return [b" " + w + b" " for s, w in sorted(found) if s > SIGNIFICANT]
-
-
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Coefficients by Newton's method with a small ridge, of rows that count `weight` times."""
     w = np.zeros(x.shape[1])
@@ -194,11 +199,10 @@ def _features(text: Column, fold: Column, folds: list[tuple[bytes, bytes]]) -> C
 
 
 def _dictionaries(ordinary: list[str], toxic: list[str]) -> tuple[bytes, bytes]:
-    """Contents of the ordinary dictionary, from windows of every text, and of the toxic one."""
-    plain, strong = ([t.encode().lower() for t in x] for x in (ordinary, toxic))
-    parts = [windows(raw)[::2] for raw in plain]
-    every = max(1, sum(map(len, parts)) * WINDOW // (100 * ORDINARY_BYTES))  # at most about a hundred times the dictionary
-    return _content([x for p in parts for x in p[::every]], ORDINARY_BYTES), _content(_evidence(strong, plain), TOXIC_BYTES)
+    """Contents of the dictionaries trained on ordinary windows and on residual toxic ones."""
+    plain, strong = ([marked(t) for t in x] for x in (ordinary, toxic))
+    own = _trained([x for raw in plain for x in windows(raw)[::2]], ORDINARY_BYTES, 48, 8)  # every second window: they overlap by half
+    return own, _trained(residual(strong, plain, own), 2 * TOXIC_BYTES, 8, 8)[-TOXIC_BYTES:]
 
 
 def score(text: Column, model: dict) -> Column:

@@ -74,3 +74,35 @@ def test_long_texts_are_drawn_and_measured_whole(spark, monkeypatch):
     assert docs.filter(F.length("text") <= toxicity.SAMPLE_CHARS).count() == 0
     assert toxicity.fit(docs, labels, sample=6)["weights"]
     assert len(seen[0]) == 12 and seen[0][:, -1].min() > np.log(toxicity.SAMPLE_CHARS / toxicity.STRIDE)
+
+
+def test_score_against_its_definition(spark):
+    """Every window of every text compressed alone with each dictionary, and the curve over the savings."""
+    import zstandard
+
+    docs, labels = _labelled(spark)
+    model = toxicity.fit(docs, labels)
+    assert model["toxic"] and b"moron" in model["toxic"] and len(model["ordinary"]) > 1000
+
+    def size(window, content):
+        d = zstandard.ZstdCompressionDict(b"\0" * 8 + content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=9, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(window))
+
+    for r in docs.select("text", toxicity.score(F.col("text"), model).alias("score")).limit(30).collect():
+        raw = b"   " + b"   ".join(r.text.lower().encode().split()) + b"   "
+        cuts = [raw[i : i + 56] for i in range(0, max(1, len(raw) - 28), 28)]
+        saved = sorted((size(w, model["ordinary"]) - size(w, model["toxic"] + model["ordinary"]) for w in cuts), reverse=True)
+        x = [1, saved[0], np.mean(saved[:3]), np.mean(saved), np.mean([s >= 3 for s in saved]), np.log(len(saved))]
+        assert np.isclose(r.score, 1 / (1 + np.exp(-np.dot(x, model["weights"]))), atol=1e-9)
+
+
+def test_residual_windows_are_what_toxic_texts_share_alone():
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefghijklm"), 6))
+    vocabulary = [word() for _ in range(300)]
+    texts = [" ".join(rng.choice(vocabulary, 60)) for _ in range(240)]
+    toxic = [t.replace(" ", " zyxwvu ", 2) + " " + word() for t in texts[:60]]
+    plain = [toxicity.marked(t) for t in texts[60:]]
+    own = toxicity._trained([w for raw in plain for w in toxicity.windows(raw)], 16_384, 48, 8)
+    found = toxicity.residual([toxicity.marked(t) for t in toxic], plain, own)
+    assert len(found) > 50 and np.mean([b"zyxwvu" in w for w in found]) > 0.6
