@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, credentials, decontaminate, hard_negatives, host_quality, language_id, license_scan, packing, periodic_runs, scaled_sketch, simhash_dedup, suffix_dedup, toxicity
+from .store import stage
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,9 +48,13 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    found = docs.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), language_id.predict(F.col("text"), language_id.fit(docs)).alias("p"))
-    return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"), F.col("p.accepted").alias("accepted"))
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", language_id.held_out(F.col("doc_id")).alias("held_out"))
+    model = language_id.fit(docs)
+    scored = stage(language_id.predict(docs, model).drop("text"), "scored")
+    model = language_id.calibrate(scored, "lang", ~F.col("held_out"), model)
+    p = F.col("language")
+    accepted = F.coalesce(p["entropy"].isNotNull() & language_id.accepted(p["lang"], p["entropy"], model), F.lit(False))
+    return scored.select("doc_id", "held_out", p["lang"].alias("lang_pred"), p["score"].alias("score"), accepted.alias("accepted"))
 
 
 def op6_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
