@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the
 columns of documents. run() writes each stage's rows to the shared folder and reads them again, so a lost executor never
-costs more than the stage at hand.
+costs more than the stage at hand. What a stage has staged for itself, and the rows it has read, are removed behind it.
 
 Nulls: a null or blank text fails the quality rules and goes there; a null source is a host of its own; a null id
 sorts last. An empty table gives an empty result. Other columns are kept as they are.
@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitlens.llm import credentials, host_quality, packing, simhash_dedup, suffix_dedup
-from hitlens.llm.store import stage
+from hitlens.llm.store import outlast, scope, unstage
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and whose host passes."""
+    """Documents that pass all rules, at the limits of their hosts."""
     return host_quality.keep(docs)
 
 
@@ -60,5 +60,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name)
+        with scope(spark):
+            kept = outlast(step(spark, docs, sf_dir), name)
+        if name != STAGES[0][0]:
+            unstage(docs)  # what this stage has read
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)

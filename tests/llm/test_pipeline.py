@@ -1,8 +1,11 @@
+import os
+
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from hitlens.llm import host_quality, suffix_dedup  # noqa: E402
+from hitlens.llm.store import shared_folder, stage  # noqa: E402
 
 from .helpers import SF001, empty, frame, rows_of  # noqa: E402
 from .test_credentials import plain as spans_of  # noqa: E402
@@ -15,7 +18,7 @@ from .test_suffix_dedup import repeated_words  # noqa: E402
 def steps(spark, docs):
     out = [docs]
     for name, step in corpus_pipeline.STAGES:
-        out.append(corpus_pipeline.stage(step(spark, out[-1], SF001), name))
+        out.append(stage(step(spark, out[-1], SF001), name))
     return out
 
 
@@ -41,7 +44,10 @@ def test_stages_against_plain_python(spark):
     lengths = {r.doc_id: (r.n_chars, len(r.text)) for r in masked.collect() if r.text != texts[0][r.doc_id]}
     assert lengths and all(a == b for a, b in lengths.values())
     check_packing(packed.collect(), [(i, t) for i, t in texts[4].items()], 0.001)
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
     got = corpus_pipeline.run(spark, SF001)
+    assert [x.split("-")[0] for x in set(os.listdir(folder)) - before] == ["secrets"]  # what packing reads
     assert sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in got.collect()) == sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in packed.collect())
 
 
