@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_texts import FULL_TEXTS
 from .store import join_small, stage
 
 WINDOW, STRIDE, BANDS, SHINGLE_WORDS, CONTAINED = 8, 4, 12, 5, 0.8
@@ -40,7 +41,7 @@ TEMPLATES = (
     ("MIT", "Released under the MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-)
+) + FULL_TEXTS
 
 
 def miss_probability(similarity: float, bands: int = BANDS) -> float:
@@ -110,20 +111,22 @@ def scan(docs: DataFrame, templates: DataFrame, id: str = "doc_id", text: str =
     rows = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("mark"), words(F.col(text)).alias("words"))
     found = _bands(rows.select("id", "mark", _pairs(F.col("words")).alias("pairs")), STRIDE, shared if len(shared) <= MAX_PAIRS else None, SHARED, lone)
     hits = join_small(found, wanted, ["band", "value"], "inner").select("id", "mark", "template", "at", "part")
-    hits = join_small(hits, known.select("template", own.alias("own")), "template", "inner", F.size("own"))
+    hits = join_small(hits, known.select("template", "length", own.alias("own")), "template", "inner", F.size("own"))
     enough = F.size(F.filter("part", lambda h: F.array_contains("own", h))) >= F.least(F.lit(SHARED), F.size("own"))
-    hits = hits.filter(enough).select("id", "mark", "template", "at").distinct()
+    hits = hits.filter(enough).select("id", "mark", "template", "length", "at").distinct()
     by_doc = stage(
-        hits.groupBy("id", "mark").agg(F.collect_list(F.struct("template", "at")).alias("hits")).select(F.col("id").alias("id_"), F.col("mark").alias("mark_"), "hits"), "hits"
+        hits.groupBy("id", "mark").agg(F.collect_list(F.struct("template", "length", "at")).alias("hits")).select(F.col("id").alias("id_"), F.col("mark").alias("mark_"), "hits"), "hits"
     )
     # Back to the texts, for the exact check.
     texts = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
     same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("mark") == F.col("mark_"))
     back = join_small(texts, by_doc, same, "inner", F.size("hits")).dropDuplicates(["id", "mark"])
-    back = back.select("id", "mark", words(F.col("text")).alias("words"), F.explode("hits").alias("hit")).select("id", "mark", "words", "hit.template", "hit.at")
-    near = join_small(back, known.select("template", "license", "length", "shingles"), "template", "inner", F.size("shingles"))
-    low = F.greatest(F.col("at") - F.col("length"), F.lit(0))
-    around = F.slice("words", low + 1, F.col("at") + WINDOW + F.col("length") - low)
+    # Of each hit the words around it alone, cut where the text's words are bound once.
+    low = lambda h: F.greatest(h["at"] - h["length"], F.lit(0))
+    around = lambda w, h: F.slice(w, low(h) + 1, h["at"] + WINDOW + h["length"] - low(h))
+    cut = F.transform(F.array(words(F.col("text"))), lambda w: F.transform("hits", lambda h: F.struct(h["template"].alias("template"), h["at"].alias("at"), around(w, h).alias("around"))))[0]
+    back = back.select("id", "mark", F.explode(cut).alias("hit")).select("id", "mark", "hit.template", "hit.at", "hit.around")
+    near = join_small(back, known.select("template", "license", "shingles"), "template", "inner", F.size("shingles"))
     share = F.size(F.array_intersect("shingles", _runs(F.col("around"), SHINGLE_WORDS))) / F.size("shingles")
-    checked = near.withColumn("around", around).select("id", "mark", "license", "at", share.alias("containment")).filter(F.col("containment") >= contained)
+    checked = near.select("id", "mark", "license", "at", share.alias("containment")).filter(F.col("containment") >= contained)
     return checked.groupBy("id", "mark", "license").agg(F.max("containment").alias("containment"), F.min("at").alias("word"))

@@ -55,6 +55,28 @@ def test_edited_and_partial_notices(spark):
     assert got == {1}
 
 
+def test_recall_of_edited_copies(spark):
+    """Copies of full texts with words replaced, left out and added, down to a containment of 0.8."""
+    rng, rows, want = random.Random(7), [], {}
+    full = [(k, t) for k, t in ls.TEMPLATES if len(t.split()) > 40]
+    assert len(full) >= 10
+    for i in range(240):
+        name, text = full[i % len(full)]
+        words = text.split()
+        for _ in range(rng.randrange(1, max(2, len(words) // 25))):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randrange(2)] = [f"edit{rng.randrange(999)}"] * rng.randrange(2)
+        pad = lambda n: " ".join(f"x{rng.randrange(10**6)}" for _ in range(n))
+        copy = f"{pad(rng.randrange(60))} {' '.join(words)} {pad(rng.randrange(60))}"
+        share = len(runs(tokens(text)) & runs(tokens(copy))) / len(runs(tokens(text)))
+        if share >= ls.CONTAINED:
+            rows.append((i, copy, "en", "s"))
+            want[i, name] = share
+    got = {(r.id, r.license): r.containment for r in ls.scan(frame(spark, rows), ls.default_templates(spark)).collect()}
+    found = [k for k in want if k in got]
+    assert len(want) > 150 and len(found) >= 0.99 * len(want)
+
+
 def test_miss_probability():
     assert ls.miss_probability(0.5) < 0.001 and ls.miss_probability(1.0) == 0
 
