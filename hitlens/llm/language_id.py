@@ -92,9 +92,9 @@ def _count(batches):
     sizes: dict[str, int] = {}
 
     def batch_of(lang: str):
-        points = np.concatenate([p for p, _ in held[lang]])
-        marks = np.concatenate([h for _, h in held.pop(lang)])
-        _, first, n = np.unique(marks, return_index=True, return_counts=True)
+        points, marks, n = (np.concatenate(x) for x in zip(*held.pop(lang)))
+        _, first, same = np.unique(marks, return_index=True, return_inverse=True)
+        n = np.bincount(same, n)
         spelled = np.ascontiguousarray(points[first].astype(np.uint32)).tobytes().decode("utf-32-le", "surrogatepass")
         grams = [spelled[i : i + ORDER] for i in range(0, len(spelled), ORDER)]
         sizes[lang] = 0
@@ -104,8 +104,9 @@ def _count(batches):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             points = fold(text)
             if points is not None and len(points) >= ORDER:
-                held.setdefault(lang, []).append((np.lib.stride_tricks.sliding_window_view(points.astype(np.uint32), ORDER), hashes(points)[-1]))
-                sizes[lang] = sizes.get(lang, 0) + len(points)
+                marks, first, n = np.unique(hashes(points)[-1], return_index=True, return_counts=True)
+                held.setdefault(lang, []).append((np.lib.stride_tricks.sliding_window_view(points.astype(np.uint32), ORDER)[first], marks, n))
+                sizes[lang] = sizes.get(lang, 0) + len(marks)
                 if sizes[lang] > HELD:
                     yield batch_of(lang)
     for lang in list(held):
@@ -214,12 +215,15 @@ class Block:
         """The block's share of a text's log probability in each language."""
         total = np.zeros(self.both.shape[1])
         for order, h in enumerate(hashes(points), 1):
-            at = self.find(h)
-            total += self.both[at].sum(axis=0, dtype=np.float64)
-            if order < ORDER and len(at):
-                total -= self.weight[at[-1]]  # nothing follows the last character
+            if not len(h):
+                break
+            kinds, n = np.unique(h, return_counts=True)  # a text repeats most of its n-grams
+            total += n.astype(float) @ self.both[self.find(kinds)].astype(float)
+            last, first = self.find(h[[-1, 0]])
+            if order < ORDER:
+                total -= self.weight[last]  # nothing follows the last character
             if order == 1:
-                total -= self.rise[at[0]]  # and the first one is given
+                total -= self.rise[first]  # and the first one is given
         return total
 
 
