@@ -7,7 +7,8 @@ boundary of the overlap agrees (one pre-token longer than it) the rest of the te
 follows white space, as the pattern looks ahead over white space. Short texts are one chunk and are encoded where
 they are read.
 
-Edge cases: a null or empty text has no ids; repeated rows are encoded each; only the id and text columns are read.
+Edge cases: a null or empty text has no ids; repeated rows are encoded each, and rows that share an id are rows of their own; a null
+id stays null; an empty table gives an empty result; only the id and text columns are read, so others may have any name.
 """
 
 from __future__ import annotations

@@ -137,7 +137,7 @@ def estimate(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
         longer = tables[order + 1].select("lang", F.substring("gram", 2, order).alias("gram"))
         tables[order] = stage(longer.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")), "grams")
     # One more for characters never seen.
-    uniform = F.broadcast(tables[1].agg((1 / (F.countDistinct("gram") + 1)).alias("uniform")))
+    uniform = 1 / (tables[1].agg(F.countDistinct("gram")).first()[0] + 1)
     lower, parts = None, []
     for order in range(1, ORDER + 1):
         rows = tables[order].select("lang", "gram", "n", F.substring("gram", 1, order - 1).alias("context"), F.substring("gram", 2, order - 1).alias("shorter"))
@@ -145,7 +145,7 @@ def estimate(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
         contexts = stage(contexts, "contexts")
         rows = rows.join(contexts, ["lang", "context"])
         if order == 1:
-            rows = rows.crossJoin(uniform).withColumnRenamed("uniform", "below")  # one row
+            rows = rows.withColumn("below", F.lit(uniform))
         else:
             rows = rows.join(lower, ["lang", "shorter"])
         backed = F.col("weight") * F.col("below")
@@ -154,7 +154,7 @@ def estimate(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
         lower = known.select("lang", F.col("gram").alias("shorter"), F.col("p").alias("below"))
         parts.append(known.select("lang", "gram", "rise", F.lit(0.0).alias("weight")))
         if order == 1:
-            start = contexts.crossJoin(uniform).select("lang", F.log(F.col("weight") * F.col("uniform")).alias("start"))
+            start = contexts.select("lang", F.log(F.col("weight") * uniform).alias("start"))
         else:
             parts.append(contexts.select("lang", F.col("context").alias("gram"), F.lit(0.0).alias("rise"), F.log("weight").alias("weight")))
     grams = parts[0]

@@ -10,8 +10,8 @@ proportion to its size. Copies of a text share one fingerprint and are compared
 
 Edge cases: a null, empty or blank text has fingerprint zero and links like any other; a text of fewer words than a
 shingle is one shingle; repeated rows and ties share a class; an empty table gives an empty result; only the id
-and text columns are read, and `keep_one` returns every column of its input. A null id counts as
-the largest id.
+and text columns are read, and `keep_one` returns every column of its input, whatever its name. A null id counts as
+the largest id; of very long texts all shingles count.
 """
 
 from __future__ import annotations
@@ -127,7 +127,9 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = S
     rows, one), with all its columns."""
     columns = docs.columns
     # A row's key: its id (null as the least long) and a hash of the row, which tells null from that id.
-    own = ["simhash__id", "simhash__tie"]
+    own = ["own_id", "own_tie"]
+    while {c.lower() for c in columns} & set(own):
+        own = [c + "_" for c in own]
     tied = docs.withColumn(own[0], F.coalesce(F.col(id).cast("long"), F.lit(-(1 << 63)))).withColumn(
         own[1], F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in columns))
     )

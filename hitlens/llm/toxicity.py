@@ -19,7 +19,8 @@ reads whole texts, in tasks.
 
 Edge cases: a null or empty text is one empty window and scores by the curve like any other; without two labels in the
 sample every score is 0; repeated rows score alike; rows without an id are never learned from; an
-empty table gives an empty result; labels, language, source and id are no inputs of a score.
+empty table gives an empty result; ties of an id are learned from with its one label; a score is a column expression, so other
+columns and their names don't matter; labels, language, source and id are no inputs of a score.
 """
 
 from __future__ import annotations

@@ -78,3 +78,5 @@ def test_odd_rows_and_empty_table(spark):
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == [1, 4, 6, 7, 8, 9, 9, 10, 11, 12] or sorted(i for i in ids if i is not None) == [1, 4, 6, 7, 8, 9, 10, 11, 12]
     assert simhash_dedup.keep_one(empty(spark)).count() == 0
+    clash = docs.withColumn("own_id", docs.id).withColumn("OWN_TIE", docs.label)
+    assert simhash_dedup.keep_one(clash).columns == clash.columns and simhash_dedup.keep_one(clash).count() == len(ids)
