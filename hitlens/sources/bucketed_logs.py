@@ -50,10 +50,10 @@ class BucketedLogs:
         """Hits with their salt: ``COLD``, or one of as many numbers as the
         site has bucket shares of these hits."""
         counts = logs.groupBy("site_id").agg(F.count(F.lit(1)).alias("n"))
-        total = logs.agg(F.count(F.lit(1)).alias("total"))
+        total = logs.count()
         # fewer than `buckets` sites can hold more than one share
-        hot = (counts.join(F.broadcast(total), F.col("n") * self.buckets > F.col("total"))
-               .select(F.col("site_id").alias("_hot"), F.ceil(F.col("n") * self.buckets / F.col("total")).cast("int").alias("_shares")))
+        hot = (counts.where(F.col("n") * self.buckets > total)
+               .select(F.col("site_id").alias("_hot"), F.ceil(F.col("n") * self.buckets / max(1, total)).cast("int").alias("_shares")))
         joined = logs.join(F.broadcast(hot), F.col("site_id").eqNullSafe(F.col("_hot")), "left")
         salt = F.when(F.col("_shares").isNull(), F.lit(COLD)).otherwise(
             F.pmod(F.xxhash64("log_id", "log_time", "url"), F.col("_shares")).cast("int"))
