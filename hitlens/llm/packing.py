@@ -68,21 +68,28 @@ class Words:
 
     def _learn(self, words: set[str]) -> None:
         """Remembers the words' ids; b"" for a word next to which the pattern may cut elsewhere than at the space."""
-        known = {w: self.last[w] for w in words if w in self.last}
-        if len(self.now) >= REMEMBERED:
-            self.now, self.last = {}, self.now
-        self.now.update(known)
-        safe = [w for w in words if w not in known and w and not w[-1].isspace()]
-        self.now.update(dict.fromkeys(words - known.keys() - set(safe), b""))
+        now, last, ids = self.now, self.last, self._ids
+        several = []  # words of several pre-tokens
+        for w in words:
+            known = last.get(w)
+            if known is not None:
+                now[w] = known
+            elif not w or w[-1].isspace():
+                now[w] = b""
+            elif w.isalpha():  # the pattern takes a space and letters whole
+                now[w] = array("I", self.merge(" " + w)).tobytes()
+            else:
+                several.append(w)
         # All at once: between two safe words the pattern cuts at the space.
-        pieces = iter(self.split("".join([" " + w for w in safe])))
-        for w in safe:
+        pieces = iter(self.split("".join([" " + w for w in several])))
+        for w in several:
             left, parts = len(w) + 1, []
             while left > 0:
                 piece = next(pieces)
                 left -= len(piece)
-                parts.append(self._ids(piece))
-            self.now[w] = b"".join(parts)
+                whole = now.get(piece[1:]) if piece[0] == " " else None
+                parts.append(whole or ids(piece))
+            now[w] = b"".join(parts)
 
     def encode(self, texts_: list[str]) -> list[np.ndarray]:
         holding = [i for i, x in enumerate(texts_) if any(token in x for token in self.added)]
@@ -99,18 +106,21 @@ class Words:
         return out
 
     def _encode(self, texts_: list[str]) -> list[np.ndarray]:
-        cut = [x.split(" ") for x in texts_]
-        found = [list(map(self.now.get, words[1:])) for words in cut]
-        new = {w for words, ids in zip(cut, found) if None in ids for w, x in zip(words[1:], ids) if x is None}
-        self._learn(new)
+        if len(self.now) >= REMEMBERED:
+            self.now, self.last = {}, self.now
+        firsts, cut = [], []
+        for x in texts_:
+            first, *words = x.split(" ")
+            firsts.append(first)
+            cut.append(words)
+        self._learn(set().union(*cut).difference(self.now))
         out = []
-        for text, words, ids in zip(texts_, cut, found):
-            if None in ids:
-                ids = [self.now[w] if x is None else x for w, x in zip(words[1:], ids)]
-            if not words[0] or words[0][-1].isspace() or b"" in ids:
+        for text, first, words in zip(texts_, firsts, cut):
+            ids = list(map(self.now.__getitem__, words))
+            if not first or first[-1].isspace() or b"" in ids:
                 out.append(np.frombuffer(self._plain(text), np.uint32))
             else:
-                out.append(np.frombuffer(self._plain(words[0]) + b"".join(ids), np.uint32))
+                out.append(np.frombuffer(self._plain(first) + b"".join(ids), np.uint32))
         return out
 
 
