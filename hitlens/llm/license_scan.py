@@ -70,8 +70,9 @@ def _pairs(of: Column) -> Column:
     return F.when(F.size(of) > 0, many).otherwise(F.array().cast("array<bigint>"))
 
 
-def _bands(rows: DataFrame, stride: int, shared: list[int] | None = None, least_shared: int = 1, lone: list[int] | None = None) -> DataFrame:
-    """(key columns, pairs) to (key columns, at, part, band, value): the signatures of windows of WINDOW - 1 pairs.
+def _bands(rows: DataFrame, stride: int, shared: list[int] | None = None, least_shared: int = 1, lone: list[int] | None = None, reach: int = 0) -> DataFrame:
+    """(key columns, words, pairs) to (key columns, at, part, around, band, value): the signatures of windows of WINDOW - 1
+    pairs, and the words from `reach` before a window to `reach` behind it.
 
     shared: the templates' pairs. Two signatures can only agree through a pair that both windows have, so windows
     without any of these are left out. least_shared: how many of them a window must have; the window over a copy has four,
@@ -88,13 +89,19 @@ def _bands(rows: DataFrame, stride: int, shared: list[int] | None = None, least_
         starts = F.filter(F.array_distinct(around), lambda i: (i >= 0) & enough(i))
     # The last windows may be shorter; those that a longer one before them holds whole are left out.
     starts = F.filter(starts, lambda i: (i == 0) | (i + size - stride < F.size("pairs")))
-    keys = [c for c in rows.columns if c != "pairs"]
+    keys = [c for c in rows.columns if c not in ("words", "pairs")]
 
     def least(part: Column, band: int) -> Column:
         return F.array_min(F.transform(part, lambda h: F.xxhash64(h, F.lit(band))))
 
-    windows = rows.select(*keys, "pairs", F.explode(starts).alias("at")).select(*keys, "at", F.slice("pairs", F.col("at") + 1, F.lit(size)).alias("part"))
-    return windows.select(*keys, "at", "part", F.posexplode(F.array(*(least(F.col("part"), b) for b in range(BANDS)))).alias("band", "value"))
+    def window(w: Column, at: Column) -> Column:
+        low = F.greatest(at - reach, F.lit(0))
+        return F.struct(at.alias("at"), F.slice("pairs", at + 1, F.lit(size)).alias("part"), F.slice(w, low + 1, at + WINDOW + reach - low).alias("around"))
+
+    # Windows are made where the text's words are bound once, so that rows carry their own words and not the text.
+    found = F.transform(F.array("words"), lambda w: F.transform(starts, lambda at: window(w, at)))[0]
+    windows = rows.select(*keys, F.explode(found).alias("w")).select(*keys, "w.at", "w.part", "w.around")
+    return windows.select(*keys, "at", "part", "around", F.posexplode(F.array(*(least(F.col("part"), b) for b in range(BANDS)))).alias("band", "value"))
 
 
 def scan(docs: DataFrame, templates: DataFrame, id: str = "doc_id", text: str = "text", contained: float = CONTAINED) -> DataFrame:
@@ -102,31 +109,22 @@ def scan(docs: DataFrame, templates: DataFrame, id: str = "doc_id", text: str =
     template), word (where its first verified window starts)."""
     known = templates.select("template", "license", words(F.col("text")).alias("words")).filter(F.size("words") > 0)
     known = stage(known.select("template", "license", F.size("words").alias("length"), F.array_distinct(_runs(F.col("words"), SHINGLE_WORDS)).alias("shingles"), _pairs(F.col("words")).alias("pairs")), "templates")
-    wanted = stage(_bands(known.select("template", "pairs"), 1).select("template", "band", "value").distinct(), "bands")
+    wanted = stage(_bands(known.select("template", F.array().cast("array<string>").alias("words"), "pairs"), 1).select("template", "band", "value").distinct(), "bands")
     own = F.array_distinct("pairs")
     pairs = known.select(F.explode(own).alias("pair"), (F.size(own) < SHARED).alias("lone")).groupBy("pair").agg(F.max("lone").alias("lone")).limit(MAX_PAIRS + 1).collect()
     shared, lone = [r.pair for r in pairs], [r.pair for r in pairs if r.lone]
     if not shared:  # no templates
         shared = [0]
     rows = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("mark"), words(F.col(text)).alias("words"))
-    found = _bands(rows.select("id", "mark", _pairs(F.col("words")).alias("pairs")), STRIDE, shared if len(shared) <= MAX_PAIRS else None, SHARED, lone)
-    hits = join_small(found, wanted, ["band", "value"], "inner").select("id", "mark", "template", "at", "part")
-    hits = join_small(hits, known.select("template", "length", own.alias("own")), "template", "inner", F.size("own"))
-    enough = F.size(F.filter("part", lambda h: F.array_contains("own", h))) >= F.least(F.lit(SHARED), F.size("own"))
-    hits = hits.filter(enough).select("id", "mark", "template", "length", "at").distinct()
-    by_doc = stage(
-        hits.groupBy("id", "mark").agg(F.collect_list(F.struct("template", "length", "at")).alias("hits")).select(F.col("id").alias("id_"), F.col("mark").alias("mark_"), "hits"), "hits"
-    )
-    # Back to the texts, for the exact check.
-    texts = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
-    same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("mark") == F.col("mark_"))
-    back = join_small(texts, by_doc, same, "inner", F.size("hits")).dropDuplicates(["id", "mark"])
-    # Of each hit the words around it alone, cut where the text's words are bound once.
-    low = lambda h: F.greatest(h["at"] - h["length"], F.lit(0))
-    around = lambda w, h: F.slice(w, low(h) + 1, h["at"] + WINDOW + h["length"] - low(h))
-    cut = F.transform(F.array(words(F.col("text"))), lambda w: F.transform("hits", lambda h: F.struct(h["template"].alias("template"), h["at"].alias("at"), around(w, h).alias("around"))))[0]
-    back = back.select("id", "mark", F.explode(cut).alias("hit")).select("id", "mark", "hit.template", "hit.at", "hit.around")
-    near = join_small(back, known.select("template", "license", "shingles"), "template", "inner", F.size("shingles"))
-    share = F.size(F.array_intersect("shingles", _runs(F.col("around"), SHINGLE_WORDS))) / F.size("shingles")
-    checked = near.select("id", "mark", "license", "at", share.alias("containment")).filter(F.col("containment") >= contained)
+    reach = known.agg(F.max("length")).first()[0] or 0
+    found = _bands(rows.withColumn("pairs", _pairs(F.col("words"))), STRIDE, shared if len(shared) <= MAX_PAIRS else None, SHARED, lone, reach)
+    hits = join_small(found, wanted, ["band", "value"], "inner").select("id", "mark", "template", "at", "part", "around")
+    about = known.select("template", "license", "length", "shingles", own.alias("own"))
+    hits = join_small(hits, about, "template", "inner", F.size("own") + F.size("shingles"))
+    hits = hits.filter(F.size(F.filter("part", lambda h: F.array_contains("own", h))) >= F.least(F.lit(SHARED), F.size("own")))
+    # The exact check, in the words within the template's length around the window; nothing is shuffled before it.
+    low, base = (F.greatest(F.col("at") - x, F.lit(0)) for x in (F.col("length"), F.lit(reach)))
+    near = F.slice("around", low - base + 1, F.col("at") + WINDOW + F.col("length") - low)
+    share = F.transform(F.array(near), lambda n: F.size(F.array_intersect("shingles", _runs(n, SHINGLE_WORDS))) / F.size("shingles"))[0]  # cut once
+    checked = hits.select("id", "mark", "license", "at", share.alias("containment")).filter(F.col("containment") >= contained)
     return checked.groupBy("id", "mark", "license").agg(F.max("containment").alias("containment"), F.min("at").alias("word"))
