@@ -46,9 +46,11 @@ class Words:
     which a space meets other white space are encoded pre-token by pre-token.
     """
 
-    def __init__(self, pattern: str, merge, added: dict[str, int] | None = None):
-        """added: strings that are one token wherever they stand, and their ids. Texts are cut at them first."""
+    def __init__(self, pattern: str, merge, added: dict[str, int] | None = None, letters=None):
+        """added: strings that are one token wherever they stand, and their ids. Texts are cut at them first. letters: as
+        `merge` of a space and a word of letters."""
         self.split, self.merge, self.added = regex.compile(pattern).findall, merge, added or {}
+        self.letters = letters or (lambda word: merge(" " + word))
         longest_first = sorted(self.added, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")").split if self.added else None
         self.now: dict[str, bytes] = {}
@@ -68,7 +70,7 @@ class Words:
 
     def _learn(self, words: set[str]) -> None:
         """Remembers the words' ids; b"" for a word next to which the pattern may cut elsewhere than at the space."""
-        now, last, ids = self.now, self.last, self._ids
+        now, last, ids, letters = self.now, self.last, self._ids, self.letters
         several = []  # words of several pre-tokens
         for w in words:
             known = last.get(w)
@@ -77,7 +79,7 @@ class Words:
             elif not w or w[-1].isspace():
                 now[w] = b""
             elif w.isalpha():  # the pattern takes a space and letters whole
-                now[w] = array("I", self.merge(" " + w)).tobytes()
+                now[w] = array("I", letters(w)).tobytes()
             else:
                 several.append(w)
         # All at once: between two safe words the pattern cuts at the space.
@@ -110,9 +112,9 @@ class Words:
             self.now, self.last = {}, self.now
         firsts, cut = [], []
         for x in texts_:
-            first, *words = x.split(" ")
+            first, space, rest = x.partition(" ")
             firsts.append(first)
-            cut.append(words)
+            cut.append(rest.split(" ") if space else [])
         self._learn(set().union(*cut).difference(self.now))
         out = []
         for text, first, words in zip(texts_, firsts, cut):
@@ -141,7 +143,12 @@ def tokenizer_words(path: str, pattern: str) -> Words:
             plain = piece.isascii() and piece.isprintable()
             return [t.id for t in merge(piece.replace(" ", chr(letters[32])) if plain else piece.encode().decode("latin-1").translate(letters))]
 
-        cache[key] = Words(pattern, ids, added)
+        shown_space = chr(letters[32])
+
+        def word(w: str) -> list[int]:
+            return [t.id for t in merge(shown_space + (w if w.isascii() else w.encode().decode("latin-1").translate(letters)))]
+
+        cache[key] = Words(pattern, ids, added, word)
     return cache[key]
 
 
